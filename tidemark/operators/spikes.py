@@ -27,21 +27,25 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Field:
-    """A measured field: its physical limits and the value at which it may rest."""
+    """A measured field: its physical limits, the departure that makes a spike, the value at which it may rest.
+
+    limit is in units of the source's own noise; a field with heavier tails needs a higher one.
+    """
 
     name: str
     low: float
     high: float
+    limit: float
     rest: float | None = None
 
 
 #: Air and room temperatures in degrees Celsius; energy drawn in a period, never negative.
-FIELDS = (Field("outside_temp", -95.0, 65.0), Field("inside_temp", -95.0, 95.0), Field("power_kwh", 0.0, 1e7, rest=0.0))
+FIELDS = (Field("outside_temp", -95.0, 65.0, 5.0), Field("inside_temp", -95.0, 95.0, 5.0), Field("power_kwh", 0.0, 1e7, 9.0, rest=0.0))
 
 #: Readings of each side that give the level there.
 SIDE = 7
-#: Departure, in units of the source's own noise, that makes a spike; and where one side is missing.
-LIMIT, EDGE_LIMIT = 7.0, 14.0
+#: Where one side is missing, at either end of a series, the departure must be this many times the limit.
+EDGE = 2.0
 ROUNDS = 4
 #: A run of this many readings may be stuck, if it is this many times as long as the source's other runs.
 RUN, TIMES = 10, 3.0
@@ -98,7 +102,7 @@ def stuck_runs(values: np.ndarray, series: np.ndarray, rest: float | None = None
     return np.repeat(long, length)
 
 
-def spikes(values: np.ndarray, series: np.ndarray, rest: float | None = None) -> np.ndarray:
+def spikes(values: np.ndarray, series: np.ndarray, limit: float, rest: float | None = None) -> np.ndarray:
     """Mask of additive outliers. Values and series are in order, series from 0; values are within their limits."""
     n = len(values)
     flagged = np.zeros(n, bool)
@@ -114,7 +118,10 @@ def spikes(values: np.ndarray, series: np.ndarray, rest: float | None = None) ->
     inner = np.zeros(n, bool)
     inner[1:-1] = (series[1:-1] == series[:-2]) & (series[1:-1] == series[2:])
     moving = inner & (error != 0)
-    noise = 1.4826 / np.sqrt(1.5) * _group_medians(np.abs(error[moving]), series[moving], count)
+    typical = 1.4826 * _group_medians(np.abs(error[moving]), series[moving], count)
+    clipped = np.clip(error[inner], -3 * typical[series[inner]], 3 * typical[series[inner]])
+    among = np.maximum(np.bincount(series[inner], minlength=count), 1)
+    noise = np.sqrt(np.bincount(series[inner], clipped**2, count) / among / 1.5)
     step = np.abs(np.diff(values))
     moved = (series[1:] == series[:-1]) & (step > 0)
     resolution = _group_medians(step[moved], series[1:][moved], count, 0.02)
@@ -138,7 +145,7 @@ def spikes(values: np.ndarray, series: np.ndarray, rest: float | None = None) ->
         local = np.fmin(_median(np.abs(before - level_b[:, None])), _median(np.abs(after - level_a[:, None]))) * 1.4826
         slope = np.abs(level_a - level_b) / (SIDE + 1) * SIDE / 4 * 1.4826
         scale = np.fmax(noise[series[todo]], np.nan_to_num(local) - slope)
-        hit = departure > np.where(one_sided, EDGE_LIMIT, LIMIT) * np.maximum(scale, 1e-12)
+        hit = departure > np.where(one_sided, EDGE * limit, limit) * np.maximum(scale, 1e-12)
         if rest is not None:
             hit &= x != rest
         fresh = todo[hit & ~flagged[todo]]
@@ -196,7 +203,7 @@ def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: t
         if single.any():
             packed = series[single]
             packed = np.concatenate([[0], np.cumsum(packed[1:] != packed[:-1])])
-            hit[single] = spikes(v[single], packed, field.rest)
+            hit[single] = spikes(v[single], packed, field.limit, field.rest)
         hit &= ~held
         stuck, spike = np.zeros(len(x), bool), np.zeros(len(x), bool)
         stuck[used], spike[used] = held[row_of], hit[row_of]
