@@ -20,6 +20,7 @@ import functools
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -184,7 +185,7 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         if not raw:
             return np.zeros(0, np.int32), counts
-        sizes = pa.compute.binary_length(texts).to_numpy().astype(np.int64)
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
         byte_at_text = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(raw, np.uint8)
         lead = (data & 0xC0) != 0x80

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if held and held + size > BYTES_AT_ONCE:
