@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,17 +19,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder all executors share and read it from there.
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (local tests) a temporary folder of this machine is used.
+    It is the session's spark.checkpoint.dir. Only where that is unset (local
+    tests) a temporary folder of this machine is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; nothing is there yet."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
