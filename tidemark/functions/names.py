@@ -14,7 +14,7 @@ def explode_dn(dn: Column) -> Column:
     """`Type=name,Type=name` as an array of structs (type, name)."""
     kinds = F.regexp_extract_all(dn, F.lit(r"([^,]+)=([^,]+)"), 1)
     names = F.regexp_extract_all(dn, F.lit(r"([^,]+)=([^,]+)"), 2)
-    return F.transform(F.arrays_zip(kinds.alias("type"), names.alias("name")), lambda x: F.struct(x["0"].alias("type"), x["1"].alias("name")))
+    return F.transform(F.arrays_zip(kinds.alias("type"), names.alias("name")), lambda x: F.struct(x["type"].alias("type"), x["name"].alias("name")))
 
 
 def implode_dn(parts: Column) -> Column:
