@@ -253,11 +253,12 @@ def spam(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
 
     Null and empty texts are no spam; whole texts are read, whatever their
     length. Copies are judged alike. A null language is a language of its own.
-    The measures of the pages are written once to the checkpoint folder.
+    The measures of the pages, the fitted curves and the extreme pages are
+    written once each to the checkpoint folder.
     """
     measured = cut(profiles(documents, doc, text, lang))
     pages, vocabulary = measured.where("word is null"), measured.where("word is not null").select("word", "total")
-    found = extreme(departures(curves(pages)))
+    found = cut(extreme(departures(cut(curves(pages)))).select("doc"))
     marks = lexicon(pages, vocabulary, found)
     links = pages.where((F.col("links") >= LINKS) & (F.col("link_chars") > LINK_CHARS * F.col("chars")) & (F.col("beside") < WORDS_A_LINK * F.col("links")))
     parts = [found.select("doc", F.lit("curve").alias("reason")), links.select("doc", F.lit("links").alias("reason"))]
