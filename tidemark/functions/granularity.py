@@ -119,7 +119,9 @@ def bucket_end(at: Column, granularity: Granularity | str) -> Column:
         return F.date_trunc("WEEK", just_before) + F.expr("INTERVAL 7 DAYS")
     if g.seconds == DAY:
         return F.date_trunc("DAY", just_before) + F.expr("INTERVAL 1 DAY")
-    return F.window(just_before, f"{g.seconds} seconds").getField("end")
+    step = g.seconds * 1_000_000
+    ahead = F.pmod(-F.unix_micros(at.cast("timestamp")), F.lit(step))
+    return at + F.make_dt_interval(secs=(ahead / 1_000_000).cast("decimal(18,6)"))
 
 
 def partition_index(at: Column, size: Granularity | str) -> Column:

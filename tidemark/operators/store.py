@@ -121,7 +121,7 @@ class TrendTable:
 
     def manifest(self) -> dict[int, str]:
         """The folder of each partition."""
-        path, fs = self._file("_manifest")
+        path, fs = self._file("manifest.json")
         if not fs.exists(path):
             return {}
         rows = self.spark.read.schema("p bigint, folder string").json(str(path)).collect()
@@ -130,11 +130,11 @@ class TrendTable:
     def _replace(self, folders: dict[int, str]) -> None:
         import json
 
-        new, fs = self._file(f"_manifest.{uuid.uuid4().hex}")
+        new, fs = self._file(f"manifest-{uuid.uuid4().hex}.json")
         out = fs.create(new)
         out.write(bytearray("".join(json.dumps({"p": p, "folder": f}) + "\n" for p, f in sorted(folders.items())).encode()))
         out.close()
-        old, _ = self._file("_manifest")
+        old, _ = self._file("manifest.json")
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
