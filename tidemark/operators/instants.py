@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.zones import transitions
+from tidemark.session import cut
 
 SECOND = 1_000_000
 #: Months by their English abbreviations and names.
@@ -212,10 +213,14 @@ def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Ser
 
 
 @F.pandas_udf(T.LongType())
-def _instant(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
+def _parsed(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
     return parse_times(texts, zones, orders)
 
 
+#: Called so that no filter on its result is moved below it, which would parse every text twice.
+_instant = _parsed.asNondeterministic()
+
+
 def instant(text: Column, zone: Column, order: Column) -> Column:
     """Microseconds since 1970 UTC that a text names, null where it settles none.
 
@@ -248,10 +253,12 @@ def with_instant(df: DataFrame, sites: DataFrame, text: str = "timestamp", node:
 def same_instant_pairs(df: DataFrame, row: str, node: str, instant_us: str) -> DataFrame:
     """Pairs (a < b) of rows of one node and one instant. Rows without either are in no pair.
 
-    An equi-join on both, so the work follows the pairs asked for; both sides
-    read one exchange.
+    An equi-join on both, so the work follows the pairs asked for. The three
+    columns it needs are written once to the checkpoint folder, so that texts
+    are parsed for one side only.
     """
     rows = df.select(F.col(node).alias("__node"), F.col(instant_us).alias("__at"), F.col(row).alias("__row")).where(F.col("__node").isNotNull() & F.col("__at").isNotNull())
+    rows = cut(rows)
     a = rows.withColumnRenamed("__row", f"{row}_a")
     b = rows.withColumnRenamed("__row", f"{row}_b")
     return a.join(b, ["__node", "__at"]).where(F.col(f"{row}_a") < F.col(f"{row}_b")).select(f"{row}_a", f"{row}_b")
