@@ -26,7 +26,7 @@ from tidemark.session import cut
 #: Tokens of a block.
 BLOCK = 1024
 #: Parts of a source whose running totals are taken apart; bounds the table of offsets.
-PARTS = 4096
+PARTS = 1024
 #: Slots of an output shard, at least, and shards, at most.
 SHARD_SLOTS, MOST_SHARDS = 1024, 10_000
 SEED = 20_240_601
@@ -84,7 +84,7 @@ def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
         drawn = random.multivariate_hypergeometric(left, take, method="marginals") if left.sum() < 10**9 else _proportional(left, take)
         out.append(drawn)
         left = left - drawn
-    return np.array(out, np.int64).reshape(-1, len(slots))
+    return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
 def _proportional(left: np.ndarray, take: int) -> np.ndarray:
@@ -144,7 +144,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc:
     table = spark.createDataFrame(rows, "shard int, __source string, first bigint, n bigint, blocks bigint, seed bigint")
     every = table.repartition(max(1, min(len(counts), 200)), "shard").select("shard", "__source", "blocks", "seed", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     drawn = every.select("shard", "slot", "__source", _block("slot", "blocks", "__source", "seed").alias("__block"))
-    used = drawn.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("repeats"))
+    # the planner takes the slots for few, as it sees only the table of shards; they grow with the data, so they are not broadcast
+    drawn = drawn.hint("merge")
+    used = drawn.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("repeats")).hint("merge")
     chosen = packed.join(used, ["__source", "__block"]).select(F.col("__doc").alias(doc), F.col("__source").alias(source), "tokens", "repeats")
     placed = packed.join(drawn, ["__source", "__block"]).select("shard", "slot", F.col("__source").alias(source), F.col("__doc").alias(doc), "tokens")
     goal = spark.createDataFrame([(s, wanted[s][0], wanted[s][1], int(round(wanted[s][0] * total)), held.get(s, 0)) for s in names], "source string, target_share double, max_repeats int, wanted_tokens bigint, available_tokens bigint")
