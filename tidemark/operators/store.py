@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.granularity import Granularity, partition_index
 from tidemark.operators.package import KEYS, trends
+from tidemark.operators.tables_on_disk import PartitionedTable
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -102,62 +101,21 @@ def missing_partitions(wanted: DataFrame, present: DataFrame, keys: list[str]) -
     return wanted.join(present.select(*keys), keys, "left_anti")
 
 
-class TrendTable:
-    """A part on disk: Parquet, partitioned by time, replaced partition by partition.
-
-    Each write of a partition goes to a folder of its own; a small manifest
-    names the folder that counts for each partition and is replaced last, in
-    one step, so readers see a partition before or after, never between. Only
-    partitions that a package touches are read and written.
-    """
+class TrendTable(PartitionedTable):
+    """A part on disk, partitioned by time. Only partitions that a package touches are read and written."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, size: Granularity):
-        self.spark, self.path, self.schema, self.size = spark, path, schema, size
-
-    def _file(self, name: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def manifest(self) -> dict[int, str]:
-        """The folder of each partition."""
-        path, fs = self._file("manifest.json")
-        if not fs.exists(path):
-            return {}
-        rows = self.spark.read.schema("p bigint, folder string").json(str(path)).collect()
-        return {r["p"]: r["folder"] for r in rows}
-
-    def _replace(self, folders: dict[int, str]) -> None:
-        import json
-
-        new, fs = self._file(f"manifest-{uuid.uuid4().hex}.json")
-        out = fs.create(new)
-        out.write(bytearray("".join(json.dumps({"p": p, "folder": f}) + "\n" for p, f in sorted(folders.items())).encode()))
-        out.close()
-        old, _ = self._file("manifest.json")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, old, options)
-
-    def read(self, partitions: list[int] | None = None) -> DataFrame:
-        """The rows of all partitions, or of some."""
-        folders = [f for p, f in self.manifest().items() if partitions is None or p in set(partitions)]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(os.path.join(self.path, f) for f in folders))
+        super().__init__(spark, path, schema)
+        self.size = size
 
     def store(self, package: DataFrame, job: int | None = None, order: list[Column] | None = None) -> list[int]:
         """Upsert a package; returns the partitions that changed."""
         placed = package.where(F.col("entity_id").isNotNull() & F.col("timestamp").isNotNull())
         index = partition_index(F.col("timestamp"), self.size)
-        touched = sorted(r[0] for r in placed.select(index.alias("p")).distinct().collect())
-        if not touched:
-            return []
-        merged = upsert(self.read(touched), placed, job=job, order=order).withColumn("__p", index)
-        folder = f"v-{uuid.uuid4().hex}"
-        merged.repartition("__p").sortWithinPartitions("entity_id", "timestamp").write.partitionBy("__p").parquet(f"{self.path}/{folder}")
-        self._replace(self.manifest() | {p: f"{folder}/__p={p}" for p in touched})
+        touched = sorted(r[0] for r in placed.select(index.alias("p")).distinct().collect())  # partitions, not rows
+        if touched:
+            merged = upsert(self.read(touched), placed, job=job, order=order).withColumn("__index", index)
+            self.replace(merged, "__index", touched, ["entity_id", "timestamp"])
         return touched
 
     def drop_before(self, index: int) -> list[int]:
@@ -165,7 +123,7 @@ class TrendTable:
         folders = self.manifest()
         gone = sorted(p for p in folders if p < index)
         if gone:
-            self._replace({p: f for p, f in folders.items() if p >= index})
+            self.point({p: f for p, f in folders.items() if p >= index})
         return gone
 
 

@@ -14,6 +14,7 @@ from tidemark.catalog import Catalog, part_schema
 from tidemark.errors import NoSuchTrendStore
 from tidemark.functions.granularity import parse
 from tidemark.operators import package, relations, store
+from tidemark.operators.tables_on_disk import PartitionedTable
 from tidemark.sources.csv import CsvPackage
 
 ENTITIES = "id bigint, name string, created timestamp, entity_type_id int"
@@ -44,9 +45,9 @@ class Warehouse:
 
     def _pointer(self, name: str, folder: str | None = None) -> str | None:
         """The folder that counts for a small table; given one, it counts from now on."""
-        table = store.TrendTable(self.spark, f"{self.root}/{name}", "", parse("1d"))
+        table = PartitionedTable(self.spark, f"{self.root}/{name}", "")
         if folder is not None:
-            table._replace({0: folder})
+            table.point({0: folder})
         return table.manifest().get(0)
 
     def entities(self, entity_type: str) -> DataFrame:
