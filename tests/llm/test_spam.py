@@ -82,3 +82,10 @@ def test_counts():
     assert p.links.tolist() == [1, 0, 0, 0] and p.code.tolist() == [3, 0, 0, 0] and p.chars.tolist() == [53, 0, 0, 3]
     assert p.share(frozenset({"near", "me"})).tolist() == [4, 0, 0, 0]
     assert spam.words_beside_links("see [a b](https://x.example) for [url=http://y.example]c[/url] more") == 3
+
+
+def test_links():
+    text = "see https://a.example/x?y=1, www.b.test or c-d.example/q | e.f.invalid; not regex.test(x), a.b, me@x.example, 3.com=1, self.example_x or /p/x.example"
+    assert [text[a:b] for a, b in spam.find_links(text)] == ["https://a.example/x?y=1,", "www.b.test", "c-d.example/q", "e.f.invalid"]
+    assert [m[0] for m in spam._URL.finditer(text)] == ["https://a.example/x?y=1,", "www.b.test", "c-d.example/q", "e.f.invalid"]
+    assert len(spam.find_links("")) == 0

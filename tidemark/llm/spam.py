@@ -52,7 +52,14 @@ LEXICON_SHARE, LEXICON_OVER_PROSE = 0.25, 0.55
 #: A page of links: at least so many, taking up that share of its characters, with fewer other words for each.
 LINKS, LINK_CHARS, WORDS_A_LINK = 3, 0.15, 4.0
 
-_URL = re.compile(r"(?:https?://|www\.)[^\s)\]\"'<>]+", re.IGNORECASE)
+#: Ends of host names by which a link without a scheme is known.
+HOST_ENDS = "com org net edu gov info biz io dev app co uk de fr nl eu ru jp cn us shop store online site xyz top club example test invalid"
+
+_ENDS = r"\.(?:" + "|".join(HOST_ENDS.split()) + r")\b(?![\w(=-])(?:/[^\s)\]\"'<>|,;]*)?"
+_SCHEME = re.compile(r"(?:https?://|www\.)[^\s)\]\"'<>]+", re.I)
+_END = re.compile(_ENDS, re.I)
+_HOST = re.compile(r"(?<![\w.@/-])[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\Z", re.I)
+_URL = re.compile(_SCHEME.pattern + r"|(?<![\w.@/-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)*[a-z0-9](?:[a-z0-9-]*[a-z0-9])?" + _ENDS, re.I)
 _ANCHOR = re.compile(r"\[[^\]\n]*\]\(\x00|<a\s[^>]*>.*?</a>|\[url=?[^\]]*\].*?\[/url\]", re.S | re.I)
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|\[/?url[^\]]*\]", re.I)
 _WORD = re.compile(r"\w+")
@@ -70,6 +77,24 @@ def words_beside_links(text: str) -> int:
     return len(_WORD.findall(_MARKUP.sub(" ", _ANCHOR.sub(" ", _URL.sub("\0", text)))))
 
 
+def find_links(text: str) -> np.ndarray:
+    """Begin and end of each link: with a scheme, or a host name known by its end, not part of a call or an address."""
+    spans = [m.span() for m in _SCHEME.finditer(text)]
+    begins, ends = np.array([a for a, _ in spans], np.int64), np.array([b for _, b in spans], np.int64)
+    found = [m.span() for m in _END.finditer(text)]
+    if found:
+        place = np.searchsorted(begins, [a for a, _ in found], "right") - 1
+        inside = (place >= 0) & (ends[place] > [a for a, _ in found]) if len(ends) else np.zeros(len(found), bool)
+        last = 0
+        for (a, b), skip in zip(found, inside.tolist()):
+            # a host name has at most 253 signs
+            host = None if skip or a < last else _HOST.search(text, max(last, a - 253), a)
+            if host:
+                spans.append((host.start(), b))
+                last = b
+    return np.array(sorted(spans), np.int64).reshape(-1, 2)
+
+
 class Pages:
     """Word counts and other measures of a batch of texts."""
 
@@ -81,7 +106,7 @@ class Pages:
         starts = np.concatenate([[0], np.cumsum(self.chars + 1)])[:n]
         coded = joined.encode("utf-32-le", "replace")
         points = np.frombuffer(coded, np.uint32)
-        spans = np.array([m.span() for m in _URL.finditer(joined)], np.int64).reshape(-1, 2)
+        spans = find_links(joined)
         page_of_link = np.searchsorted(starts, spans[:, 0], "right") - 1
         self.links = np.bincount(page_of_link, minlength=n)
         self.link_chars = np.bincount(page_of_link, spans[:, 1] - spans[:, 0], n).astype(np.int64)
