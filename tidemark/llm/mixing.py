@@ -61,7 +61,7 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def _block(slot: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Series) -> pd.Series:
+def _permuted(slot: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Series) -> pd.Series:
     out = np.zeros(len(slot), np.int64)
     turn = slot // blocks
     for (name, n, key, k), own in slot.groupby([source, blocks, seed, turn], dropna=False).indices.items():
@@ -69,6 +69,10 @@ def _block(slot: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Serie
     return pd.Series(out)
 
 
+#: Called so that no filter on its result is moved below it, which would permute every slot twice.
+_block = _permuted.asNondeterministic()
+
+
 def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
     """How many slots of each shard each source fills (shards x sources).
 
