@@ -124,6 +124,18 @@ def bucket_end(at: Column, granularity: Granularity | str) -> Column:
     return at + F.make_dt_interval(secs=(ahead / 1_000_000).cast("decimal(18,6)"))
 
 
+def most_recent(at: Column, granularity: Granularity | str, zone: str | None = None) -> Column:
+    """The last aligned time at or before a timestamp, without zone; in a zone, on its clock. Weeks begin on Monday."""
+    g = parse(granularity) if isinstance(granularity, str) else granularity
+    clock = F.from_utc_timestamp(at.cast("timestamp"), zone) if zone else at.cast("timestamp")
+    if g.months:
+        return F.date_trunc("MONTH", clock).cast("timestamp_ntz")
+    if g.seconds in (DAY, 7 * DAY):
+        return F.date_trunc("DAY" if g.seconds == DAY else "WEEK", clock).cast("timestamp_ntz")
+    micros = F.unix_micros(clock)
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(g.seconds * 1_000_000))).cast("timestamp_ntz")
+
+
 def partition_index(at: Column, size: Granularity | str) -> Column:
     """Number of the partition, `size` long since 1970, that holds a timestamp; a boundary belongs to the later one."""
     g = parse(size) if isinstance(size, str) else size

@@ -22,6 +22,11 @@ def transfer(history: DataFrame, staged: DataFrame, modified: Column | None = No
     return upsert(history, staged.withColumn("modified", stamp), KEYS, order=order)
 
 
+def sample_view(history: DataFrame, view: DataFrame, at: Column, modified: Column | None = None) -> DataFrame:
+    """The history with the rows of a view (entity_id and attributes) taken in as of one time."""
+    return transfer(history, view.withColumn("timestamp", at), modified if modified is not None else at)
+
+
 def compact(history: DataFrame, key: str = "entity_id", order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """The history without rows that repeat the values of the row before; the first of equal rows stays."""
     own = columns or attributes(history, key)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.granularity import Granularity, partition_index
-from tidemark.operators.package import KEYS, trends
+from tidemark.operators.package import KEYS
 from tidemark.operators.tables_on_disk import PartitionedTable
 
 
@@ -73,6 +73,11 @@ def update_existing(table: DataFrame, package: DataFrame, keys: list[str], modif
     return joined.select(*(column(c) for c in table.columns))
 
 
+def delete_using(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The table without the rows whose key occurs in another."""
+    return table.join(other.select(*keys), keys, "left_anti")
+
+
 def modified_log(package: DataFrame, part: str, modified: Column | None = None) -> DataFrame:
     """A log entry for each timestamp that a package stores: part, timestamp, modified."""
     return package.select("timestamp").where(F.col("timestamp").isNotNull()).distinct().select(F.lit(part).alias("part"), "timestamp", (modified if modified is not None else F.current_timestamp()).alias("modified"))
@@ -138,5 +143,3 @@ def rank_latest(table: DataFrame, keys: list[str], order: list[Column]) -> DataF
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*(o.desc() for o in order)))
     return table.withColumn("__k", number).where(F.col("__k") == 1).drop("__k")
 
-
-__all__ = ["TrendTable", "clear", "current", "expired", "fold_modified", "insert_missing", "latest", "missing_partitions", "modified_log", "rank_latest", "trends", "update_existing", "upsert"]

@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_samples(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.samples(_lines(spark, d))
+    return rejects.samples(_lines(spark, d)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def _power(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +59,10 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return _power(spark, d)
 
 
+def p4_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _power(spark, d).drop("mean")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.found(spikes.implausible(table(spark, d, "sample_reading"), "node", "timestamp", "sample_id"), "sample_id")
 
@@ -67,7 +71,7 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "sample_reading"), "node", "timestamp", "sample_id").where(F.col("kind") == "limit").select("sample_id", "field_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_hours, p3_found, p3_samples, p4_found, p4_series, p5_found, p5_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_hours, p3_found, p3_samples, p4_found, p4_series, p4_cells, p5_found, p5_limits)}
 
 _LATE = """
 WITH r AS (
@@ -82,6 +86,34 @@ v AS (
          max(CASE WHEN k2 = 1 AND m <= (pe + 259200) * 1000000 THEN p END) AS b FROM f GROUP BY entity_id, pe, t)
 """
 
+_LINES = """
+WITH l AS (
+  SELECT s.line_id, c.field_sep AS sep, c.decimal_mark AS mark, coalesce(c.null_literal, '') AS lit, string_split(c.column_list, ',') AS cols,
+         regexp_replace(s.raw_line, '\\r$', '') AS raw
+  FROM sample_line s JOIN parser_config c USING (config_name)
+  WHERE coalesce(s.line_no, 0) <> 1 AND trim(regexp_replace(s.raw_line, '\\r$', '')) <> ''),
+q AS (
+  SELECT *, replace('^(?:"(?:[^"]|"")*"|[^"X]*)(?:X(?:"(?:[^"]|"")*"|[^"X]*))*$', 'X', sep) AS whole,
+         replace('X("(?:[^"]|"")*"|[^"X]*)', 'X', sep) AS one FROM l),
+ok AS (SELECT *, regexp_matches(raw, whole) AS fine FROM q),
+f AS (SELECT *, CASE WHEN fine THEN regexp_extract_all(sep || raw, one, 1) END AS vals FROM ok),
+c AS (
+  SELECT *, unnest(cols) AS col, unnest(range(1, len(cols) + 1)) AS i FROM f WHERE fine AND len(vals) = len(cols)),
+v AS (
+  SELECT line_id, col, mark, lit,
+         trim(CASE WHEN starts_with(vals[i], '"') THEN replace(substr(vals[i], 2, length(vals[i]) - 2), '""', '"') ELSE vals[i] END, ' ') AS x FROM c)
+"""
+
+_FAULTS = """SELECT line_id, 'quoting' AS fault FROM f WHERE NOT fine
+UNION ALL SELECT line_id, 'column_count' FROM f WHERE fine AND len(vals) <> len(cols)
+UNION ALL SELECT line_id, 'node' FROM v WHERE col = 'node' AND NOT regexp_full_match(x, '[a-z]+-[0-9]+')
+UNION ALL SELECT line_id, 'timestamp' FROM v WHERE col = 'timestamp' AND NOT (
+  regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})')
+  AND x[12:13] <= '23' AND x[15:16] <= '59' AND x[18:19] <= '59' AND (x[20:20] = 'Z' OR (x[21:22] <= '23' AND x[24:25] <= '59'))
+  AND TRY_CAST(x[1:10] AS DATE) IS NOT NULL)
+UNION ALL SELECT line_id, col FROM v WHERE col IN ('outside_temp', 'inside_temp', 'power_kwh') AND x <> '' AND x <> lit
+  AND NOT regexp_full_match(x, replace('[+-]?([0-9]+([D][0-9]*)?|[D][0-9]+)([eE][+-]?[0-9]+)?', 'D', mark))"""
+
 SQL = {
     "p2_found": _LATE
     + """SELECT entity_id, CAST(pe AS BIGINT) AS period_end FROM v GROUP BY entity_id, pe
@@ -105,29 +137,27 @@ SELECT node, CAST(c * 900 AS BIGINT) AS period_end FROM g ANTI JOIN r USING (nod
 SELECT sample_id, 'outside_temp' AS field_name FROM sample_reading WHERE outside_temp < -95 OR outside_temp > 65
 UNION ALL SELECT sample_id, 'inside_temp' FROM sample_reading WHERE inside_temp < -95 OR inside_temp > 95
 UNION ALL SELECT sample_id, 'power_kwh' FROM sample_reading WHERE power_kwh < 0 OR power_kwh > 1e7""",
-    "p3_found": """
-WITH l AS (
-  SELECT s.line_id, c.field_sep AS sep, c.decimal_mark AS mark, coalesce(c.null_literal, '') AS lit, string_split(c.column_list, ',') AS cols,
-         regexp_replace(s.raw_line, '\\r$', '') AS raw
-  FROM sample_line s JOIN parser_config c USING (config_name)
-  WHERE coalesce(s.line_no, 0) <> 1 AND trim(regexp_replace(s.raw_line, '\\r$', '')) <> ''),
-q AS (
-  SELECT *, replace('^(?:"(?:[^"]|"")*"|[^"X]*)(?:X(?:"(?:[^"]|"")*"|[^"X]*))*$', 'X', sep) AS whole,
-         replace('X("(?:[^"]|"")*"|[^"X]*)', 'X', sep) AS one FROM l),
-ok AS (SELECT *, regexp_matches(raw, whole) AS fine FROM q),
-f AS (SELECT *, CASE WHEN fine THEN regexp_extract_all(sep || raw, one, 1) END AS vals FROM ok),
-c AS (
-  SELECT *, unnest(cols) AS col, unnest(range(1, len(cols) + 1)) AS i FROM f WHERE fine AND len(vals) = len(cols)),
-v AS (
-  SELECT line_id, col, mark, lit,
-         trim(CASE WHEN starts_with(vals[i], '"') THEN replace(substr(vals[i], 2, length(vals[i]) - 2), '""', '"') ELSE vals[i] END, ' ') AS x FROM c)
-SELECT line_id, 'quoting' AS fault FROM f WHERE NOT fine
-UNION ALL SELECT line_id, 'column_count' FROM f WHERE fine AND len(vals) <> len(cols)
-UNION ALL SELECT line_id, 'node' FROM v WHERE col = 'node' AND NOT regexp_full_match(x, '[a-z]+-[0-9]+')
-UNION ALL SELECT line_id, 'timestamp' FROM v WHERE col = 'timestamp' AND NOT (
-  regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})')
-  AND x[12:13] <= '23' AND x[15:16] <= '59' AND x[18:19] <= '59' AND (x[20:20] = 'Z' OR (x[21:22] <= '23' AND x[24:25] <= '59'))
-  AND TRY_CAST(x[1:10] AS DATE) IS NOT NULL)
-UNION ALL SELECT line_id, col FROM v WHERE col IN ('outside_temp', 'inside_temp', 'power_kwh') AND x <> '' AND x <> lit
-  AND NOT regexp_full_match(x, replace('[+-]?([0-9]+([D][0-9]*)?|[D][0-9]+)([eE][+-]?[0-9]+)?', 'D', mark))""",
+    "p3_found": _LINES + _FAULTS,
+    "p3_samples": _LINES
+    + """, bad AS ("""
+    + _FAULTS
+    + """)
+SELECT line_id, max(x) FILTER (WHERE col = 'node') AS node,
+  timezone('UTC', CAST(replace(max(x) FILTER (WHERE col = 'timestamp'), 'Z', '+00:00') AS TIMESTAMPTZ)) AS timestamp,
+  max(TRY_CAST(replace(x, mark, '.') AS DOUBLE)) FILTER (WHERE col = 'outside_temp' AND x <> '' AND x <> lit) AS outside_temp,
+  max(TRY_CAST(replace(x, mark, '.') AS DOUBLE)) FILTER (WHERE col = 'inside_temp' AND x <> '' AND x <> lit) AS inside_temp,
+  max(TRY_CAST(replace(x, mark, '.') AS DOUBLE)) FILTER (WHERE col = 'power_kwh' AND x <> '' AND x <> lit) AS power_kwh
+FROM v WHERE line_id NOT IN (SELECT line_id FROM bad) GROUP BY line_id""",
+    "p4_cells": """
+WITH r AS (
+  SELECT node, epoch_us("timestamp") AS t, arg_max(power_kwh, (created, sample_id)) AS p FROM sample_reading
+  WHERE node IS NOT NULL AND "timestamp" IS NOT NULL AND power_kwh IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT node, t, (t + 899999999) // 900000000 AS c, lead(t) OVER (PARTITION BY node ORDER BY t) AS n FROM r),
+u AS (SELECT *, coalesce(least(n, t + 3600000000), c * 900000000) AS until FROM i),
+x AS (SELECT *, unnest(generate_series(c, coalesce((n + 899999999) // 900000000, c))) AS cell FROM u),
+g AS (
+  SELECT node, cell, CAST(sum(CASE WHEN cell = c THEN 1 ELSE 0 END) AS BIGINT) AS readings,
+         sum(greatest(0, least(until, cell * 900000000) - greatest(t, (cell - 1) * 900000000))) AS w FROM x GROUP BY 1, 2)
+SELECT node, CAST(cell * 900 AS BIGINT) AS period_end, readings, CAST(w AS DOUBLE) / 900000000 AS coverage,
+  CASE WHEN readings > 0 THEN 'observed' WHEN w > 0 THEN 'filled' ELSE 'missing' END AS state FROM g""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import datatypes, names
-from tidemark.functions.granularity import bucket_end, parse, partition_index, stamps
+from tidemark.functions.granularity import bucket_end, most_recent, parse, partition_index, stamps
 from tidemark.operators import aggregate, attributes, package, relations, store, triggers
 from tidemark.sources import csv
 from tidemark.sources.tables import table
@@ -573,3 +573,94 @@ def live_monitor_once(spark, d):
     return _out(spark.read.parquet(f"{root}/hourly"))
 
 
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+def delete_using(spark, d):
+    return store.delete_using(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big WHERE k % 2 = 0")
+def with_query(spark, d):
+    return spark.sql("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big WHERE k % 2 = 0", orders=table(spark, d, "orders"))
+
+
+@query("SELECT DISTINCT l_shipdate AS timestamp FROM lineitem")
+def package_timestamps(spark, d):
+    return package.timestamps(_line_package(spark, d))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS seconds, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS whole FROM events")
+def unix_times(spark, d):
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    return table(spark, d, "events").select("event_id", seconds.alias("seconds"), F.timestamp_seconds(seconds).cast(NTZ).alias("whole"))
+
+
+@query("""
+SELECT event_id, time_bucket(INTERVAL 15 MINUTE, ts) AS quarter, date_trunc('hour', ts) AS hour, date_trunc('day', ts) AS day, date_trunc('week', ts) AS week,
+date_trunc('day', timezone('Europe/Amsterdam', timezone('UTC', ts))) AS local_day FROM events""")
+def aligned_timestamps(spark, d):
+    ts = F.col("ts")
+    names_ = {"quarter": "15m", "hour": "1h", "day": "1d", "week": "1w"}
+    local = most_recent(ts, "1d", "Europe/Amsterdam")
+    return table(spark, d, "events").select("event_id", *(most_recent(ts, g).alias(n) for n, g in names_.items()), local.alias("local_day"))
+
+
+@query("SELECT o_orderkey AS entity_id, CAST(o_custkey AS BIGINT) AS number, o_totalprice AS price, CAST(NULL AS VARCHAR) AS remark FROM orders")
+def widened_attributes(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_custkey").cast("int").alias("number"), F.col("o_totalprice").alias("price"))
+    return attributes.widen(rows, {"number": ("integer", "bigint"), "price": ("double precision", "integer"), "remark": ("text", "text")})
+
+
+@query("""
+SELECT o_custkey AS entity_id, TIMESTAMP '2024-01-01' AS timestamp, CAST(count(*) AS BIGINT) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1""")
+def sampled_view(spark, d):
+    view = spark.sql("SELECT o_custkey AS entity_id, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM {orders} GROUP BY 1", orders=table(spark, d, "orders"))
+    empty = spark.createDataFrame([], "entity_id bigint, timestamp timestamp_ntz, modified timestamp_ntz, orders bigint, spent double")
+    return attributes.sample_view(empty, view, F.lit("2024-01-01").cast(NTZ)).drop("modified")
+
+
+@query("SELECT o_orderkey AS entity_id, o_totalprice AS price, nullif(o_orderpriority, '5-LOW') AS label FROM orders")
+def json_package(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.col("o_totalprice").alias("price"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("label"))
+    return csv.package_from_json(csv.package_json(rows), "price double, label string").drop("timestamp")
+
+
+@query("""
+SELECT event_type, CAST(avg(CAST(user_id AS DECIMAL(20,0))) * 0 + CAST(sum(user_id) AS DOUBLE) / count(*) AS DOUBLE) AS mean, CAST(sum(CAST(user_id AS SMALLINT)) AS BIGINT) AS total, max(CAST(user_id AS INTEGER)) AS most FROM events GROUP BY 1""")
+def promoted_types(spark, d):
+    rows = table(spark, d, "events").select("event_type", F.col("user_id"), F.col("user_id").cast("smallint").alias("small"), F.col("user_id").cast("int").alias("whole"))
+    grouped = rows.groupBy("event_type").agg(F.sum("user_id").alias("s"), F.count("*").alias("n"), datatypes.aggregate("sum", "small", "smallint").alias("total"), datatypes.aggregate("max", "whole", "integer").alias("most"))
+    return grouped.select("event_type", (F.col("s").cast("double") / F.col("n")).alias("mean"), "total", "most")
+
+
+@query("""
+WITH w AS (SELECT unnest(generate_series(DATE '2023-12-28', DATE '2024-02-02', INTERVAL 1 DAY)) AS begin), p AS (SELECT DISTINCT date_trunc('day', ts) AS begin FROM events)
+SELECT CAST(epoch(begin) // 86400 AS BIGINT) AS index FROM w ANTI JOIN p USING (begin)""")
+def missing_partitions(spark, d):
+    begin = F.lit("2023-12-27 00:00:00").cast("timestamp")
+    wanted = spark.range(1).select(F.explode(stamps(begin, F.lit("2024-02-02 00:00:00").cast("timestamp"), "1d")).alias("begin")).select(partition_index(F.col("begin"), "1d").alias("index"))
+    present = table(spark, d, "events").select(partition_index(F.col("ts"), "1d").alias("index")).distinct()
+    return store.missing_partitions(wanted, present, ["index"])
+
+
+@query("""
+SELECT l_suppkey AS entity_id, date_trunc('month', l_shipdate - INTERVAL 1 MICROSECOND) + INTERVAL 1 MONTH AS timestamp, count(*) AS samples, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price FROM lineitem GROUP BY 1, 2""")
+def supplier_months(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_extendedprice").cast(MONEY).alias("price"))
+    return _out(aggregate.time_aggregate(rows, [aggregate.Measure("price", "numeric")], "1month"))
+
+
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY event_id) + 100 AS BIGINT) AS id, user_id AS entity_id, ts AS timestamp, '{"type":"' || event_type || '"}' AS data FROM events WHERE value > 90
+UNION ALL SELECT 100, 1, TIMESTAMP '2020-01-01', NULL""".replace("CAST(row_number() OVER (ORDER BY event_id) + 100 AS BIGINT) AS id, ", "").replace("100, 1, ", "1, "))
+def notification_append(spark, d):
+    held = spark.createDataFrame([(100, 1, datetime(2020, 1, 1), None)], "id bigint, entity_id bigint, timestamp timestamp_ntz, data string")
+    new = table(spark, d, "events").where("value > 90").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("timestamp"), F.struct(F.col("event_type").alias("type")).alias("data"))
+    return triggers.append(held, new).drop("id")
+
+
+@query("SELECT n_nationkey, n_name, 'nation-' || CAST(n_nationkey AS VARCHAR) AS label FROM nation WHERE n_name IN ('NATION_1', 'NATION_2') OR n_nationkey >= 20")
+def literals_and_calls(spark, d):
+    label = F.call_function("concat", F.lit("nation-"), F.col("n_nationkey").cast("string"))
+    return table(spark, d, "nation").where(F.col("n_name").isin("NATION_1", "NATION_2") | (F.col("n_nationkey") >= F.lit(20))).select("n_nationkey", "n_name", label.alias("label"))
