@@ -43,6 +43,8 @@ LEAST_WORDS, LEAST_DISTINCT = 30, 6
 PROSE, NO_PROSE, CODE = 0.25, 0.25, 0.35
 #: Departures from prose at comparable length: of log(words / distinct words), of the slope, of the residual.
 CROWDED, STEEP, BENT = 0.55, -0.25, 0.10
+#: What prose is taken to be like where a corpus has none.
+NO_PROSE_AT_ALL = {"slope": -0.65, "residual": 0.2, "crowd": 0.6}
 #: A page may lend words to the lexicon if it has fewer distinct words for each word than this.
 POOR = 0.40
 #: A lexicon word is on this share of the extreme pages and this many times as frequent there as elsewhere.
@@ -222,9 +224,9 @@ def departures(fitted: DataFrame) -> DataFrame:
 
     own = medians(["lang", "band"], "own").where("own_n >= 20")
     any_ = medians(["band"], "any").where("any_n >= 20")
-    every = medians([], "all")
-    joined = banded.join(own, ["lang", "band"], "left").join(any_, "band", "left").crossJoin(F.broadcast(every))  # one row
-    reference = {m: F.coalesce(f"own_{m}", f"any_{m}", f"all_{m}", F.lit({"slope": -0.65, "residual": 0.2, "crowd": 0.6}[m])) for m in measures}
+    every = prose.agg(*(F.percentile_approx(m, 0.5, 1000).alias(m) for m in measures)).first()
+    joined = banded.join(own, ["lang", "band"], "left").join(any_, "band", "left")
+    reference = {m: F.coalesce(f"own_{m}", f"any_{m}", F.lit(NO_PROSE_AT_ALL[m] if every[m] is None else every[m])) for m in measures}
     return joined.select("doc", "words", "distinct", "function", "code", *((F.col(m) - reference[m]).alias(m) for m in measures))
 
 
