@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def get_or_create(entities: DataFrame, names: DataFrame, name: str = "name", created: Column | None = None, entity_type_id: int | None = None) -> DataFrame:
     """The entities with those added whose names are new.
@@ -15,14 +17,15 @@ def get_or_create(entities: DataFrame, names: DataFrame, name: str = "name", cre
     start. Null names are no entities.
     """
     new = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().join(entities.select("name"), "name", "left_anti")
-    start = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__start"))
-    # numbers without one window over all: sort by range, count each range, then number within it
+    start = entities.agg(F.max("id")).first()[0] or 0
+    # numbers without one window over all: sort by range, count each range, then number within it; written once,
+    # as the ranges drawn might differ if they were drawn twice
     ranged = new.repartitionByRange("name").withColumn("__range", F.spark_partition_id())
-    within = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy("name")))
+    within = cut(ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy("name"))))
     sizes = within.groupBy("__range").agg(F.max("__k").alias("__n"))
     ahead = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    numbered = within.join(F.broadcast(ahead), "__range").crossJoin(F.broadcast(start))  # one row for each range; one row
-    added = numbered.select((F.col("__start") + F.col("__ahead") + F.col("__k")).cast("bigint").alias("id"), "name", (created if created is not None else F.current_timestamp()).alias("created"), F.lit(entity_type_id).cast("int").alias("entity_type_id"))
+    numbered = within.join(F.broadcast(ahead), "__range")  # one row for each range
+    added = numbered.select((F.lit(start) + F.col("__ahead") + F.col("__k")).cast("bigint").alias("id"), "name", (created if created is not None else F.current_timestamp()).alias("created"), F.lit(entity_type_id).cast("int").alias("entity_type_id"))
     kinds = {f.name: f.dataType for f in entities.schema}
     return entities.unionByName(added.select(*(F.col(c).cast(kinds[c]).alias(c) for c in added.columns if c in kinds)), allowMissingColumns=True)
 

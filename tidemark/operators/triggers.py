@@ -63,7 +63,7 @@ def notification_sets(notifications: DataFrame, keys: list[str], at: str = "time
 def append(store: DataFrame, records: DataFrame) -> DataFrame:
     """The notification store with records added; ids go on from the greatest; maps and structs are kept as JSON text."""
     kinds = {f.name: f.dataType for f in store.schema}
-    start = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__start"))
+    start = store.agg(F.max("id")).first()[0] or 0
     flat = records.select(*((F.to_json(c) if kinds[c].typeName() == "string" and records.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c)).cast(kinds[c]).alias(c) for c in records.columns if c in kinds and c != "id"))
-    numbered = flat.withColumn("__k", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(start))  # one row
-    return store.unionByName(numbered.select((F.col("__start") + F.col("__k")).cast(kinds["id"]).alias("id"), *flat.columns), allowMissingColumns=True)
+    numbered = flat.withColumn("id", (F.lit(start + 1) + F.monotonically_increasing_id()).cast(kinds["id"]))
+    return store.unionByName(numbered.select("id", *flat.columns), allowMissingColumns=True)
