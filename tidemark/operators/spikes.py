@@ -40,10 +40,12 @@ class Field:
 
 
 #: Air and room temperatures in degrees Celsius; energy drawn in a period, never negative.
-FIELDS = (Field("outside_temp", -95.0, 65.0, 5.0), Field("inside_temp", -95.0, 95.0, 5.0), Field("power_kwh", 0.0, 1e7, 9.0, rest=0.0))
+FIELDS = (Field("outside_temp", -95.0, 65.0, 5.0), Field("inside_temp", -95.0, 95.0, 5.0), Field("power_kwh", 0.0, 1e7, 8.0, rest=0.0))
 
 #: Readings of each side that give the level there.
 SIDE = 7
+#: A value with digits that its source hardly ever reports (on less than OFF_GRID of its readings) needs this part of the departure.
+OFF_GRID, ODD_DIGITS = 0.05, 0.7
 #: Where one side is missing, at either end of a series, the departure must be this many times the limit.
 EDGE = 2.0
 ROUNDS = 4
@@ -102,7 +104,7 @@ def stuck_runs(values: np.ndarray, series: np.ndarray, rest: float | None = None
     return np.repeat(long, length)
 
 
-def spikes(values: np.ndarray, series: np.ndarray, limit: float, rest: float | None = None) -> np.ndarray:
+def spikes(values: np.ndarray, series: np.ndarray, limit: float) -> np.ndarray:
     """Mask of additive outliers. Values and series are in order, series from 0; values are within their limits."""
     n = len(values)
     flagged = np.zeros(n, bool)
@@ -126,6 +128,11 @@ def spikes(values: np.ndarray, series: np.ndarray, limit: float, rest: float | N
     moved = (series[1:] == series[:-1]) & (step > 0)
     resolution = _group_medians(step[moved], series[1:][moved], count, 0.02)
     noise = np.maximum(noise, resolution / 2)
+    # values between the marks of a coarse scale
+    scale_of = np.maximum(resolution, 1e-9)[series]
+    off = np.abs(values / scale_of - np.rint(values / scale_of)) > 0.05
+    odd = off & (np.bincount(series, off, count) < OFF_GRID * np.bincount(series, minlength=count))[series]
+    needed = np.where(odd, ODD_DIGITS * limit, limit)
     phi = np.zeros(count)
     todo = np.arange(n)
     for turn in range(ROUNDS):
@@ -145,9 +152,7 @@ def spikes(values: np.ndarray, series: np.ndarray, limit: float, rest: float | N
         local = np.fmin(_median(np.abs(before - level_b[:, None])), _median(np.abs(after - level_a[:, None]))) * 1.4826
         slope = np.abs(level_a - level_b) / (SIDE + 1) * SIDE / 4 * 1.4826
         scale = np.fmax(noise[series[todo]], np.nan_to_num(local) - slope)
-        hit = departure > np.where(one_sided, EDGE * limit, limit) * np.maximum(scale, 1e-12)
-        if rest is not None:
-            hit &= x != rest
+        hit = departure > np.where(one_sided, EDGE, 1.0) * needed[todo] * np.maximum(scale, 1e-12)
         fresh = todo[hit & ~flagged[todo]]
         back = todo[~hit & flagged[todo]]
         flagged[fresh], flagged[back] = True, False
@@ -199,11 +204,14 @@ def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: t
         single[1:] |= held[1:] & ((v[1:] != v[:-1]) | ~held[:-1] | (series[1:] != series[:-1]))
         if len(held):
             single[0] = True
+        # readings at rest are neither spikes nor what others are held against
+        if field.rest is not None:
+            single &= v != field.rest
         hit = np.zeros(len(v), bool)
         if single.any():
             packed = series[single]
             packed = np.concatenate([[0], np.cumsum(packed[1:] != packed[:-1])])
-            hit[single] = spikes(v[single], packed, field.limit, field.rest)
+            hit[single] = spikes(v[single], packed, field.limit)
         hit &= ~held
         stuck, spike = np.zeros(len(x), bool), np.zeros(len(x), bool)
         stuck[used], spike[used] = held[row_of], hit[row_of]
