@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators.rejects import LineFormat, index_lines, parse_lines, rejected, samples, split_lines
+from tidemark.operators.rejects import LineFormat, index_lines, parse_lines, records_of_files, rejected, samples, split_lines
 
 FORM = LineFormat(",", ".", "", ("node", "timestamp", "outside_temp", "inside_temp", "power_kwh"))
 SEMI = LineFormat(";", ",", "-", ("timestamp", "node", "power_kwh", "outside_temp", "inside_temp"))
@@ -112,3 +112,15 @@ def test_lines_to_samples_and_rejects(spark):
     assert good[6].power_kwh is None and good[6].outside_temp == -1.5 and good[6].node == "oxwold-1"
     assert good[6].timestamp.astimezone(UTC) == datetime(2022, 5, 28, 5, 45, tzinfo=UTC)
     assert split_lines(df.limit(0), formats).count() == 0
+
+
+def test_records_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'h1,h2\n' + GOOD.encode() + b'\r\n"two\nlines",x\n\nlast')
+    (tmp_path / "b.csv").write_bytes(b"")
+    (tmp_path / "c.csv").write_bytes(b'x\n"open\n' + GOOD.encode())
+    rows = records_of_files(spark, str(tmp_path), "a")
+    by_file = {}
+    for r in rows.orderBy("file_name", "line_no").collect():
+        by_file.setdefault(r.file_name[-5], []).append(r.raw_line)
+    assert by_file == {"a": ["h1,h2", GOOD + "\r", '"two\nlines",x', "", "last"], "c": ["x", '"open\n' + GOOD]}
+    assert rows.select("line_id").distinct().count() == 7

@@ -46,6 +46,7 @@ def test_table_on_disk(spark, tmp_path):
     assert rows(table.read(), "entity_id", "a", "job_id") == [(1, 3, 2), (2, 2, 1)]
     assert rows(table.read(days[1:]), "entity_id") == [(2,)]
     assert table.drop_before(days[1]) == days[:1] and table.read().count() == 1
+    assert len(table.vacuum()) == 1 and table.vacuum() == [] and table.read().count() == 1
 
 
 def test_writers_side_by_side(spark, tmp_path):

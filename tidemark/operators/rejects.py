@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,6 +217,38 @@ def split_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     return read.mapInArrow(run, SCHEMA)
 
 
+def record_ends(data: np.ndarray) -> np.ndarray:
+    """Places just after each record of a file's bytes: line ends that stand outside quotes, and the end of the file."""
+    odd = (np.cumsum(data == QUOTE) & 1).astype(bool)
+    ends = np.flatnonzero((data == ord("\n")) & ~odd) + 1
+    return ends if not len(data) or (len(ends) and ends[-1] == len(data)) else np.append(ends, len(data))
+
+
+def records_of_files(spark: SparkSession, path: str, config_name: str) -> DataFrame:
+    """The records of whole files as rows for split_lines: line_id, file_name, line_no, config_name, raw_line.
+
+    Fields in quotes may hold line ends. A file is read by one task, as where
+    a quote opens far ahead can change what every later one means; a file
+    with an unclosed quote gives one last record up to its end. line_id is
+    made of the file's hash and the record's number.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.xxhash64("path").alias("hash"))
+
+    def run(batches):
+        for batch in batches:
+            for name, content, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data = np.frombuffer(content.as_py(), np.uint8)
+                ends = record_ends(data)
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                cut = ends - ((ends > begins) & (data[np.maximum(ends - 1, 0)] == ord("\n"))) if len(ends) else ends
+                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begins, cut)]
+                n = len(texts)
+                ids = np.arange(n, dtype=np.int64) ^ (np.int64(number) << np.int64(24))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([name] * n, pa.string()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array([config_name] * n, pa.string()), pa.array(texts, pa.string())], names=["line_id", "file_name", "line_no", "config_name", "raw_line"])
+
+    return files.mapInArrow(run, "line_id bigint, file_name string, line_no int, config_name string, raw_line string")
+
+
 def samples(parsed: DataFrame) -> DataFrame:
     """The valid lines as typed samples."""
     return parsed.where(F.size("faults") == 0).drop("faults")

@@ -66,3 +66,17 @@ class PartitionedTable:
         new = self.write(rows, partition, order)
         gone = set(touched)
         self.point({p: f for p, f in self.manifest().items() if p not in gone} | new)
+
+    def vacuum(self) -> list[str]:
+        """Delete folders that the manifest no longer names; not while someone may still read them."""
+        root, fs = self._file(".")
+        if not fs.exists(root):
+            return []
+        named = {f.split("/")[0] for f in self.manifest().values()}
+        gone = []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in named:
+                fs.delete(status.getPath(), True)
+                gone.append(name)
+        return gone
