@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_instants(spark: SparkSession, d: str) -> DataFrame:
     timed = instants.with_instant(table(spark, d, "sample_text"), table(spark, d, "v_site"))
-    return timed.select("row_id", "node", F.timestamp_micros("instant_us").alias("instant"), "outside_temp", "inside_temp", "power_kwh")
+    return timed.select("row_id", "node", F.timestamp_micros("instant_us").cast("timestamp_ntz").alias("instant"), "outside_temp", "inside_temp", "power_kwh")
 
 
 def _hours(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,70 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_hours, p3_found, p3_samples, p4_found, p4_series, p4_cells, p5_found, p5_limits)}
 
+_TIMES = r"""
+WITH z(abbreviation, zone, off) AS (VALUES
+  ('CET', 'Europe/Amsterdam', 3600), ('CEST', 'Europe/Amsterdam', 7200), ('AEST', 'Australia/Sydney', 36000), ('AEDT', 'Australia/Sydney', 39600),
+  ('NZST', 'Pacific/Auckland', 43200), ('NZDT', 'Pacific/Auckland', 46800), ('EAT', 'Africa/Nairobi', 10800), ('CST', 'America/Chicago', -21600),
+  ('CDT', 'America/Chicago', -18000), ('JST', 'Asia/Tokyo', 32400), ('IST', 'Asia/Kolkata', 19800), ('ACST', 'Australia/Adelaide', 34200),
+  ('ACDT', 'Australia/Adelaide', 37800), ('EET', 'Europe/Helsinki', 7200), ('EEST', 'Europe/Helsinki', 10800), ('NST', 'America/St_Johns', -12600),
+  ('NDT', 'America/St_Johns', -9000), ('MST', 'America/Phoenix', -25200), ('EST', 'America/New_York', -18000), ('EDT', 'America/New_York', -14400),
+  ('WET', 'Europe/Lisbon', 0), ('WEST', 'Europe/Lisbon', 3600), ('MST', 'America/Denver', -25200), ('MDT', 'America/Denver', -21600)),
+m(word, month) AS (SELECT unnest(['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']), unnest(range(1, 13))),
+t AS (
+  SELECT row_id, node, tz_name AS site_zone, date_order, upper(trim(trim(trim("timestamp", E' \t'), '"'), E' \t')) AS s
+  FROM sample_text LEFT JOIN v_site ON name = split_part(node, '-', 1)),
+c AS (
+  SELECT *, regexp_extract(s, '^(.*?)( ?\[?([A-Z]+/[A-Z_]+)\]?)?$', ['head', 'x', 'named']) AS n FROM t),
+o AS (
+  SELECT *, n.named AS named, regexp_extract(n.head, '^(.*?[0-9])( ?([+-][0-9]{2}:?([0-9]{2})?)| ?([A-Z]+)| (AM|PM))?$', ['body', 'x', 'offset', 'mm', 'word', 'half']) AS p FROM c),
+b AS (
+  SELECT *, CASE WHEN regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T?') OR NOT regexp_matches(s, '^(?:[A-Z]{3},? )?[0-9]') THEN '' WHEN p.body = '' THEN n.head ELSE p.body END AS body,
+         CASE WHEN regexp_matches(p.body, ':[0-9]{2}|[0-9]{8}[T.]') THEN p.offset ELSE '' END AS off_text,
+         CASE WHEN p.word IN ('AM', 'PM') THEN p.word ELSE '' END AS half, CASE WHEN p.word IN ('AM', 'PM') THEN '' ELSE p.word END AS word FROM o),
+r AS (
+  SELECT *,
+    regexp_extract(body, '^([0-9]{4})-([0-9]{2})-([0-9]{2})[ T]', ['y', 'm', 'd']) AS d1,
+    regexp_extract(body, '^([0-9]{4})-([0-9]{3})T', ['y', 'j']) AS d2,
+    regexp_extract(body, '^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4}) ', ['a', 'b', 'y']) AS d3,
+    regexp_extract(body, '^(?:[A-Z]{3}, )?([0-9]{1,2})[ -]([A-Z]{3})[ -]([0-9]{4}) ', ['d', 'w', 'y']) AS d4,
+    regexp_extract(body, '^([0-9]{4})([0-9]{2})([0-9]{2})[T.]([0-9]{2})([0-9]{2})([0-9]{2})?(?:[.,]([0-9]+))?$', ['y', 'm', 'd', 'h', 'i', 's', 'f']) AS d5,
+    regexp_extract(body, '[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?$', ['h', 'i', 's', 'f']) AS k
+  FROM b),
+q AS (
+  SELECT row_id, node, s, site_zone, named, off_text, half, word,
+    CASE WHEN d1.y <> '' THEN concat(d1.y, '-', d1.m, '-', d1.d)
+         WHEN d2.y <> '' AND TRY_CAST(d2.j AS INT) BETWEEN 1 AND 365 + (TRY_CAST(d2.y AS INT) % 4 = 0)::INT THEN CAST(TRY_CAST(concat(d2.y, '-01-01') AS DATE) + TRY_CAST(d2.j AS INT) - 1 AS VARCHAR)
+         WHEN d3.y <> '' THEN concat(d3.y, '-', CASE WHEN date_order = 'mdy' THEN concat(d3.a, '-', d3.b) WHEN date_order = 'dmy' THEN concat(d3.b, '-', d3.a) END)
+         WHEN d4.y <> '' THEN concat(d4.y, '-', (SELECT month FROM m WHERE m.word = d4.w), '-', d4.d)
+         WHEN d5.y <> '' THEN concat(d5.y, '-', d5.m, '-', d5.d) END AS date_text,
+    CASE WHEN d5.y <> '' THEN d5.h ELSE k.h END AS h, CASE WHEN d5.y <> '' THEN d5.i ELSE k.i END AS i,
+    CASE WHEN d5.y <> '' THEN d5.s ELSE k.s END AS sec, CASE WHEN d5.y <> '' THEN d5.f ELSE k.f END AS f
+  FROM r),
+w AS (
+  SELECT *, TRY_CAST(date_text AS DATE) AS day, TRY_CAST(h AS INT) AS hh, TRY_CAST(i AS INT) AS mi, coalesce(TRY_CAST(sec AS INT), 0) AS ss,
+    coalesce(TRY_CAST(left(rpad(f, 6, '0'), 6) AS BIGINT), 0) AS us FROM q),
+v AS (
+  SELECT *, (CAST(day AS TIMESTAMP) + to_seconds(3600 * CASE half WHEN 'AM' THEN hh % 12 WHEN 'PM' THEN hh % 12 + 12 ELSE hh END + 60 * mi + ss)) AS clock
+  FROM w WHERE day IS NOT NULL AND mi <= 59 AND ss <= 59 AND (CASE WHEN half = '' THEN hh <= 23 ELSE hh BETWEEN 1 AND 12 END)),
+u AS (
+  SELECT row_id, node, us,
+    CASE WHEN off_text <> '' THEN epoch_us(clock) - (CASE WHEN off_text[1] = '-' THEN -1 ELSE 1 END) * CAST(1000000 AS BIGINT) *
+           (3600 * TRY_CAST(off_text[2:3] AS BIGINT) + 60 * coalesce(TRY_CAST(replace(off_text[4:], ':', '') AS BIGINT), 0))
+         WHEN word IN ('Z', 'UTC', 'GMT') THEN epoch_us(clock)
+         WHEN word <> '' THEN epoch_us(clock) - CAST(1000000 AS BIGINT) * (SELECT max(off) FROM z WHERE abbreviation = word AND zone = (SELECT max(zone) FROM z WHERE zone = site_zone AND abbreviation = word))
+         ELSE (SELECT CASE WHEN count(DISTINCT x) = 1 THEN max(x) END FROM (
+           SELECT epoch_us(timezone(CASE WHEN named <> '' THEN named ELSE site_zone END, clock)) + CAST(g.k AS BIGINT) * 1800000000 AS x FROM range(-4, 5) g(k)
+           ) WHERE timezone(CASE WHEN named <> '' THEN named ELSE site_zone END, make_timestamptz(x)) = clock) END AS instant FROM v),
+bare AS (
+  SELECT row_id, node, CAST(split_part(s, '.', 1) AS HUGEINT) AS whole, rpad(split_part(s, '.', 2), 20, '0') AS fraction FROM t WHERE regexp_full_match(s, '[0-9]{9,19}(\.[0-9]+)?')),
+e AS (
+  SELECT row_id, node, CAST(whole AS VARCHAR) || fraction AS digits, length(CAST(whole AS VARCHAR)) AS wide FROM bare),
+n AS (
+  SELECT row_id, node, CAST(left(digits, wide - k + 6) AS BIGINT) AS instant FROM e, (VALUES (0), (3), (6), (9)) x(k)
+  WHERE wide - k >= 1 AND CAST(left(digits, wide - k) AS HUGEINT) >= 1609459200 AND CAST(left(digits, wide - k) AS HUGEINT) < 1767225600),
+i AS (SELECT row_id, node, instant + us AS instant FROM u WHERE instant IS NOT NULL UNION ALL SELECT row_id, node, instant FROM n)
+"""
+
 _LATE = """
 WITH r AS (
   SELECT entity_id, epoch_us("timestamp") AS t, epoch_us(modified) AS m, delivery_id AS d, power_kwh AS p,
@@ -115,6 +179,8 @@ UNION ALL SELECT line_id, col FROM v WHERE col IN ('outside_temp', 'inside_temp'
   AND NOT regexp_full_match(x, replace('[+-]?([0-9]+([D][0-9]*)?|[D][0-9]+)([eE][+-]?[0-9]+)?', 'D', mark))"""
 
 SQL = {
+    "p1_found": _TIMES + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM i a JOIN i b ON a.node = b.node AND a.instant = b.instant AND a.row_id < b.row_id",
+    "p1_instants": _TIMES + "SELECT s.row_id, s.node, make_timestamp(i.instant) AS instant, outside_temp, inside_temp, power_kwh FROM sample_text s LEFT JOIN i USING (row_id)",
     "p2_found": _LATE
     + """SELECT entity_id, CAST(pe AS BIGINT) AS period_end FROM v GROUP BY entity_id, pe
 HAVING sum(a) IS DISTINCT FROM sum(b)""",
