@@ -44,7 +44,8 @@ def multisets(df: DataFrame, keys: list[str], event: str, arrival: str, tie: str
     record = F.struct("__arrival", "__tie", "__value")
     after = F.unix_micros("__arrival") - F.col("period_end") * SECOND
     last = [F.max(F.when(after <= s * SECOND, record)).alias(f"__{m}") for m, s in moments.items()]
-    latest = rows.groupBy(*keys, "period_end", "__event").agg(*last)
+    # brought together by period, so that neither counting values nor what follows from the counts moves rows again
+    latest = rows.groupBy(*keys, "period_end", "__event").agg(*last).repartition(*keys, "period_end")
     adjustments = F.array(*(F.struct(F.col(f"__{m}.__value").alias("value"), *(F.lit(int(m == n)).alias(f"n_{n}") for n in moments)) for m in moments))
     exploded = latest.select(*keys, "period_end", F.inline(adjustments))
     return exploded.groupBy(*keys, "period_end", "value").agg(*(F.sum(F.when(F.col("value").isNotNull(), F.col(f"n_{m}")).otherwise(0)).alias(f"n_{m}") for m in moments))
