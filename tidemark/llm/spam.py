@@ -248,7 +248,7 @@ def lexicon(pages: DataFrame, vocabulary: DataFrame, found: DataFrame) -> frozen
     if not number:
         return frozenset()
     terms = lent.select(F.inline(F.arrays_zip(F.col("terms").alias("word"), F.col("counts").alias("n")))).toDF("word", "n")
-    there = terms.groupBy("word").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= max(3.0, ON_PAGES * number))
+    there = terms.groupBy("word").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= max(2.0, ON_PAGES * number))
     sizes = vocabulary.agg(F.sum("total")).first()[0] or 0
     inside = lent.select(F.sum(F.aggregate("counts", F.lit(0), lambda a, x: a + x).cast("bigint"))).first()[0]
     totals = vocabulary.join(F.broadcast(there.select("word")), "word", "left_semi").groupBy("word").agg(F.sum("total").alias("total"))
