@@ -203,8 +203,8 @@ def curves(pages: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("__page").orderBy(F.desc("__n")))
     x, y = F.log(place), F.log("__n")
     points = ranked.withColumn("__x", x).withColumn("__y", y.cast("double")).withColumn("__w", 1.0 / F.exp("__x"))
-    sums = points.groupBy("__page").agg(
-        *(F.first(c).alias(c) for c in ("doc", "lang", "words", "distinct", "function", "code")),
+    # the page's own columns are keys too: a first() of texts would make the aggregation sort its rows
+    sums = points.groupBy("__page", "doc", "lang", "words", "distinct", "function", "code").agg(
         F.sum("__w").alias("w"),
         *(F.sum(F.col("__w") * v).alias(k) for k, v in (("wx", F.col("__x")), ("wy", F.col("__y")), ("wxx", F.col("__x") * F.col("__x")), ("wxy", F.col("__x") * F.col("__y")), ("wyy", F.col("__y") * F.col("__y")))),
     )
