@@ -41,15 +41,16 @@ def regular_series(df: DataFrame, source: str, at: str, value: str, newest: list
     rows = df.select(F.col(source).alias("__source"), F.unix_micros(at).alias("__at"), F.struct(*newest, F.col(value).cast("double").alias("__value")).alias("__row"))
     rows = rows.where(F.col("__source").isNotNull() & F.col("__at").isNotNull() & F.col("__row.__value").isNotNull())
     rows = rows.withColumn("__cell", _cell(F.col("__at"), step)).withColumn("__span", F.floor(F.col("__cell") / span))
-    times = rows.repartition("__source", "__span").groupBy("__source", "__span", "__at", "__cell").agg(F.max("__row").alias("__row"))
-    readings = times.select("__source", "__span", "__at", "__cell", F.col("__row.__value").alias("__value"))
     # where the next span of the source begins, as a row without a value in the span before it
     firsts = rows.groupBy("__source", "__span").agg(F.min("__at").alias("__at"))
     previous = F.lag("__span").over(Window.partitionBy("__source").orderBy("__span"))
     marks = firsts.withColumn("__span", previous).where(F.col("__span").isNotNull())
-    marks = marks.select("__source", "__span", "__at", F.lit(None).cast("bigint").alias("__cell"), F.lit(None).cast("double").alias("__value"))
+    marks = marks.select("__source", "__at", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(None).cast("bigint").alias("__cell"), "__span")
+    # one exchange brings readings and marks of a span together; what follows needs no other until the cells
+    times = rows.unionByName(marks).repartition("__source", "__span").groupBy("__source", "__span", "__at", "__cell").agg(F.max("__row").alias("__row"))
+    readings = times.select("__source", "__span", "__at", "__cell", F.col("__row.__value").alias("__value"))
     following = F.lead("__at").over(Window.partitionBy("__source", "__span").orderBy("__at"))
-    steps = readings.unionByName(marks).withColumn("__next", following).where(F.col("__value").isNotNull())
+    steps = readings.withColumn("__next", following).where(F.col("__value").isNotNull())
     until = F.coalesce(F.least("__next", F.col("__at") + hold * SECOND), F.col("__cell") * step)
     cells = F.sequence(F.col("__cell"), F.coalesce(_cell(F.col("__next"), step), F.col("__cell")))
     parts = steps.withColumn("__until", until).select("__source", "__at", "__until", "__value", F.col("__cell").alias("__own"), F.explode(cells).alias("__cell"))
