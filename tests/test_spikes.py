@@ -93,6 +93,8 @@ def test_parts_of_a_long_source_do_not_show(spark, monkeypatch):
     monkeypatch.setattr(spikes, "PART", 900)
     monkeypatch.setattr(spikes, "HALO", 100)
     assert found(frame(spark, x)) == whole
+    monkeypatch.setattr(spikes, "BROADCAST_DAYS", 3)
+    assert found(frame(spark, x)) == whole
     assert len(whole) == 18
 
 

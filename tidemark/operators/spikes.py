@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut
+
 
 @dataclass(frozen=True)
 class Field:
@@ -53,6 +55,8 @@ ROUNDS = 4
 RUN, TIMES = 10, 3.0
 #: Readings of one source that are tested together, and readings shared with its neighbours on either side.
 PART, HALO = 20_000, 300
+#: Days of long sources that are broadcast at most.
+BROADCAST_DAYS = 100_000
 
 
 def _sides(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +245,10 @@ def _parts(rows: DataFrame) -> DataFrame:
         F.when(F.col("__upto") > F.col("__end") - HALO, F.col("__part") + 1),
     )
     split = counted.select("__source", "__day", F.col("__part").alias("__home"), F.array_compact(also).alias("__also"))
-    joined = rows.join(split, ["__source", "__day"], "left")
+    # written once and counted: a small table is broadcast, so that the readings need not be moved for it; a large one is joined as it is
+    split = cut(split)
+    small = split.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS
+    joined = rows.join(F.broadcast(split) if small else split, ["__source", "__day"], "left")
     one = F.coalesce("__also", F.array(F.lit(0).cast("bigint")))
     return joined.withColumn("__home", F.coalesce("__home", F.lit(0).cast("bigint"))).withColumn("__part", F.explode(one))
 
