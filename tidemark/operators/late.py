@@ -65,7 +65,7 @@ def totals(state: DataFrame, keys: list[str], moments: list[str]) -> DataFrame:
     """total_<moment> of each period: value times count, null without any value. One partial aggregation."""
 
     def total(m: str) -> Column:
-        return F.sum(F.when(F.col(f"n_{m}") > 0, F.col("value") * F.col(f"n_{m}").cast("decimal(9,0)")))
+        return F.sum(F.when(F.col(f"n_{m}") > 0, F.col("value") * F.col(f"n_{m}").cast("decimal(18,0)")))
 
     return state.groupBy(*keys, "period_end").agg(*(total(m).alias(f"total_{m}") for m in moments))
 
@@ -96,7 +96,7 @@ def statistics(state: DataFrame, keys: list[str], moments: list[str]) -> DataFra
             F.count(value).alias(f"distinct_{m}"),
             F.min(value).alias(f"min_{m}"),
             F.max(value).alias(f"max_{m}"),
-            F.sum(value * F.col(n).cast("decimal(9,0)")).alias(f"total_{m}"),
+            F.sum(value * F.col(n).cast("decimal(18,0)")).alias(f"total_{m}"),
             ((at(low) + at(high)) / 2).alias(f"median_{m}"),
         ]
     return placed.groupBy(*keys, "period_end").agg(*aggregates)
