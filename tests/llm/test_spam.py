@@ -67,6 +67,28 @@ def test_found(spark, corpus):
     assert by_id[10_004] == by_id[len(sound)] and {r for rs in by_id.values() for r in rs} == {"curve", "lexicon", "links"}
 
 
+def test_many_topics(spark):
+    """Words of topics that each are on a hundredth of the extreme pages are learned, also from pages with many distinct words."""
+    r = random.Random(7)
+    topics = [["".join(r.choices("bdfgklmnprst", k=1)[0] + r.choice("aeiou") for _ in range(4)) for _ in range(8)] for _ in range(100)]
+    sound = [prose(r, r.randint(3, 25)) for _ in range(150)] + [code(r, r.randint(3, 40)) for _ in range(60)]
+    stuffed = [", ".join(" ".join(r.sample(t, 3)) for _ in range(r.randint(20, 60))) for t in topics for _ in range(4)]
+    tags = [" ".join("#" + "".join(r.sample(t, 2)) for _ in range(12)) for t in topics]
+    rows = [(i, t, "markdown") for i, t in enumerate(sound + stuffed + tags)]
+    found = spam.spam(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {f.doc_id for f in found} == set(range(len(sound), len(rows)))
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_made_up_words(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(spam, "BROADCAST_WORDS", broadcast)
+    words = spark.createDataFrame([("garage",), ("door",), ("doors",), ("x",), ("жар",)], "word string")
+    seen = ["garagedoor", "doorsdoor", "garagexdoor", "garagedoorz", "doordoorsgarage", "жаржаржар", "door", "zzgarage"]
+    vocabulary = spark.createDataFrame([(w, 1) for w in seen * 2], "word string, total bigint")
+    assert sorted(r.word for r in spam.made_up(vocabulary, words).collect()) == sorted(["garagedoor", "doorsdoor", "doordoorsgarage", "жаржаржар"])
+    assert spam.made_up(vocabulary, words.limit(0)).count() == 0
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert spam.spam(df).count() == 0

@@ -18,7 +18,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +44,12 @@ PROSE, NO_PROSE, CODE = 0.25, 0.25, 0.35
 CROWDED, STEEP, BENT = 0.55, -0.25, 0.10
 #: What prose is taken to be like where a corpus has none.
 NO_PROSE_AT_ALL = {"slope": -0.65, "residual": 0.2, "crowd": 0.6}
-#: A page may lend words to the lexicon if it has fewer distinct words for each word than this.
-POOR = 0.40
-#: A lexicon word is on this share of the extreme pages and this many times as frequent there as elsewhere.
-ON_PAGES, LIFT = 0.02, 20.0
+#: A lexicon word is on so many of the extreme pages and this many times as frequent there as elsewhere.
+SUPPORT, LIFT = 3, 20.0
+#: A lexicon of up to so many words is broadcast; beyond, the same join is shuffled.
+BROADCAST_WORDS = 100_000
+#: A word of at least so many letters may be made up of others, each of at least two letters.
+LEAST_JOINT = 8
 #: A page consists of the lexicon: share of its words, and share among them and function words.
 LEXICON_SHARE, LEXICON_OVER_PROSE = 0.25, 0.55
 #: A page of links: at least so many, taking up that share of its characters, with fewer other words for each.
@@ -146,7 +147,7 @@ class Pages:
         return key // size, key % size, count
 
     def share(self, lexicon: frozenset[str]) -> np.ndarray:
-        """Words of each page that are in the lexicon or made up of its words."""
+        """Words of each page that are in the lexicon or made up of its words: for a lexicon in hand what `shares` joins."""
         if not lexicon or not self.vocabulary:
             return np.zeros(len(self.chars), np.int64)
         joint = _joint(lexicon)
@@ -159,7 +160,7 @@ def _joint(lexicon: frozenset[str]) -> re.Pattern:
     return re.compile("(?:" + "|".join(sorted(map(re.escape, (w for w in lexicon if len(w) > 1)), key=len, reverse=True)) + ")+")
 
 
-PROFILE = "lang string, words bigint, distinct bigint, function bigint, code bigint, links bigint, link_chars bigint, chars bigint, beside bigint, counts array<int>, terms array<string>, word string, total bigint"
+PROFILE = "lang string, words bigint, distinct bigint, function bigint, code bigint, links bigint, link_chars bigint, chars bigint, beside bigint, counts array<int>, fitted boolean, terms array<string>, word string, total bigint"
 
 
 def profiles(documents: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
@@ -179,14 +180,12 @@ def profiles(documents: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
                 prose = p.function >= PROSE * p.words
                 plain = p.code < CODE * np.maximum(p.words, 1)
                 fitted = (p.words >= LEAST_WORDS) & (distinct >= LEAST_DISTINCT) & (prose | plain)
-                lends = fitted & plain & ~prose & (distinct < POOR * p.words)
                 lists = np.concatenate([[0], np.cumsum(distinct)]).astype(np.int32)
                 counts = pa.ListArray.from_arrays(pa.array(lists), pa.array(count.astype(np.int32)))
                 terms = pa.ListArray.from_arrays(pa.array(lists), pa.array(p.vocabulary, pa.string()).take(pa.array(word)))
-                empty = pa.nulls(n, counts.type), pa.nulls(n, terms.type)
                 columns = [batch.column(0).slice(a, n), batch.column(1).slice(a, n)]
                 columns += [pa.array(x.astype(np.int64)) for x in (p.words, distinct, p.function, p.code, p.links, p.link_chars, p.chars, p.beside)]
-                columns += [pc.if_else(pa.array(fitted), counts, empty[0]), pc.if_else(pa.array(lends), terms, empty[1]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+                columns += [counts, pa.array(fitted), terms, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 totals = np.bincount(word, count, len(p.vocabulary)).astype(np.int64)
                 v = len(totals)
@@ -198,19 +197,19 @@ def profiles(documents: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
 
 def curves(pages: DataFrame) -> DataFrame:
     """slope and residual of each page's rank-frequency curve, least squares weighted by 1 / rank."""
-    named = pages.where(F.col("counts").isNotNull()).withColumn("__page", F.monotonically_increasing_id())
-    ranked = named.select("doc", "lang", "words", "distinct", "function", "code", "__page", F.explode("counts").alias("__n"))
-    place = F.row_number().over(Window.partitionBy("__page").orderBy(F.desc("__n")))
+    named = pages.where("fitted")
+    ranked = named.select("page", "lang", "words", "distinct", "function", "code", F.explode("counts").alias("__n"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("__n")))
     x, y = F.log(place), F.log("__n")
     points = ranked.withColumn("__x", x).withColumn("__y", y.cast("double")).withColumn("__w", 1.0 / F.exp("__x"))
     # the page's own columns are keys too: a first() of texts would make the aggregation sort its rows
-    sums = points.groupBy("__page", "doc", "lang", "words", "distinct", "function", "code").agg(
+    sums = points.groupBy("page", "lang", "words", "distinct", "function", "code").agg(
         F.sum("__w").alias("w"),
         *(F.sum(F.col("__w") * v).alias(k) for k, v in (("wx", F.col("__x")), ("wy", F.col("__y")), ("wxx", F.col("__x") * F.col("__x")), ("wxy", F.col("__x") * F.col("__y")), ("wyy", F.col("__y") * F.col("__y")))),
     )
     mx, my = F.col("wx") / F.col("w"), F.col("wy") / F.col("w")
     sxx, sxy, syy = F.col("wxx") / F.col("w") - mx * mx, F.col("wxy") / F.col("w") - mx * my, F.col("wyy") / F.col("w") - my * my
-    return sums.select("doc", "lang", "words", "distinct", "function", "code", (sxy / sxx).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), syy - sxy * sxy / sxx)).alias("residual"), F.log(F.col("words") / F.col("distinct")).alias("crowd"))
+    return sums.select("page", "lang", "words", "distinct", "function", "code", (sxy / sxx).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), syy - sxy * sxy / sxx)).alias("residual"), F.log(F.col("words") / F.col("distinct")).alias("crowd"))
 
 
 def departures(fitted: DataFrame) -> DataFrame:
@@ -227,7 +226,7 @@ def departures(fitted: DataFrame) -> DataFrame:
     every = prose.agg(*(F.percentile_approx(m, 0.5, 1000).alias(m) for m in measures)).first()
     joined = banded.join(own, ["lang", "band"], "left").join(any_, "band", "left")
     reference = {m: F.coalesce(f"own_{m}", f"any_{m}", F.lit(NO_PROSE_AT_ALL[m] if every[m] is None else every[m])) for m in measures}
-    return joined.select("doc", "words", "distinct", "function", "code", *((F.col(m) - reference[m]).alias(m) for m in measures))
+    return joined.select("page", "words", "distinct", "function", "code", *((F.col(m) - reference[m]).alias(m) for m in measures))
 
 
 def extreme(departed: DataFrame) -> DataFrame:
@@ -237,42 +236,52 @@ def extreme(departed: DataFrame) -> DataFrame:
     return departed.where(neither & leaves)
 
 
-def lexicon(pages: DataFrame, vocabulary: DataFrame, found: DataFrame) -> frozenset[str]:
-    """Words that mark the extreme pages.
-
-    At most distinct-words-a-page / ON_PAGES of them, so their number is
-    bounded whatever the size of the corpus; only these are collected.
-    """
-    lent = pages.where(F.col("terms").isNotNull()).select("doc", "counts", "terms").join(found.select("doc"), "doc", "left_semi")
-    number = lent.count()
-    if not number:
-        return frozenset()
+def lexicon(pages: DataFrame, vocabulary: DataFrame, found: DataFrame) -> DataFrame:
+    """Words that mark the extreme pages, however many topics these have: by support and lift, none collected."""
+    lent = pages.join(found.select("page"), "page", "left_semi")
     terms = lent.select(F.inline(F.arrays_zip(F.col("terms").alias("word"), F.col("counts").alias("n")))).toDF("word", "n")
-    there = terms.groupBy("word").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= max(2.0, ON_PAGES * number))
+    there = terms.groupBy("word").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= SUPPORT)
     sizes = vocabulary.agg(F.sum("total")).first()[0] or 0
-    inside = lent.select(F.sum(F.aggregate("counts", F.lit(0), lambda a, x: a + x).cast("bigint"))).first()[0]
-    totals = vocabulary.join(F.broadcast(there.select("word")), "word", "left_semi").groupBy("word").agg(F.sum("total").alias("total"))
-    rate = F.col("there") / F.lit(float(inside))
+    inside = lent.agg(F.sum("words")).first()[0] or 0
+    totals = vocabulary.groupBy("word").agg(F.sum("total").alias("total"))
+    rate = F.col("there") / F.lit(float(max(inside, 1)))
     rest = (F.greatest(F.col("total") - F.col("there"), F.lit(0)) + 1) / F.lit(float(max(sizes - inside, 1)))
     marked = there.join(totals, "word").where(rate >= LIFT * rest).select("word")
-    return frozenset(r[0] for r in marked.collect()) - FUNCTION_WORDS
+    return marked.where(~F.col("word").isin(sorted(FUNCTION_WORDS)))
 
 
-def made_of(documents: DataFrame, doc: str, text: str, words: frozenset[str]) -> DataFrame:
-    """Pages that consist of the lexicon's words. A second pass over the texts, no shuffle."""
-    schema = T.StructType([T.StructField("doc", documents.schema[doc].dataType)])
-    source = documents.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
+def _hinted(words: DataFrame, number: int) -> DataFrame:
+    return F.broadcast(words) if number <= BROADCAST_WORDS else words
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in _slices(texts):
-                p = Pages(texts.slice(a, b - a))
-                own = p.share(words)
-                hit = (own >= LEXICON_SHARE * p.words) & (own >= LEXICON_OVER_PROSE * (own + p.function)) & (own > 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(hit))], names=["doc"])
 
-    return source.mapInArrow(run, schema)
+def made_up(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    """Words of the vocabulary that are made up of `words` (of two letters or more), one after the other."""
+    parts = words.where(F.length("word") > 1).select(F.col("word").alias("part"))
+    number = parts.count()
+    if not number:
+        return parts.select(F.col("part").alias("word"))
+    # only lengths that occur are cut out; n of them take up n (n + 1) / 2 letters of the lexicon at least
+    lengths = F.lit(sorted(r[0] for r in parts.select(F.length("part")).distinct().collect()))
+    parts, size = _hinted(parts, number), F.length("word")
+    long = vocabulary.select("word").where(size >= LEAST_JOINT).distinct()
+
+    def pieces(begin):
+        return F.transform(F.filter(lengths, lambda n: n <= size - begin), lambda n: F.struct(begin.alias("begin"), (begin + n).alias("end"), F.substring("word", begin + 1, n).alias("part")))
+
+    # few words begin with one of the parts: only these are taken apart
+    heads = long.select("word", F.inline(pieces(F.lit(0)))).join(parts, "part", "left_semi").select("word").distinct()
+    every = F.flatten(F.transform(F.sequence(F.lit(0), size - 2), pieces))
+    spans = heads.select("word", F.inline(every)).join(parts, "part", "left_semi")
+    listed = spans.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    reached = F.aggregate("spans", F.array(F.lit(0)), lambda to, s: F.when(F.array_contains(to, s["begin"]), F.array_union(to, F.array(s["end"]))).otherwise(to))
+    return listed.where(F.array_contains(reached, size)).select("word")
+
+
+def shares(pages: DataFrame, vocabulary: DataFrame, words: DataFrame) -> DataFrame:
+    """(page, own): how many words of a page are in the lexicon or made up of its words; pages with none are left out."""
+    known = cut(words.unionByName(made_up(vocabulary, words)).distinct())
+    terms = pages.select("page", F.inline(F.arrays_zip(F.col("terms").alias("word"), F.col("counts").alias("n")))).toDF("page", "word", "n")
+    return terms.join(_hinted(known, known.count()), "word", "left_semi").groupBy("page").agg(F.sum("n").alias("own"))
 
 
 def spam(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -283,12 +292,17 @@ def spam(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
     The measures of the pages, the fitted curves and the extreme pages are
     written once each to the checkpoint folder.
     """
-    measured = cut(profiles(documents, doc, text, lang))
+    measured = cut(profiles(documents, doc, text, lang).withColumn("page", F.monotonically_increasing_id()))
     pages, vocabulary = measured.where("word is null"), measured.where("word is not null").select("word", "total")
-    found = cut(extreme(departures(cut(curves(pages)))).select("doc"))
-    marks = lexicon(pages, vocabulary, found)
+    found = cut(extreme(departures(cut(curves(pages)))).select("page"))
+    marks = cut(lexicon(pages, vocabulary, found))
     links = pages.where((F.col("links") >= LINKS) & (F.col("link_chars") > LINK_CHARS * F.col("chars")) & (F.col("beside") < WORDS_A_LINK * F.col("links")))
-    parts = [found.select("doc", F.lit("curve").alias("reason")), links.select("doc", F.lit("links").alias("reason"))]
-    if marks:
-        parts.append(made_of(documents, doc, text, marks).select("doc", F.lit("lexicon").alias("reason")))
+    own = F.col("own")
+    consists = (own >= LEXICON_SHARE * F.col("words")) & (own >= LEXICON_OVER_PROSE * (own + F.col("function"))) & (own > 2)
+    made = pages.select("page", "doc", "words", "function").join(shares(pages, vocabulary, marks), "page").where(consists)
+    parts = [
+        pages.join(found, "page", "left_semi").select("doc", F.lit("curve").alias("reason")),
+        links.select("doc", F.lit("links").alias("reason")),
+        made.select("doc", F.lit("lexicon").alias("reason")),
+    ]
     return functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("doc", doc)
