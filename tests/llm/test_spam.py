@@ -67,6 +67,19 @@ def test_found(spark, corpus):
     assert by_id[10_004] == by_id[len(sound)] and {r for rs in by_id.values() for r in rs} == {"curve", "lexicon", "links"}
 
 
+def test_curves_of_prose_and_code_are_judged(spark, corpus):
+    """Stuffed sentences and lists rich in signs leave the curve of their kind; repetitive code and prose without the words do not count."""
+    sound, bad = corpus
+    stuffed = " ".join(f"the best {noun} for you is the {noun} of the day in this and that way" for noun in NOUNS * 5)
+    signs = "\n".join(["/* 10 */ | cheap tile saw | {bu} [de] (fo) <gu> {zu} [va] (wo) <xi> $ye; zo_ra = ti_le"] * 45)
+    repetitive = ["\n".join(["const late: [u8; 4] = [0xa9, 0x9e, 0xfb, 0x8f];"] * 90), " ".join(["the notes of this and that are kept as they were for all of us here"] * 40)]
+    rows = [(i, t, "markdown") for i, t in enumerate([*sound, *bad, stuffed, signs, *repetitive])]
+    found = spam.spam(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    n = len(sound) + len(bad)
+    assert {f.doc_id for f in found} == set(range(len(sound), n + 2))
+    assert {"curve"} == {f.reason for f in found if f.doc_id in (n, n + 1)}
+
+
 def test_many_topics(spark):
     """Words of topics that each are on a hundredth of the extreme pages are learned, also from pages with many distinct words."""
     r = random.Random(7)

@@ -52,6 +52,8 @@ BROADCAST_WORDS = 100_000
 LEAST_JOINT = 8
 #: A page consists of the lexicon: share of its words, and share among them and function words.
 LEXICON_SHARE, LEXICON_OVER_PROSE = 0.25, 0.55
+#: A prose-like or sign-rich page whose curve leaves its kind needs this share of lexicon words.
+BORNE_OUT = 0.06
 #: A page of links: at least so many, taking up that share of its characters, with fewer other words for each.
 LINKS, LINK_CHARS, WORDS_A_LINK = 3, 0.15, 4.0
 
@@ -176,10 +178,7 @@ def profiles(documents: DataFrame, doc: str, text: str, lang: str) -> DataFrame:
                 n = b - a
                 page, word, count = p.counts()
                 distinct = np.bincount(page, minlength=n)
-                # curves are fitted for prose and for what may be stuffed; code and data need none
-                prose = p.function >= PROSE * p.words
-                plain = p.code < CODE * np.maximum(p.words, 1)
-                fitted = (p.words >= LEAST_WORDS) & (distinct >= LEAST_DISTINCT) & (prose | plain)
+                fitted = (p.words >= LEAST_WORDS) & (distinct >= LEAST_DISTINCT)
                 lists = np.concatenate([[0], np.cumsum(distinct)]).astype(np.int32)
                 counts = pa.ListArray.from_arrays(pa.array(lists), pa.array(count.astype(np.int32)))
                 terms = pa.ListArray.from_arrays(pa.array(lists), pa.array(p.vocabulary, pa.string()).take(pa.array(word)))
@@ -213,27 +212,39 @@ def curves(pages: DataFrame) -> DataFrame:
 
 
 def departures(fitted: DataFrame) -> DataFrame:
-    """Each page's curve against the median of prose of its language and length (words to a power of two); without such prose, of any."""
+    """Whether each page's curve leaves that of prose, and with many code signs also that of code.
+
+    A curve is held against the median of its kind's pages of its language and
+    length (words to a power of two); without enough of them, of any language.
+    """
     banded = fitted.withColumn("band", F.floor(F.log2("words")))
     measures = ("slope", "residual", "crowd")
-    prose = banded.where(F.col("function") >= PROSE * F.col("words"))
+    prose = F.col("function") >= PROSE * F.col("words")
+    signs = F.col("code") >= CODE * F.col("words")
+    kinds = {"prose": banded.where(prose), "code": banded.where(~prose & signs)}
+    joined, leaves = banded, F.lit(True)
+    for kind, pages in kinds.items():
 
-    def medians(keys: list[str], prefix: str) -> DataFrame:
-        return prose.groupBy(*keys).agg(*(F.percentile_approx(m, 0.5, 1000).alias(f"{prefix}_{m}") for m in measures), F.count(F.lit(1)).alias(f"{prefix}_n"))
+        def medians(keys: list[str], prefix: str) -> DataFrame:
+            return pages.groupBy(*keys).agg(*(F.percentile_approx(m, 0.5, 1000).alias(f"{prefix}_{m}") for m in measures), F.count(F.lit(1)).alias(f"{prefix}_n")).where(F.col(f"{prefix}_n") >= 20)
 
-    own = medians(["lang", "band"], "own").where("own_n >= 20")
-    any_ = medians(["band"], "any").where("any_n >= 20")
-    every = prose.agg(*(F.percentile_approx(m, 0.5, 1000).alias(m) for m in measures)).first()
-    joined = banded.join(own, ["lang", "band"], "left").join(any_, "band", "left")
-    reference = {m: F.coalesce(f"own_{m}", f"any_{m}", F.lit(NO_PROSE_AT_ALL[m] if every[m] is None else every[m])) for m in measures}
-    return joined.select("page", "words", "distinct", "function", "code", *((F.col(m) - reference[m]).alias(m) for m in measures))
+        every = pages.agg(*(F.percentile_approx(m, 0.5, 1000).alias(m) for m in measures)).first()
+        joined = joined.join(medians(["lang", "band"], f"own_{kind}"), ["lang", "band"], "left").join(medians(["band"], f"any_{kind}"), "band", "left")
+        slope, residual, crowd = (F.col(m) - F.coalesce(f"own_{kind}_{m}", f"any_{kind}_{m}", F.lit(NO_PROSE_AT_ALL[m] if every[m] is None else every[m])) for m in measures)
+        away = (crowd >= CROWDED) | ((slope <= STEEP) & (residual >= BENT))
+        leaves = leaves & (away if kind == "prose" else away | prose | ~signs)
+    return joined.select("page", "words", "function", "code", leaves.alias("leaves"))
 
 
 def extreme(departed: DataFrame) -> DataFrame:
-    """Pages that are no prose and no code and leave the curve of prose."""
-    neither = (F.col("function") < NO_PROSE * F.col("words")) & (F.col("code") < CODE * F.col("words"))
-    leaves = (F.col("crowd") >= CROWDED) | ((F.col("slope") <= STEEP) & (F.col("residual") >= BENT))
-    return departed.where(neither & leaves)
+    """Pages whose curve leaves that of their kind; `alone`: neither prose nor code, so that nothing but the curve need tell.
+
+    Code and data leave the curve of code as far as spam does, being
+    repetitive themselves, and so do licences and tables that of prose: there
+    the words must bear the curve out.
+    """
+    alone = (F.col("function") < NO_PROSE * F.col("words")) & (F.col("code") < CODE * F.col("words"))
+    return departed.where("leaves").select("page", alone.alias("alone"))
 
 
 def lexicon(pages: DataFrame, vocabulary: DataFrame, found: DataFrame) -> DataFrame:
@@ -294,14 +305,17 @@ def spam(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
     """
     measured = cut(profiles(documents, doc, text, lang).withColumn("page", F.monotonically_increasing_id()))
     pages, vocabulary = measured.where("word is null"), measured.where("word is not null").select("word", "total")
-    found = cut(extreme(departures(cut(curves(pages)))).select("page"))
-    marks = cut(lexicon(pages, vocabulary, found))
+    left = cut(extreme(departures(cut(curves(pages)))))
+    marks = cut(lexicon(pages, vocabulary, left.where("alone")))
     links = pages.where((F.col("links") >= LINKS) & (F.col("link_chars") > LINK_CHARS * F.col("chars")) & (F.col("beside") < WORDS_A_LINK * F.col("links")))
     own = F.col("own")
+    held = cut(pages.select("page", "doc", "words", "function").join(shares(pages, vocabulary, marks), "page"))
     consists = (own >= LEXICON_SHARE * F.col("words")) & (own >= LEXICON_OVER_PROSE * (own + F.col("function"))) & (own > 2)
-    made = pages.select("page", "doc", "words", "function").join(shares(pages, vocabulary, marks), "page").where(consists)
+    made = held.where(consists)
+    borne = held.where((own >= BORNE_OUT * F.col("words")) & (own > 2)).join(left.where("not alone"), "page", "left_semi")
     parts = [
-        pages.join(found, "page", "left_semi").select("doc", F.lit("curve").alias("reason")),
+        pages.join(left.where("alone"), "page", "left_semi").select("doc", F.lit("curve").alias("reason")),
+        borne.select("doc", F.lit("curve").alias("reason")),
         links.select("doc", F.lit("links").alias("reason")),
         made.select("doc", F.lit("lexicon").alias("reason")),
     ]
