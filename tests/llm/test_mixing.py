@@ -25,6 +25,16 @@ def test_shards_keep_totals():
     assert big.sum(axis=0).tolist() == [3_000_000_000, 1_000_000_001] and len(big) <= mixing.MOST_SHARDS
 
 
+def test_large_totals_are_drawn_at_random():
+    slots = [3_000_000_000, 1_000_000_000, 0, 500_000_000]
+    counts = mixing.shard_counts(slots)
+    assert counts.min() >= 0 and counts.sum(axis=0).tolist() == slots
+    size, share = counts[0].sum(), np.array(slots) / sum(slots)
+    for i in (0, 1, 3):
+        # the spread of the draws over the first shards is that of binomials
+        assert counts[:2000, i].std() == pytest.approx(np.sqrt(size * share[i] * (1 - share[i])), rel=0.1)
+
+
 def corpus(spark, sizes):
     rows, k = [], 0
     for source, (n, words) in sizes.items():

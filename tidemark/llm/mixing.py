@@ -84,19 +84,26 @@ def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
     random, out = np.random.default_rng(seed), []
     while left.sum() > 0:
         take = int(min(size, left.sum()))
-        # the method of marginals needs totals below 1e9; beyond, rounding the mean loses nothing that shows
-        drawn = random.multivariate_hypergeometric(left, take, method="marginals") if left.sum() < 10**9 else _proportional(left, take)
+        drawn = _drawn(random, left, take)
         out.append(drawn)
         left = left - drawn
     return np.array(out, np.int64).reshape(len(out), len(slots))
 
 
-def _proportional(left: np.ndarray, take: int) -> np.ndarray:
-    exact = left * (take / left.sum())
-    out = np.floor(exact).astype(np.int64)
-    for i in np.argsort(out - exact)[: take - int(out.sum())]:
-        out[i] += 1
-    return np.minimum(out, left)
+def _drawn(random: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` slots, drawn at random from those left, each source fills."""
+    out = np.zeros_like(left)
+    # the method of marginals needs totals below 1e9; beyond, binomials one source after the other draw a thousandth of the slots at a time
+    while take and (total := int((left - out).sum())) >= 10**9:
+        part, rest = min(take, total // 1000), total
+        take -= part
+        for i, own in enumerate((left - out).tolist()):
+            rest -= own
+            drawn = int(random.binomial(part, own / (own + rest))) if own else 0
+            drawn = max(min(drawn, own), part - rest)
+            out[i] += drawn
+            part -= drawn
+    return out + random.multivariate_hypergeometric(left - out, take, method="marginals") if take else out
 
 
 @dataclass(frozen=True)
