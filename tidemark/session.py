@@ -43,3 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; nothing is there yet."""
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table to the shared checkpoint folder and read it from there; what reads it reads only the columns it needs."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
