@@ -102,3 +102,49 @@ def test_parts_of_a_long_source_do_not_show(spark, monkeypatch):
 def test_tiny_series(n):
     masks = spikes.faults(np.zeros(n, np.int64), np.arange(n), [np.full(n, 1.0)] * 3)
     assert not any(m.any() for pair in masks for m in pair)
+
+
+def test_shifts_do_not_hide_outliers():
+    """A reading between an old level and a new one is an outlier of the new one."""
+    x = 15 + np.random.default_rng(3).normal(0, 0.3, 400)
+    x[200:] -= 9
+    x[201] += 7
+    assert hits(x) == [201]
+    rows = np.arange(400)
+    bounds = np.stack([np.zeros(400, np.int64), np.full(400, 400)])
+    clean = rows != 201
+    assert np.flatnonzero(spikes.level_shifts(x, clean, bounds, np.full(400, 0.3), 5.0)).tolist() == [200]
+
+
+def test_readings_within_a_rest():
+    power = np.abs(wave(300))
+    power[100:200] = 0
+    power[150], power[115] = 12.0, 0.01
+    _, spike = spikes.faults(np.zeros(300, np.int64), np.arange(300), [power], (spikes.FIELDS[2],))[0]
+    assert np.flatnonzero(spike).tolist() == [150]
+
+
+def test_what_is_usual_adds_up():
+    """Sketches of parts add up to that of the whole."""
+    x = np.round(wave(3000), 2)
+    whole = spikes.usual(spikes.sketch(x, np.zeros(3000, np.int64), np.ones(3000, bool), np.zeros(3000, bool), np.ones(3000, bool)), 1)
+    parts = []
+    for a, b in ((0, 1000), (1000, 2200), (2200, 3000)):
+        low, high = max(0, a - 50), min(3000, b + 50)
+        home = np.zeros(high - low, bool)
+        home[a - low : b - low] = True
+        parts.append(spikes.sketch(x[low:high], np.zeros(high - low, np.int64), home, np.zeros(high - low, bool), np.ones(high - low, bool)))
+    merged = spikes.usual(spikes.pd.concat(parts), 1)
+    assert np.isclose(whole.noise, merged.noise, rtol=1e-6) and np.isclose(whole.phi, merged.phi, rtol=0.02) and whole.run == merged.run
+
+
+def test_halves_of_a_source_share_what_is_usual(spark, monkeypatch):
+    """A source that is quiet in one half and noisy in the other is judged by both, cut or not; a busy day is cut too."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([20 + r.normal(0, 0.05, 3000), 20 + r.normal(0, 1.0, 3000)])
+    x[[500, 1500, 4500]] += (2.0, 3.0, 12.0)
+    whole = found(frame(spark, x))
+    monkeypatch.setattr(spikes, "PART", 100)
+    monkeypatch.setattr(spikes, "SLOT", 20)
+    monkeypatch.setattr(spikes, "HALO", 60)
+    assert found(frame(spark, x)) == whole and (4500, "outside_temp") in whole

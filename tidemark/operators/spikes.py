@@ -9,8 +9,12 @@ spike  it departs from what a robust autoregression of the source foretells,
        both forward from the readings before and backward from those after.
 
 The last is an additive-outlier test, iterated on the readings cleaned so far.
-A level shift passes it: after a shift the backward forecast agrees with the
-reading, so the smaller of the two departures is small.
+Beside it stands a level-shift test: where the level changes for good the
+series is cut, and readings on either side are held against their own side.
+
+What is usual for a source - its noise, the coefficient of its autoregression,
+the length of its runs - is taken over all its readings: histograms and sums
+that add up, however many parts a long source is tested in.
 """
 
 from __future__ import annotations
@@ -46,17 +50,25 @@ FIELDS = (Field("outside_temp", -95.0, 65.0, 5.0), Field("inside_temp", -95.0, 9
 
 #: Readings of each side that give the level there.
 SIDE = 7
-#: A value with digits that its source hardly ever reports (on less than OFF_GRID of its readings) needs this part of the departure.
-OFF_GRID, ODD_DIGITS = 0.05, 0.7
 #: Where one side is missing, at either end of a series, the departure must be this many times the limit.
 EDGE = 2.0
+#: A level shift: the levels of both sides differ by so many times the limit.
+SHIFT = 2.4
 ROUNDS = 4
 #: A run of this many readings may be stuck, if it is this many times as long as the source's other runs.
 RUN, TIMES = 10, 3.0
+#: One or two readings between rests of so many readings are held against the rest.
+REST = 10
 #: Readings of one source that are tested together, and readings shared with its neighbours on either side.
 PART, HALO = 20_000, 300
-#: Days of long sources that are broadcast at most.
+#: Readings of a slot of a day that holds more than PART.
+SLOT = 1_000
+#: Slots of long sources that are broadcast at most.
 BROADCAST_DAYS = 100_000
+#: Histograms have so many bins for a factor of e, and bins from exp(-LEAST_BIN / BINS) on.
+BINS, LEAST_BIN = 50, 1_500
+#: What a sketch counts: sizes of interpolation errors and of steps, lengths of runs, and the sums of the autoregression.
+ERROR, STEP, LENGTH, SUMS = range(4)
 
 
 def _sides(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,164 +105,336 @@ def _group_medians(values: np.ndarray, series: np.ndarray, n: int, quantile: flo
     return np.where(counts > 0, values[order][at], 0.0) if len(values) else np.zeros(n)
 
 
-def stuck_runs(values: np.ndarray, series: np.ndarray, rest: float | None = None) -> np.ndarray:
+@dataclass(frozen=True)
+class Usual:
+    """What is usual for each series: noise, autoregression, and the length that nearly all its short runs keep to."""
+
+    noise: np.ndarray
+    phi: np.ndarray
+    run: np.ndarray
+
+
+def _runs(values: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of one value."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (series[1:] != series[:-1])]))
+    return begin, np.diff(np.append(begin, len(values)))
+
+
+def _bins(sizes: np.ndarray) -> np.ndarray:
+    return np.maximum(np.floor(np.log(sizes) * BINS).astype(np.int64) + LEAST_BIN, 0)
+
+
+def _interpolated(values: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Errors of interpolating each reading from its two neighbours, and which readings have both."""
+    error, inner = np.zeros(len(values)), np.zeros(len(values), bool)
+    error[1:-1] = values[1:-1] - (values[2:] + values[:-2]) / 2
+    inner[1:-1] = (series[1:-1] == series[:-2]) & (series[1:-1] == series[2:])
+    return np.abs(error), inner
+
+
+def sketch(values: np.ndarray, series: np.ndarray, counted: np.ndarray, rest: np.ndarray, single: np.ndarray) -> pd.DataFrame:
+    """Sums that add up over the parts of a source: (series, what, bin, n, a, b).
+
+    counted: the readings that this part counts (its halo is there for their
+    neighbours). rest: readings at rest; single: those that the spike test
+    sees. ERROR: n readings, a sum of sizes, b of squares; STEP: n, a; LENGTH:
+    n runs of that length; SUMS: n pairs of neighbours, a those on one side of
+    the level less those on both.
+    """
+    rows = []
+    begin, length = _runs(values, series)
+    usable = counted[begin] & ~rest[begin] & (length < RUN)
+    rows.append((series[begin][usable], LENGTH, length[usable], None, None))
+    v, s, mine = values[single], series[single], counted[single]
+    if len(v) >= 3:
+        size, inner = _interpolated(v, s)
+        own = inner & mine
+        moving = own & (size > 0)
+        still = own & (size == 0)
+        rows.append((s[moving], ERROR, _bins(size[moving]), size[moving], size[moving] ** 2))
+        rows.append((s[still], ERROR, np.full(int(still.sum()), -1), None, None))
+        step = np.abs(np.diff(v))
+        moved = (s[1:] == s[:-1]) & (step > 0) & mine[1:]
+        rows.append((s[1:][moved], STEP, _bins(step[moved]), step[moved], None))
+        every = np.arange(len(v))
+        numbers = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+        before, _ = _sides(v, np.ones(len(v), bool), _bounds(numbers), every)
+        level = _median(before)
+        x, y = v - level, before[:, 0] - level
+        # whether a reading and the one before lie on one side of the level: no size of an outlier enters
+        together = np.sign(x) * np.sign(y)
+        ok = mine & ~np.isnan(together) & (together != 0)
+        rows.append((s[ok], SUMS, np.zeros(int(ok.sum()), np.int64), together[ok], None))
+    out = []
+    for owner, what, bins, a, b in rows:
+        if len(owner):
+            zero = np.zeros(len(owner))
+            held = pd.DataFrame({"series": owner, "bin": bins, "n": 1, "a": zero if a is None else a, "b": zero if b is None else b})
+            held = held.groupby(["series", "bin"], sort=True).sum().reset_index()
+            held.insert(1, "what", what)
+            out.append(held)
+    return pd.concat(out) if out else pd.DataFrame({"series": np.zeros(0, np.int64), "what": [], "bin": [], "n": [], "a": [], "b": []})
+
+
+def _quantile(held: pd.DataFrame, quantile: float, count: int, values: np.ndarray) -> np.ndarray:
+    """The lower quantile of each series' histogram, its bins in order; 0 where it is empty."""
+    out = np.zeros(count)
+    if not len(held):
+        return out
+    series, n = held["series"].to_numpy(), held["n"].to_numpy()
+    upto = n.cumsum()
+    total = np.bincount(series, n, count)
+    ahead = np.concatenate([[0], np.cumsum(total)[:-1]])
+    place = np.floor(quantile * np.maximum(total - 1, 0)) + ahead
+    at = np.minimum(np.searchsorted(upto, place, "right"), len(values) - 1)
+    return np.where(total > 0, values[at], 0.0)
+
+
+def usual(held: pd.DataFrame, count: int) -> Usual:
+    """What is usual for each series, from the sketch of all its readings."""
+    held = held.groupby(["series", "what", "bin"], sort=True).sum().reset_index()
+    of = {w: held[held["what"] == w] for w in (ERROR, STEP, LENGTH, SUMS)}
+    errors = of[ERROR]
+    moving = errors[errors["bin"] >= 0]
+    typical = 1.4826 * _quantile(moving, 0.5, count, (moving["a"] / moving["n"]).to_numpy())
+    owner, n = moving["series"].to_numpy(np.int64), moving["n"].to_numpy(float)
+    top = 9 * typical[owner] ** 2
+    squares = np.bincount(owner, np.where(moving["b"].to_numpy() / np.maximum(n, 1) > top, top * n, moving["b"].to_numpy()), count)
+    among = np.maximum(np.bincount(errors["series"].to_numpy(np.int64), errors["n"].to_numpy(float), count), 1)
+    noise = np.sqrt(squares / among / 1.5)
+    steps = of[STEP]
+    resolution = _quantile(steps, 0.02, count, (steps["a"] / steps["n"]).to_numpy())
+    runs = of[LENGTH]
+    length = np.maximum(_quantile(runs, 0.99, count, runs["bin"].to_numpy(float)), 1.0)
+    sums = of[SUMS]
+    # the quadrant correlation of a reading and the one before is the coefficient of a first-order autoregression
+    pairs, agreed = (np.bincount(sums["series"].to_numpy(np.int64), sums[c].to_numpy(float), count) for c in ("n", "a"))
+    phi = np.clip(np.sin(np.pi / 2 * np.divide(agreed, pairs, out=np.zeros(count), where=pairs > 0)), 0.0, 0.95)
+    return Usual(np.maximum(noise, resolution / 2), phi, length)
+
+
+def _bounds(series: np.ndarray) -> np.ndarray:
+    """Begin and end of the series of each row; series are numbered from 0 in order."""
+    ends = np.cumsum(np.bincount(series))
+    return np.stack([np.concatenate([[0], ends[:-1]])[series], ends[series]])
+
+
+def stuck_runs(values: np.ndarray, series: np.ndarray, rest: float | None = None, run: np.ndarray | None = None) -> np.ndarray:
     """Mask of values in runs that are long for their series. Values and series are in order, series from 0."""
-    n = len(values)
-    if not n:
+    if not len(values):
         return np.zeros(0, bool)
-    begin = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (series[1:] != series[:-1])]))
-    length = np.diff(np.append(begin, n))
-    owner = series[begin]
-    resting = np.zeros(len(begin), bool) if rest is None else values[begin] == rest
-    short = (length < RUN) & ~resting
-    usual = np.maximum(_group_medians(length[short].astype(float), owner[short], int(series[-1]) + 1, 0.99), 1.0)
-    long = (length >= np.maximum(RUN, TIMES * usual[owner])) & ~resting
+    resting = np.zeros(len(values), bool) if rest is None else values == rest
+    if run is None:
+        every = np.ones(len(values), bool)
+        run = usual(sketch(values, series, every, resting, np.zeros(len(values), bool)), int(series[-1]) + 1).run
+    begin, length = _runs(values, series)
+    long = (length >= np.maximum(RUN, TIMES * run[series[begin]])) & ~resting[begin]
     return np.repeat(long, length)
 
 
-def spikes(values: np.ndarray, series: np.ndarray, limit: float) -> np.ndarray:
-    """Mask of additive outliers. Values and series are in order, series from 0; values are within their limits."""
+def level_shifts(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, noise: np.ndarray, limit: float) -> np.ndarray:
+    """Mask of the clean readings with which a new level begins.
+
+    The level of the SIDE readings from there on differs from that of the SIDE
+    before by more than SHIFT times the limit, in units of noise; of the
+    readings around it the one that leaves the least unexplained counts.
+    """
+    out = np.zeros(len(values), bool)
+    rows = np.flatnonzero(clean)
+    if len(rows) < 2 * SIDE:
+        return out
+    held, place = values[rows], np.arange(len(rows))
+    before, _ = _sides(values, clean, bounds, rows)
+    following = np.minimum(place[:, None] + np.arange(SIDE), len(rows) - 1)
+    inside = (bounds[0, rows[following]] == bounds[0, rows][:, None]) & (place[:, None] + np.arange(SIDE) < len(rows))
+    after = np.where(inside, held[following], np.nan)
+    old, new = _median(before), _median(after)
+    spread = 1.4826 * np.fmax(_median(np.abs(before - old[:, None])), _median(np.abs(after - new[:, None])))
+    size = np.abs(new - old) / np.maximum(np.fmax(spread, noise[rows]), 1e-12)
+    size[np.isnan(before[:, -1]) | ~inside[:, -1]] = 0
+    turns = np.abs(held - new) < np.abs(held - old)
+    turns[1:] &= np.abs(held[:-1] - old[1:]) < np.abs(held[:-1] - new[1:])
+    turns &= size > SHIFT * limit
+    cost = np.where(turns, np.nansum(np.abs(before - old[:, None]), axis=1) + np.nansum(np.abs(after - new[:, None]), axis=1), np.inf)
+    least = np.lib.stride_tricks.sliding_window_view(np.pad(cost, SIDE, constant_values=np.inf), 2 * SIDE + 1).min(axis=1)
+    out[rows[turns & (cost <= least)]] = True
+    return out
+
+
+def spikes(values: np.ndarray, series: np.ndarray, limit: float, norm: Usual | None = None) -> np.ndarray:
+    """Mask of additive outliers. Values and series are in order, series from 0; values are within their limits.
+
+    norm: what is usual for the series; else it is taken from these values.
+    The first pass, against levels only, finds the gross outliers; all later
+    ones hold every reading against the autoregression and the level shifts.
+    """
     n = len(values)
     flagged = np.zeros(n, bool)
     if n < 3:
         return flagged
-    count = int(series[-1]) + 1
-    ends = np.cumsum(np.bincount(series, minlength=count))
-    begins = np.concatenate([[0], ends[:-1]])
-    bounds = np.stack([begins[series], ends[series]])
-    # noise: robust spread of the error of interpolating a reading from its two neighbours
-    error = np.zeros(n)
-    error[1:-1] = values[1:-1] - (values[2:] + values[:-2]) / 2
-    inner = np.zeros(n, bool)
-    inner[1:-1] = (series[1:-1] == series[:-2]) & (series[1:-1] == series[2:])
-    moving = inner & (error != 0)
-    typical = 1.4826 * _group_medians(np.abs(error[moving]), series[moving], count)
-    clipped = np.clip(error[inner], -3 * typical[series[inner]], 3 * typical[series[inner]])
-    among = np.maximum(np.bincount(series[inner], minlength=count), 1)
-    noise = np.sqrt(np.bincount(series[inner], clipped**2, count) / among / 1.5)
-    step = np.abs(np.diff(values))
-    moved = (series[1:] == series[:-1]) & (step > 0)
-    resolution = _group_medians(step[moved], series[1:][moved], count, 0.02)
-    noise = np.maximum(noise, resolution / 2)
-    # values between the marks of a coarse scale
-    scale_of = np.maximum(resolution, 1e-9)[series]
-    off = np.abs(values / scale_of - np.rint(values / scale_of)) > 0.05
-    odd = off & (np.bincount(series, off, count) < OFF_GRID * np.bincount(series, minlength=count))[series]
-    needed = np.where(odd, ODD_DIGITS * limit, limit)
-    phi = np.zeros(count)
-    todo = np.arange(n)
+    if norm is None:
+        every = np.ones(n, bool)
+        norm = usual(sketch(values, series, every, ~every, every), int(series[-1]) + 1)
+    noise, whole = norm.noise[series], _bounds(series)
+    phi, bounds, every = np.zeros(n), whole, np.arange(n)
     for turn in range(ROUNDS):
-        before, after = _sides(values, ~flagged, bounds, todo)
+        before, after = _sides(values, ~flagged, bounds, every)
         level_b, level_a = _median(before), _median(after)
-        own = phi[series[todo]]
         # forecasts: the level of that side, and what the autoregression carries over from the nearest reading
-        forward = level_b + own * (before[:, 0] - level_b)
-        backward = level_a + own * (after[:, 0] - level_a)
-        x = values[todo]
+        forward = level_b + phi * (before[:, 0] - level_b)
+        backward = level_a + phi * (after[:, 0] - level_a)
         one_sided = np.isnan(forward) | np.isnan(backward)
         forward, backward = np.where(np.isnan(forward), backward, forward), np.where(np.isnan(backward), forward, backward)
-        d_b, d_a = x - forward, x - backward
-        # additive outlier: departs from both in one direction; a level shift departs from one only
+        d_b, d_a = values - forward, values - backward
+        # additive outlier: departs from both in one direction
         departure = np.where(np.sign(d_b) == np.sign(d_a), np.minimum(np.abs(d_b), np.abs(d_a)), 0.0)
         # where the series is noisier than usual its own neighbourhood tells
         local = np.fmin(_median(np.abs(before - level_b[:, None])), _median(np.abs(after - level_a[:, None]))) * 1.4826
-        slope = np.abs(level_a - level_b) / (SIDE + 1) * SIDE / 4 * 1.4826
-        scale = np.fmax(noise[series[todo]], np.nan_to_num(local) - slope)
-        hit = departure > np.where(one_sided, EDGE, 1.0) * needed[todo] * np.maximum(scale, 1e-12)
-        fresh = todo[hit & ~flagged[todo]]
-        back = todo[~hit & flagged[todo]]
-        flagged[fresh], flagged[back] = True, False
-        if turn == 0:
-            phi = _autoregression(values, series, flagged, before, level_b, count)
-            near = fresh
-        else:
-            near = np.concatenate([fresh, back])
-            if not len(near):
-                break
-        reach = np.zeros(n + 1, np.int64)
-        np.add.at(reach, np.maximum(near - 2 * SIDE, 0), 1)
-        np.add.at(reach, np.minimum(near + 2 * SIDE + 1, n), -1)
-        todo = np.flatnonzero((np.cumsum(reach[:-1]) > 0) | (departure > 4 * np.maximum(scale, 1e-12)) if turn == 0 else np.cumsum(reach[:-1]) > 0)
-        if not len(todo):
+        slope = np.nan_to_num(np.abs(level_a - level_b)) / (SIDE + 1) * SIDE / 4 * 1.4826
+        scale = np.maximum(np.fmax(noise, np.nan_to_num(local) - slope), 1e-12)
+        hit = departure > np.where(one_sided, EDGE, 1.0) * limit * scale
+        same = bool((hit == flagged).all())
+        flagged = hit
+        if same and turn > 1:
             break
+        phi = norm.phi[series]
+        begins = level_shifts(values, ~flagged, whole, noise, limit)
+        bounds = _bounds(np.cumsum(begins | np.concatenate([[True], series[1:] != series[:-1]])) - 1)
     return flagged
 
 
-def _autoregression(values, series, flagged, before, level, count) -> np.ndarray:
-    """First-order coefficient of each series: departures from the level regressed on the ones before, clipped, outliers left out."""
-    u, v = values - level, before[:, 0] - level
-    ok = ~flagged & ~np.isnan(u) & ~np.isnan(v)
-    spread = np.maximum(1.4826 * _group_medians(np.abs(u[ok]), series[ok], count), 1e-12)[series[ok]]
-    u, v = np.clip(u[ok], -3 * spread, 3 * spread), np.clip(v[ok], -3 * spread, 3 * spread)
-    over = np.bincount(series[ok], u * v, count)
-    under = np.bincount(series[ok], v * v, count)
-    return np.clip(np.divide(over, under, out=np.zeros(count), where=under > 0), 0.0, 0.95)
+@dataclass(frozen=True)
+class Prepared:
+    """The readings of one field, each time and value once: places of the rows used, their reading, and the readings."""
+
+    used: np.ndarray
+    row_of: np.ndarray
+    fresh: np.ndarray
+    series: np.ndarray
+    values: np.ndarray
+    rest: np.ndarray
+    single: np.ndarray
+
+
+def _prepared(key: np.ndarray, at: np.ndarray, x: np.ndarray, field: Field) -> Prepared:
+    """Readings of a field in order; a row that repeats the one before is none of its own, nulls and impossible values are passed over."""
+    used = np.flatnonzero(~np.isnan(x) & (x >= field.low) & (x <= field.high))
+    k, t, v = key[used], at[used], x[used]
+    fresh = np.ones(len(used), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+    row_of = np.cumsum(fresh) - 1
+    k, v = k[fresh], v[fresh]
+    rest = np.zeros(len(v), bool)
+    single = np.ones(len(v), bool)
+    if len(v):
+        begin, length = _runs(v, k)
+        if field.rest is not None:
+            rest = v == field.rest  # a lone one too: most of a rest may not have been reported
+        # a run that may be stuck stands for one reading in the spike test, a rest for none
+        single = np.repeat(length < RUN, length)
+        single[begin] = True
+        single &= ~rest
+    return Prepared(used, row_of, used[fresh], k, v, rest, single)
 
 
-def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: tuple[Field, ...] = FIELDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(stuck, spike) masks for each field, of rows in order of key, time and arrival.
+def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: tuple[Field, ...] = FIELDS, given: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(stuck, spike) masks for each field, of rows in order of key (numbered from 0), time and arrival.
 
     A row that repeats the one before (time and value) shares its fate and
-    does not lengthen a run. Null and impossible values are passed over.
+    does not lengthen a run. Null and impossible values are passed over. A
+    rest is sound, and no reading is held against it but one or two within it.
+    given: keys whose readings here are only part of their source's, and what
+    is usual for these (a row of noise, phi and run for each field).
     """
     out = []
-    for field, x in zip(fields, columns):
-        used = np.flatnonzero(~np.isnan(x) & (x >= field.low) & (x <= field.high))
-        k, t, v = key[used], at[used], x[used]
-        fresh = np.ones(len(used), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-        row_of = np.cumsum(fresh) - 1
-        k, v = k[fresh], v[fresh]
-        series = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])]) if len(k) else k.astype(np.int64)
-        held = stuck_runs(v, series, field.rest)
-        # a stuck run stands for one reading in the other test
-        single = ~held
-        single[1:] |= held[1:] & ((v[1:] != v[:-1]) | ~held[:-1] | (series[1:] != series[:-1]))
-        if len(held):
-            single[0] = True
-        # readings at rest are neither spikes nor what others are held against
-        if field.rest is not None:
-            single &= v != field.rest
-        hit = np.zeros(len(v), bool)
-        if single.any():
-            packed = series[single]
-            packed = np.concatenate([[0], np.cumsum(packed[1:] != packed[:-1])])
-            hit[single] = spikes(v[single], packed, field.limit)
-        hit &= ~held
+    count = int(key[-1]) + 1 if len(key) else 0
+    for number, (field, x) in enumerate(zip(fields, columns)):
+        p = _prepared(key, at, x, field)
+        norm = usual(sketch(p.values, p.series, np.ones(len(p.values), bool), p.rest, p.single), count)
+        if given is not None:
+            for own, table in zip((norm.noise, norm.phi, norm.run), given[1][:, 3 * number : 3 * number + 3].T):
+                own[given[0]] = table
+        held = np.zeros(len(p.values), bool)
+        hit = np.zeros(len(p.values), bool)
+        if len(p.values):
+            begin, length = _runs(p.values, p.series)
+            held = np.repeat((length >= np.maximum(RUN, TIMES * norm.run[p.series[begin]])) & ~p.rest[begin], length)
+            # runs that are not stuck after all count with each reading
+            within = _within_rest(p) if field.rest is not None else np.zeros(len(held), bool)
+            single = (p.single | ~held) & ~p.rest & ~within
+            if single.any():
+                owner = p.series[single]
+                kept = np.unique(owner)
+                own = Usual(norm.noise[kept], norm.phi[kept], norm.run[kept])
+                hit[single] = spikes(p.values[single], np.searchsorted(kept, owner), field.limit, own)
+            if field.rest is not None:
+                hit |= within & (np.abs(p.values - field.rest) > field.limit * np.maximum(norm.noise[p.series], 1e-12))
+        hit &= ~held & ~p.rest
         stuck, spike = np.zeros(len(x), bool), np.zeros(len(x), bool)
-        stuck[used], spike[used] = held[row_of], hit[row_of]
+        stuck[p.used], spike[p.used] = held[p.row_of], hit[p.row_of]
         out.append((stuck, spike))
     return out
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """Rows with their part of the source; those near a part's border also with the neighbour's number, as its halo.
+def _within_rest(p: Prepared) -> np.ndarray:
+    """One or two readings between two long rests of the source: they are held against the rest."""
+    n = len(p.values)
+    out = np.zeros(n, bool)
+    begin = np.flatnonzero(np.concatenate([[True], (p.rest[1:] != p.rest[:-1]) | (p.series[1:] != p.series[:-1])]))
+    length = np.diff(np.append(begin, n))
+    long = p.rest & np.repeat(length >= REST, length)
+    for k in (1, 2):
+        at = begin[(length == k) & ~p.rest[begin]]
+        at = at[(at > 0) & (at + k < n)]
+        at = at[np.logical_and.reduce([long[i] & (p.series[i] == p.series[at]) for i in (at - 1, at + k)])]
+        for j in range(k):
+            out[at + j] = True
+    return out
+
+
+def _hinted(small: DataFrame) -> DataFrame:
+    """A table that was written and counted: broadcast up to a bound, so that the readings need not be moved for it."""
+    return F.broadcast(small) if small.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS else small
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their part of the source, those near a part's border also with the neighbour's number, as its halo; and the parts of long sources.
 
     Sources of up to PART readings are one part. Longer ones are cut at days,
-    by the running number of their readings: only day counts are ever gathered
-    for one source, never its readings.
+    days of more than PART readings at slots of about SLOT, by the running
+    number of their readings: days, slots of a day and parts are gathered for
+    one source, never its readings. __long tells sources of several parts.
     """
-    days = rows.groupBy("__source", "__day").agg(F.count(F.lit(1)).alias("__n"))
+    days = rows.groupBy("__source", "__day").agg(F.count(F.lit(1)).alias("__day_n"))
     source = Window.partitionBy("__source")
     upto = source.orderBy("__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = days.withColumn("__all", F.sum("__n").over(source)).where(F.col("__all") > PART)
-    counted = counted.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__ahead", F.col("__upto") - F.col("__n"))
+    days = days.withColumn("__all", F.sum("__day_n").over(source)).where(F.col("__all") > PART)
+    days = days.withColumn("__day_ahead", F.sum("__day_n").over(upto) - F.col("__day_n"))
+    days = cut(days.withColumn("__slots", F.when(F.col("__day_n") > PART, F.ceil(F.col("__day_n") / SLOT)).otherwise(F.lit(1))))
+    units = days.where("__slots = 1").select("__source", "__day", F.lit(0).cast("bigint").alias("__slot"), "__all", F.col("__day_n").alias("__n"), F.col("__day_ahead").alias("__ahead"))
+    busy = days.where("__slots > 1").select("__source", "__day", "__slots", "__all", "__day_ahead")
+    keys = ["__source", "__day"]
+    if not busy.isEmpty():
+        keys.append("__slot")
+        slot = F.floor((F.col("__at") - F.col("__day") * 86_400_000_000) * F.col("__slots") / F.lit(86_400_000_000).cast("decimal(20,0)")).cast("bigint")
+        rows = rows.join(_hinted(busy).select("__source", "__day", "__slots"), ["__source", "__day"], "left").withColumn("__slot", F.coalesce(slot, F.lit(0).cast("bigint")))
+        within = Window.partitionBy("__source", "__day").orderBy("__slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        slots = rows.where("__slots is not null").groupBy("__source", "__day", "__slot").agg(F.count(F.lit(1)).alias("__n")).withColumn("__within", F.sum("__n").over(within) - F.col("__n"))
+        units = units.unionByName(slots.join(busy, ["__source", "__day"]).select("__source", "__day", "__slot", "__all", "__n", (F.col("__day_ahead") + F.col("__within")).alias("__ahead")))
     size = F.col("__all") / F.ceil(F.col("__all") / PART)  # parts of about equal size
-    counted = counted.withColumn("__part", F.floor(F.col("__ahead") / size))
-    counted = counted.withColumn("__begin", F.min("__ahead").over(Window.partitionBy("__source", "__part")))
-    counted = counted.withColumn("__end", F.max("__upto").over(Window.partitionBy("__source", "__part")))
-    also = F.array(
-        F.col("__part"),
-        F.when((F.col("__ahead") < F.col("__begin") + HALO) & (F.col("__part") > 0), F.col("__part") - 1),
-        F.when(F.col("__upto") > F.col("__end") - HALO, F.col("__part") + 1),
-    )
-    split = counted.select("__source", "__day", F.col("__part").alias("__home"), F.array_compact(also).alias("__also"))
-    # written once and counted: a small table is broadcast, so that the readings need not be moved for it; a large one is joined as it is
-    split = cut(split)
-    small = split.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS
-    joined = rows.join(F.broadcast(split) if small else split, ["__source", "__day"], "left")
-    one = F.coalesce("__also", F.array(F.lit(0).cast("bigint")))
-    return joined.withColumn("__home", F.coalesce("__home", F.lit(0).cast("bigint"))).withColumn("__part", F.explode(one))
+    units = units.withColumn("__home", F.floor(F.col("__ahead") / size)).withColumn("__upto", F.col("__ahead") + F.col("__n"))
+    parts = units.groupBy("__source", "__home").agg(F.min("__ahead").alias("__begin"), F.max("__upto").alias("__end"))
+    order = source.orderBy("__home")
+    parts = parts.withColumn("__previous", F.lag("__home").over(order)).withColumn("__next", F.lead("__home").over(order))
+    units = units.join(parts, ["__source", "__home"])
+    also = F.array("__home", F.when(F.col("__ahead") < F.col("__begin") + HALO, F.col("__previous")), F.when(F.col("__upto") > F.col("__end") - HALO, F.col("__next")))
+    split = cut(units.select(*keys, "__home", F.array_compact(also).alias("__also")))
+    joined = rows.join(_hinted(split), keys, "left")
+    first = F.lit(0).cast("bigint")
+    joined = joined.withColumn("__long", F.col("__home").isNotNull()).withColumn("__home", F.coalesce("__home", first))
+    return joined.withColumn("__part", F.explode(F.coalesce("__also", F.array(first)))), split.select("__source", F.col("__home").alias("__part")).distinct()
 
 
 def implausible(df: DataFrame, source: str, at: str, row: str, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
@@ -266,45 +450,105 @@ def implausible(df: DataFrame, source: str, at: str, row: str, fields: tuple[Fie
     beyond = [F.struct(F.lit(f.name).alias("field_name"), ((F.col(f"__v{i}") < f.low) | (F.col(f"__v{i}") > f.high)).alias("bad")) for i, f in enumerate(fields)]
     impossible = rows.select(F.col("__row").alias(row), F.inline(F.array(*beyond))).where(F.col("bad")).select(row, "field_name", F.lit("limit").alias("kind"))
     placed = rows.where(F.col("__source").isNotNull() & F.col("__at").isNotNull()).withColumn("__day", F.floor(F.col("__at") / 86_400_000_000))
-    parts = _parts(placed).select("__source", "__part", "__home", "__at", "__row", *(f"__v{i}" for i in range(len(fields))))
-    ordered = parts.repartition("__source", "__part").sortWithinPartitions("__source", "__part", "__at", "__row")
-    names = [f.name for f in fields]
+    names = [f"__v{i}" for i in range(len(fields))]
+    parts, numbers = _parts(placed)
+    parts = parts.select("__source", "__part", "__home", "__long", "__at", "__row", *names)
+    norms = cut(_norms(parts.where("__long").select("__source", "__part", "__home", "__at", "__row", *names), fields))
+    kinds = dict(zip(parts.columns, parts.schema))
+    blank = [F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("__home", "__at", "__row", *names)]
+    # what is usual for a long source comes first among the rows of each of its parts
+    told = numbers.join(norms, "__source").select("__source", "__part", *blank, "__norm")
+    every = parts.drop("__long").withColumn("__norm", F.lit(None).cast("array<double>")).unionByName(told)
+    ordered = every.repartition("__source", "__part").sortWithinPartitions("__source", "__part", "__at", "__row")
     schema = T.StructType([T.StructField(row, df.schema[row].dataType), T.StructField("field_name", T.StringType()), T.StructField("kind", T.StringType())])
 
     def test(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
-        columns = [table.column(f"__v{i}").to_numpy().astype(float) for i in range(len(names))]
-        found = faults(key, table.column("__at").to_numpy(), columns, fields)
+        marks = np.flatnonzero(table.column("__norm").is_valid().to_numpy())
+        given = (key[marks], np.array(table.column("__norm").take(pa.array(marks)).to_pylist(), float)) if len(marks) else None
+        if given:
+            rest = np.ones(len(key), bool)
+            rest[marks] = False
+            table, key = table.filter(pa.array(rest)), key[rest]
+        columns = [table.column(c).to_numpy().astype(float) for c in names]
+        found = faults(key, table.column("__at").to_numpy(), columns, fields, given)
         home = table.column("__home").to_numpy() == table.column("__part").to_numpy()
         ids, which, kinds = [], [], []
-        for name, (stuck, spike) in zip(names, found):
+        for field, (stuck, spike) in zip(fields, found):
             for kind, mask in (("stuck", stuck), ("spike", spike)):
                 hit = np.flatnonzero(mask & home)
                 ids.append(hit)
-                which += [name] * len(hit)
+                which += [field.name] * len(hit)
                 kinds += [kind] * len(hit)
         picked = table.column("__row").take(pa.array(np.concatenate(ids))).combine_chunks()
         return pa.RecordBatch.from_arrays([picked, pa.array(which, pa.string()), pa.array(kinds, pa.string())], names=schema.names)
 
     def run(batches):
-        # rows come in order of source and part; a part is tested once its last row has been read
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= PART:
-                table = pa.Table.from_batches(held)
-                key = _keys(table)
-                last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-                if last:
-                    yield test(table.slice(0, last), key[:last])
-                    held = table.slice(last).combine_chunks().to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            if table.num_rows:
-                yield test(table, _keys(table))
+        for table in _whole(batches):
+            yield test(table, _keys(table))
 
     return impossible.unionByName(ordered.mapInArrow(run, schema))
 
 
+def _whole(batches):
+    """Tables of whole parts from batches in order of source and part; a part is passed on once its last row has been read."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PART:
+            table = pa.Table.from_batches(held)
+            key = _keys(table)
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield table.slice(0, last)
+                held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        if table.num_rows:
+            yield table
+
+
+def _norms(parts: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """What is usual for sources of several parts: __source and __norm (noise, phi and run of each field).
+
+    Each part's sketch is made beside its readings; sketches of a source add
+    up, and are no longer than their bins however many readings it has.
+    """
+    ordered = parts.repartition("__source", "__part").sortWithinPartitions("__source", "__part", "__at", "__row")
+    kind = parts.schema["__source"]
+    schema = T.StructType([kind, *T._parse_datatype_string("__part bigint, field int, what int, bin bigint, n bigint, a double, b double").fields])
+
+    def run(batches):
+        for table in _whole(batches):
+            key = _keys(table)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            home = table.column("__home").to_numpy() == table.column("__part").to_numpy()
+            at = table.column("__at").to_numpy()
+            for number, field in enumerate(fields):
+                p = _prepared(key, at, table.column(f"__v{number}").to_numpy().astype(float), field)
+                made = sketch(p.values, p.series, home[p.fresh], p.rest, p.single)
+                rows = pa.array(first[made["series"].to_numpy(np.int64)])
+                numbers = [pa.array(np.full(len(made), number, np.int32)), *(pa.array(made[c].to_numpy(t)) for c, t in (("what", np.int32), ("bin", np.int64), ("n", np.int64), ("a", float), ("b", float)))]
+                yield pa.RecordBatch.from_arrays([*(table.column(c).take(rows).combine_chunks() for c in ("__source", "__part")), *numbers], names=schema.names)
+
+    sketches = ordered.mapInArrow(run, schema)
+    keys = ("field", "what", "bin")
+    merged = sketches.groupBy("__source", *keys).agg(*(F.sum(c).alias(c) for c in ("n", "a", "b")))
+    merged = merged.groupBy("__source").agg(F.collect_list(F.struct(*keys, "n", "a", "b")).alias("__held"))
+    out = T.StructType([kind, T.StructField("__norm", T.ArrayType(T.DoubleType()))])
+
+    def told(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            held = pd.DataFrame({"series": owner, **{c: flat.field(c).to_numpy() for c in (*keys, "n", "a", "b")}})
+            norms = [usual(held[held["field"] == i], batch.num_rows) for i in range(len(fields))]
+            table = np.stack([x for u in norms for x in (u.noise, u.phi, u.run)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table), pa.list_(pa.float64()))], names=out.names)
+
+    return merged.mapInArrow(told, out)
+
+
 def _keys(table: pa.Table) -> np.ndarray:
     """A number for each source and part, rising from 0 in the order of the rows."""
     source = pd.factorize(table.column("__source").to_pandas())[0]
