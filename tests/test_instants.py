@@ -1,5 +1,6 @@
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ AMS, DENVER, LORD_HOWE = "Europe/Amsterdam", "America/Denver", "Australia/Lord_H
 
 
 def one(text, zone=AMS, order="dmy"):
-    out = parse_times(pd.Series([text], dtype=object), pd.Series([zone], dtype=object), pd.Series([order], dtype=object))[0]
-    return None if out is pd.NA else datetime.fromtimestamp(out // 1_000_000, UTC).replace(microsecond=int(out % 1_000_000)).replace(tzinfo=None).isoformat(" ")
+    out = parse_times(pd.Series([text], dtype=object), pd.Series([zone], dtype=object), pd.Series([order], dtype=object))[0].as_py()
+    return None if out is None else datetime.fromtimestamp(out // 1_000_000, UTC).replace(microsecond=int(out % 1_000_000)).replace(tzinfo=None).isoformat(" ")
 
 
 @pytest.mark.parametrize(
@@ -71,7 +72,43 @@ def test_shapes_are_parsed_once():
     texts = pd.Series(["2021-02-08T09:15:10Z"] * 500 + ["2021-02-08T09:15:1Z"] * 500)
     out = parse_times(texts, pd.Series([AMS] * 1000), pd.Series(["dmy"] * 1000))
     assert reader.cache_info().misses == 2
-    assert out.notna().sum() == 500
+    assert len(out) - out.null_count == 500
+
+
+@pytest.mark.parametrize("zone", [AMS, DENVER, LORD_HOWE, "America/New_York", "Africa/Casablanca", "Pacific/Apia", "Asia/Kolkata"])
+def test_any_year_agrees_with_the_zone_database(zone):
+    """Whatever the year: every clock time that the zone shows once, and only these."""
+    import random
+    from zoneinfo import ZoneInfo
+
+    r, info = random.Random(zone), ZoneInfo(zone)
+    times = [datetime(r.randint(1850, 2100) if k % 3 else r.randint(1900, 9998), r.randint(1, 12), r.randint(1, 28), r.randint(0, 23), r.choice((0, 15, 30))) for k in range(1500)]
+    times += [datetime(y, m, d, 2, 30) for y in (1955, 2041, 2150, 2499, 2500, 4321) for m in (3, 4, 9, 10, 11) for d in range(1, 29)]
+
+    def expected(t):
+        seen = {t.replace(tzinfo=info, fold=f).astimezone(UTC) for f in (0, 1)}
+        shown = {x for x in seen if x.astimezone(info).replace(tzinfo=None) == t}
+        return int((shown.pop() - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) if len(shown) == 1 else None
+
+    clock = np.array([int((t - datetime(1970, 1, 1)).total_seconds()) for t in times], np.int64)
+    out, settled = transitions(zone).instants(clock)
+    assert [int(o) if s else None for o, s in zip(out, settled)] == [expected(t) for t in times]
+
+
+def test_years_of_bare_numbers():
+    texts = pd.Series(["1613841300", "186400000", "413841300"])
+    other = pd.Series([None] * 3, dtype=object)
+    assert parse_times(texts, other, other).to_pylist() == [1613841300000000, None, None]
+    assert parse_times(texts, other, other, (1972, 2000)).to_pylist() == [None, 186400000 * 10**6, 413841300 * 10**6]
+
+
+def test_another_zone_database_fails(spark):
+    from tidemark.operators import instants
+
+    df = spark.createDataFrame([("2021-02-08T09:15:10Z", None, None)], "t string, z string, o string")
+    with pytest.raises(Exception, match="zone database"):
+        df.select(instants._parser(instants.BARE_YEARS, "1999z")("t", "z", "o")).collect()
+    assert instants.zone_version() == transitions(AMS).version
 
 
 def test_tables_carry_their_version():

@@ -3,6 +3,10 @@
 A table lists, for one zone, the instants at which its clock changes with the
 offset and abbreviation that hold from there on. Tables are probed from the
 zone database once and carry its version, so results can be tied to it.
+
+They begin before any zone had a standard time. The calendar repeats every 400
+years, to the day of the week, and so do the rules that hold in the future:
+a time beyond a table's end is looked up a number of such cycles earlier.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from pathlib import Path
 
 import numpy as np
 
-FIRST, LAST, STEP = datetime(1970, 1, 1, tzinfo=UTC), datetime(2040, 1, 1, tzinfo=UTC), timedelta(days=7)
+FIRST, STEP = datetime(1840, 1, 1, tzinfo=UTC), timedelta(days=7)
+#: Tables go to NEAR; where times beyond it occur to FAR, a cycle after the last rule change that can be known.
+NEAR, FAR = datetime(2100, 1, 1, tzinfo=UTC), datetime(2500, 1, 1, tzinfo=UTC)
+#: Seconds of 400 years.
+CYCLE = 146_097 * 86_400
 
 
 @functools.cache
@@ -50,14 +58,20 @@ class Transitions:
 
         A time that the clock shows twice, or never, is not settled.
         """
+        table, cycles = self, np.zeros(len(clock), np.int64)
+        if len(clock) and clock.max() >= NEAR.timestamp() - 2 * 86_400:
+            table = transitions(self.zone, far=True)
+            # a day's margin on both sides, as clock and UTC differ by less
+            cycles = np.maximum(-((int(FAR.timestamp()) - 2 * 86_400 - clock) // CYCLE), 0)
+        clock = clock - cycles * CYCLE
         hits = np.zeros(len(clock), np.int64)
         out = np.zeros(len(clock), np.int64)
-        for offset in np.unique(self.offset):
+        for offset in np.unique(table.offset):
             at = clock - offset
-            match = self.offset[np.maximum(np.searchsorted(self.begin, at, "right") - 1, 0)] == offset
+            match = table.offset[np.maximum(np.searchsorted(table.begin, at, "right") - 1, 0)] == offset
             hits += match
             out[match] = at[match]
-        return out, hits == 1
+        return out + cycles * CYCLE, hits == 1
 
     def abbreviated(self, name: str, clock: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(epoch seconds, whether known) of clock times with an abbreviation of the zone.
@@ -72,9 +86,10 @@ class Transitions:
         return clock - self.offset[own][k], np.ones(len(clock), bool)
 
 
-@functools.lru_cache(maxsize=1024)
-def transitions(zone: str) -> Transitions | None:
+@functools.lru_cache(maxsize=2048)
+def transitions(zone: str, far: bool = False) -> Transitions | None:
     """The table of a zone by name, letter case aside; None if there is no such zone."""
+    last = FAR if far else NEAR
     known = canonical().get(zone.lower())
     if known is None:
         return None
@@ -86,8 +101,8 @@ def transitions(zone: str) -> Transitions | None:
 
     begin, states = [FIRST], [state(FIRST)]
     at = FIRST
-    while at < LAST:
-        after = min(at + STEP, LAST)
+    while at < last:
+        after = min(at + STEP, last)
         if state(after) != states[-1]:
             low, span = at, int((after - at).total_seconds())
             first = bisect.bisect_left(range(span + 1), True, key=lambda s, low=low: state(low + timedelta(seconds=s)) != states[-1])

@@ -4,7 +4,8 @@ A text is reduced to its shape: each digit a 9, each letter an A, all else as
 it stands. Texts of one shape have every field at the same place, so a parser
 is found for each distinct shape once (by matching the shape, not the text)
 and applied to all texts of that shape at once, as fixed columns of a byte
-matrix. Clock times become instants through transition tables of zones.
+matrix. Clock times become instants through transition tables of zones. All
+this works on the bytes of a whole Arrow batch, never on one text.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.zones import transitions
+from tidemark.functions.zones import transitions, version
 from tidemark.session import cut
 
 SECOND = 1_000_000
@@ -27,7 +30,7 @@ SECOND = 1_000_000
 MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER"]
 #: Names of UTC, valid at any site.
 UTC_NAMES = {"Z", "UTC", "GMT", "UT"}
-#: Bare numbers lie in these years, in the unit that makes it so.
+#: Bare numbers lie in these years (the last left out), in the unit that makes it so, where nothing else is asked for.
 BARE_YEARS = (2021, 2026)
 BARE_UNITS = (1, 1_000, 1_000_000, 1_000_000_000)  # units per second
 
@@ -65,12 +68,25 @@ def reader(shape: str) -> Reader | None:
     return None
 
 
-def shapes(texts: list[str]) -> list[str]:
-    """The shape of each text (upper case)."""
-    return [s.translate(_SHAPE) for s in texts]
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[ord("0") : ord("9") + 1] = ord("9")
+_SHAPE[ord("A") : ord("Z") + 1] = ord("A")
 
 
-_SHAPE = {**{ord(c): "9" for c in "0123456789"}, **{c: "A" for c in range(ord("A"), ord("Z") + 1)}}
+def clean(texts: pa.Array) -> pa.Array:
+    """Texts without blanks and quotes around, in upper case; null where they hold other than ASCII signs."""
+    bare = pc.utf8_trim_whitespace(pc.utf8_trim(pc.utf8_trim_whitespace(texts.cast(pa.large_string())), "\"'"))
+    upper = pc.utf8_upper(bare)
+    return pc.if_else(pc.string_is_ascii(upper), upper, pa.scalar(None, pa.large_string()))
+
+
+def shapes(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The shape of each clean text (none null), as a dictionary; their bytes, and where each begins."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    masked = pa.py_buffer(_SHAPE[data].tobytes())
+    held = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets.tobytes()), masked])
+    return held.dictionary_encode(), data, offsets[:-1]
 
 
 def _number(digits: np.ndarray) -> np.ndarray:
@@ -88,10 +104,10 @@ def _micros(digits: np.ndarray | None, n: int) -> np.ndarray:
     return out
 
 
-def _bare(matrix: np.ndarray, at: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _bare(matrix: np.ndarray, at: dict[str, tuple[int, int]], years: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     n = len(matrix)
     a, b = at["number"]
-    low, high = (int(pd.Timestamp(year=y, month=1, day=1).timestamp()) for y in BARE_YEARS)
+    low, high = (int(np.datetime64(f"{y:04d}", "s").astype(np.int64)) for y in years)
     micros, good = np.zeros(n, np.int64), np.zeros(n, bool)
     if b - a > 19:
         return micros, good
@@ -109,20 +125,24 @@ def _bare(matrix: np.ndarray, at: dict[str, tuple[int, int]]) -> tuple[np.ndarra
     return micros, good
 
 
-def read_shape(found: Reader, texts: np.ndarray, zones: np.ndarray, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(microseconds since 1970, whether settled) of texts of one shape.
+def _words(block: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(number of the word in each row of bytes, distinct words)."""
+    distinct, codes = np.unique(np.ascontiguousarray(block).view(f"S{block.shape[1]}")[:, 0], return_inverse=True)
+    return codes, [w.decode("ascii") for w in distinct.tolist()]
+
+
+def read_shape(found: Reader, matrix: np.ndarray, zones: np.ndarray, orders: np.ndarray, years: tuple[int, int] = BARE_YEARS) -> tuple[np.ndarray, np.ndarray]:
+    """(microseconds since 1970, whether settled) of texts of one shape, each a row of bytes.
 
     zones and orders give the site's zone and order of numeric dates, or None.
     """
-    n = len(texts)
+    n = len(matrix)
     at = {k: (a, b) for k, a, b in found.fields}
-    wide = len(texts[0])
-    matrix = np.frombuffer("".join(texts).encode("latin-1"), np.uint8).reshape(n, wide)
     if found.bare:
-        return _bare(matrix, at)
+        return _bare(matrix, at, years)
     part = lambda k: matrix[:, slice(*at[k])]
     number = lambda k, other=0: _number(part(k)) if k in at else np.full(n, other, np.int64)
-    words = lambda k: np.array([t[slice(*at[k])] for t in texts], object)
+    words = lambda k: _words(part(k))
     good = np.ones(n, bool)
     if "tee" in at:
         good &= part("tee")[:, 0] == ord("T")
@@ -133,7 +153,8 @@ def read_shape(found: Reader, texts: np.ndarray, zones: np.ndarray, orders: np.n
         good &= mdy | (orders == "dmy")
         month, day = np.where(mdy, first, second), np.where(mdy, second, first)
     elif "word" in at:
-        month = np.array([next((i + 1 for i, m in enumerate(MONTHS) if w in (m, m[:3]) or (w == "SEPT" and m == "SEPTEMBER")), 0) for w in words("word")], np.int64)
+        codes, distinct = words("word")
+        month = np.array([next((i + 1 for i, m in enumerate(MONTHS) if w in (m, m[:3]) or (w == "SEPT" and m == "SEPTEMBER")), 0) for w in distinct], np.int64)[codes]
         day = number("day")
     elif "ordinal" in at:
         month, day = np.ones(n, np.int64), np.ones(n, np.int64)
@@ -153,7 +174,8 @@ def read_shape(found: Reader, texts: np.ndarray, zones: np.ndarray, orders: np.n
         days = days + day - 1
     hour, minute, second = number("hour"), number("minute"), number("second")
     if "ampm" in at:
-        half = words("ampm")
+        codes, distinct = words("ampm")
+        half = np.array(distinct, object)[codes]
         good &= np.isin(half, ("AM", "PM")) & (hour >= 1) & (hour <= 12)
         hour = hour % 12 + 12 * (half == "PM")
     good &= (hour <= 23) & (minute <= 59) & (second <= 59)
@@ -173,66 +195,74 @@ def _place(clock, good, at, part, words, zones) -> tuple[np.ndarray, np.ndarray]
         minutes = _number(plain[:, 2:]) if plain.shape[1] > 2 else np.zeros(n, np.int64)
         sign = np.where(digits[:, 0] == ord("-"), -1, 1)
         return clock - sign * (hours * 3600 + minutes * 60), (hours <= 23) & (minutes <= 59)
-    names = None
-    if "only" in at or "zone" in at:
-        zones = words("only" if "only" in at else "zone")
-    elif "abbreviation" in at:
-        names = words("abbreviation")
     out, settled = clock.copy(), np.zeros(n, bool)
-    if names is not None:
-        settled |= np.isin(names, list(UTC_NAMES))
-    keys = pd.factorize(pd.Series([(z, None if names is None else names[i]) if not settled[i] else None for i, z in enumerate(zones)], dtype=object))
-    for code, key in enumerate(keys[1]):
-        zone, name = key
-        own = np.flatnonzero((keys[0] == code) & good)
-        table = transitions(zone) if isinstance(zone, str) else None
+    # a table for each distinct zone, or zone and abbreviation
+    zone_of, zones_held = words("only" if "only" in at else "zone") if "only" in at or "zone" in at else pd.factorize(zones)
+    name_of, names = words("abbreviation") if "abbreviation" in at else (np.zeros(n, np.int64), [None])
+    known_utc = np.array([w in UTC_NAMES for w in names], bool)[name_of] if len(names) else settled
+    settled |= known_utc
+    pair, place = np.unique((zone_of + 1) * len(names) + name_of, return_inverse=True)
+    for code, key in enumerate(pair.tolist()):
+        number, name = key // len(names) - 1, names[key % len(names)]
+        own = np.flatnonzero((place == code) & good & ~known_utc)
+        table = transitions(zones_held[number]) if number >= 0 else None
         if table is None or not len(own):
             continue
         out[own], settled[own] = table.instants(clock[own]) if name is None else table.abbreviated(name, clock[own])
     return out, settled
 
 
-def parse_times(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
-    """Microseconds since 1970 UTC of each text, null where it settles no instant."""
+def parse_times(texts: pa.Array, zones: pa.Array, orders: pa.Array, years: tuple[int, int] = BARE_YEARS) -> pa.Array:
+    """Microseconds since 1970 UTC of each text, null where it settles no instant. Series do as well as arrays."""
+    texts, zones, orders = (pa.array(x, pa.string(), from_pandas=True) if isinstance(x, pd.Series) else x for x in (texts, zones, orders))
     micros = np.zeros(len(texts), np.int64)
     good = np.zeros(len(texts), bool)
-    rows = np.flatnonzero(texts.notna().to_numpy())
-    clean = [t.strip().strip("\"'").strip().upper() for t in texts.iloc[rows]]
-    plain = [t.isascii() for t in clean]
-    rows, clean = rows[np.array(plain, bool)], [t for t, p in zip(clean, plain) if p]
-    codes, distinct = pd.factorize(pd.Series(shapes(clean), dtype=object))
-    array = np.array(clean, object)
-    zone, order = zones.to_numpy(object), orders.to_numpy(object)
-    by_shape = np.argsort(codes, kind="stable")
-    for own in np.split(by_shape, np.flatnonzero(np.diff(codes[by_shape])) + 1) if len(codes) else []:
-        found = reader(distinct[codes[own[0]]])
-        if found is not None:
-            at = rows[own]
-            micros[at], good[at] = read_shape(found, array[own], zone[at], order[at])
-    return pd.Series(micros, dtype="Int64").mask(~good)
-
-
-@F.pandas_udf(T.LongType())
-def _parsed(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
-    return parse_times(texts, zones, orders)
-
-
-#: Called so that no filter on its result is moved below it, which would parse every text twice.
-_instant = _parsed.asNondeterministic()
-
-
-def instant(text: Column, zone: Column, order: Column) -> Column:
+    plain = clean(texts)
+    rows = np.flatnonzero(plain.is_valid().to_numpy(zero_copy_only=False))
+    if len(rows):
+        held, data, begin = shapes(plain.take(pa.array(rows)))
+        codes, distinct = held.indices.to_numpy(), held.dictionary.to_pylist()
+        zone, order = zones.to_numpy(zero_copy_only=False), orders.to_numpy(zero_copy_only=False)
+        by_shape = np.argsort(codes, kind="stable")
+        for own in np.split(by_shape, np.flatnonzero(np.diff(codes[by_shape])) + 1):
+            shape = distinct[codes[own[0]]]
+            found = reader(shape)
+            if found is not None:
+                at = rows[own]
+                matrix = data[begin[own][:, None] + np.arange(len(shape))]
+                micros[at], good[at] = read_shape(found, matrix, zone[at], order[at], years)
+    return pa.array(micros, mask=~good)
+
+
+def _parser(years: tuple[int, int], zones: str):
+    def parsed(texts: pa.Array, zone: pa.Array, order: pa.Array) -> pa.Array:
+        if version() != zones:
+            raise RuntimeError(f"zone database {version()} here, {zones} where the query was made")
+        return parse_times(texts, zone, order, years)
+
+    # called nondeterministic so that no filter on its result is moved below it, which would parse every text twice
+    return F.arrow_udf(parsed, T.LongType()).asNondeterministic()
+
+
+def instant(text: Column, zone: Column, order: Column, years: tuple[int, int] = BARE_YEARS) -> Column:
     """Microseconds since 1970 UTC that a text names, null where it settles none.
 
     Offsets and zone names in the text count; an abbreviation means what it
     means in `zone`; bare numbers count from 1970 UTC in the unit that gives a
-    date in BARE_YEARS; all else is on the clock of `zone`. Numeric dates with
-    the year last follow `order` (dmy or mdy). Blanks and quotes around and
-    letter case do not matter. Clock times shown twice or never, and texts
-    that are no full existing date and time of day, are null; seconds may be
-    missing. A null zone or order matters only where it is needed.
+    date from the first of `years` up to the last, that left out; all else is
+    on the clock of `zone`. Numeric dates with the year last follow `order`
+    (dmy or mdy). Blanks and quotes around and letter case do not matter.
+    Clock times shown twice or never, and texts that are no full existing date
+    and time of day, are null; seconds may be missing. A null zone or order
+    matters only where it is needed. Executors must have the zone database of
+    the driver: another version fails the query.
     """
-    return _instant(text, zone, order)
+    return _parser(years, version())(text, zone, order)
+
+
+def zone_version() -> str:
+    """The version of the zone database that instants are made with, to be kept beside them."""
+    return version()
 
 
 def sited(df: DataFrame, sites: DataFrame, node: str = "node") -> DataFrame:
