@@ -71,7 +71,7 @@ BINS, LEAST_BIN = 50, 1_500
 ERROR, STEP, LENGTH, SUMS = range(4)
 
 
-def _sides(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sides(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, rows: np.ndarray, after: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """The SIDE clean values before and after each of `rows` within its series, nearest first, NaN where there are none.
 
     bounds: for each row, begin and end of its series (2 x n).
@@ -79,11 +79,14 @@ def _sides(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, rows: np.n
     held = values[clean]
     upto = np.concatenate([[0], np.cumsum(clean)])
     begin, end = upto[bounds[0, rows]], upto[bounds[1, rows]]
-    before = upto[rows][:, None] - 1 - np.arange(SIDE)
-    after = upto[rows + 1][:, None] + np.arange(SIDE)
     padded = np.append(held, np.nan)
     last = len(held)
-    return padded[np.where(before >= begin[:, None], before, last)], padded[np.where(after < end[:, None], after, last)]
+    place = upto[rows][:, None] - 1 - np.arange(SIDE)
+    ahead = padded[np.where(place >= begin[:, None], place, last)]
+    if not after:
+        return ahead, None
+    place = upto[rows + 1][:, None] + np.arange(SIDE)
+    return ahead, padded[np.where(place < end[:, None], place, last)]
 
 
 def _median(block: np.ndarray) -> np.ndarray:
@@ -134,83 +137,76 @@ def _interpolated(values: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, n
     return np.abs(error), inner
 
 
-def sketch(values: np.ndarray, series: np.ndarray, counted: np.ndarray, rest: np.ndarray, single: np.ndarray) -> pd.DataFrame:
-    """Sums that add up over the parts of a source: (series, what, bin, n, a, b).
+def _added(owner: np.ndarray, bins: np.ndarray, *sums: np.ndarray | None) -> list[np.ndarray]:
+    """(series, bin, n, and the sum of each of `sums`) of each series and bin that occurs, in order."""
+    width = int(bins.max()) + 2 if len(bins) else 1  # bins begin at -1
+    key = owner * width + bins + 1
+    n = np.bincount(key)
+    held = np.flatnonzero(n)
+    return [held // width, held % width - 1, n[held], *(np.zeros(len(held)) if x is None else np.bincount(key, x)[held] for x in sums)]
+
+
+def sketch(values: np.ndarray, series: np.ndarray, counted: np.ndarray, rest: np.ndarray, single: np.ndarray) -> list[list[np.ndarray]]:
+    """Sums that add up over the parts of a source: for ERROR, STEP, LENGTH and SUMS each (series, bin, n, a, b).
 
     counted: the readings that this part counts (its halo is there for their
     neighbours). rest: readings at rest; single: those that the spike test
-    sees. ERROR: n readings, a sum of sizes, b of squares; STEP: n, a; LENGTH:
-    n runs of that length; SUMS: n pairs of neighbours, a those on one side of
-    the level less those on both.
+    sees. ERROR: n readings, a sum of sizes, b of squares (bin -1: of size 0);
+    STEP: n, a; LENGTH: n runs of that length; SUMS: n pairs of neighbours, a
+    those on one side of the level less those on both.
     """
-    rows = []
     begin, length = _runs(values, series)
     usable = counted[begin] & ~rest[begin] & (length < RUN)
-    rows.append((series[begin][usable], LENGTH, length[usable], None, None))
+    lengths = _added(series[begin][usable], length[usable], None, None)
     v, s, mine = values[single], series[single], counted[single]
-    if len(v) >= 3:
-        size, inner = _interpolated(v, s)
-        own = inner & mine
-        moving = own & (size > 0)
-        still = own & (size == 0)
-        rows.append((s[moving], ERROR, _bins(size[moving]), size[moving], size[moving] ** 2))
-        rows.append((s[still], ERROR, np.full(int(still.sum()), -1), None, None))
-        step = np.abs(np.diff(v))
-        moved = (s[1:] == s[:-1]) & (step > 0) & mine[1:]
-        rows.append((s[1:][moved], STEP, _bins(step[moved]), step[moved], None))
-        every = np.arange(len(v))
-        numbers = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        before, _ = _sides(v, np.ones(len(v), bool), _bounds(numbers), every)
-        level = _median(before)
-        x, y = v - level, before[:, 0] - level
-        # whether a reading and the one before lie on one side of the level: no size of an outlier enters
-        together = np.sign(x) * np.sign(y)
-        ok = mine & ~np.isnan(together) & (together != 0)
-        rows.append((s[ok], SUMS, np.zeros(int(ok.sum()), np.int64), together[ok], None))
-    out = []
-    for owner, what, bins, a, b in rows:
-        if len(owner):
-            zero = np.zeros(len(owner))
-            held = pd.DataFrame({"series": owner, "bin": bins, "n": 1, "a": zero if a is None else a, "b": zero if b is None else b})
-            held = held.groupby(["series", "bin"], sort=True).sum().reset_index()
-            held.insert(1, "what", what)
-            out.append(held)
-    return pd.concat(out) if out else pd.DataFrame({"series": np.zeros(0, np.int64), "what": [], "bin": [], "n": [], "a": [], "b": []})
-
-
-def _quantile(held: pd.DataFrame, quantile: float, count: int, values: np.ndarray) -> np.ndarray:
+    if len(v) < 3:
+        nothing = _added(np.zeros(0, np.int64), np.zeros(0, np.int64), None, None)
+        return [nothing, nothing, lengths, nothing]
+    size, inner = _interpolated(v, s)
+    own = inner & mine
+    size, owner = size[own], s[own]
+    bins = np.full(len(size), -1)
+    moving = size > 0
+    bins[moving] = _bins(size[moving])
+    errors = _added(owner, bins, size, size**2)
+    step = np.abs(np.diff(v))
+    moved = (s[1:] == s[:-1]) & (step > 0) & mine[1:]
+    steps = _added(s[1:][moved], _bins(step[moved]), step[moved], None)
+    numbers = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+    before, _ = _sides(v, np.ones(len(v), bool), _bounds(numbers), np.arange(len(v)), after=False)
+    level = _median(before)
+    # whether a reading and the one before lie on one side of the level: no size of an outlier enters
+    together = np.sign(v - level) * np.sign(before[:, 0] - level)
+    ok = mine & ~np.isnan(together) & (together != 0)
+    return [errors, steps, lengths, _added(s[ok], np.zeros(int(ok.sum()), np.int64), together[ok], None)]
+
+
+def _quantile(series: np.ndarray, n: np.ndarray, quantile: float, count: int, values: np.ndarray) -> np.ndarray:
     """The lower quantile of each series' histogram, its bins in order; 0 where it is empty."""
-    out = np.zeros(count)
-    if not len(held):
-        return out
-    series, n = held["series"].to_numpy(), held["n"].to_numpy()
-    upto = n.cumsum()
+    if not len(series):
+        return np.zeros(count)
     total = np.bincount(series, n, count)
     ahead = np.concatenate([[0], np.cumsum(total)[:-1]])
     place = np.floor(quantile * np.maximum(total - 1, 0)) + ahead
-    at = np.minimum(np.searchsorted(upto, place, "right"), len(values) - 1)
+    at = np.minimum(np.searchsorted(n.cumsum(), place, "right"), len(values) - 1)
     return np.where(total > 0, values[at], 0.0)
 
 
-def usual(held: pd.DataFrame, count: int) -> Usual:
-    """What is usual for each series, from the sketch of all its readings."""
-    held = held.groupby(["series", "what", "bin"], sort=True).sum().reset_index()
-    of = {w: held[held["what"] == w] for w in (ERROR, STEP, LENGTH, SUMS)}
-    errors = of[ERROR]
-    moving = errors[errors["bin"] >= 0]
-    typical = 1.4826 * _quantile(moving, 0.5, count, (moving["a"] / moving["n"]).to_numpy())
-    owner, n = moving["series"].to_numpy(np.int64), moving["n"].to_numpy(float)
+def usual(held: list[list[np.ndarray]], count: int) -> Usual:
+    """What is usual for each series, from the sketch of all its readings: series and bins in order, each bin once."""
+    owner, bins, n, a, b = held[ERROR]
+    among = np.maximum(np.bincount(owner, n, count), 1)
+    owner, n, a, b = (x[bins >= 0] for x in (owner, n, a, b))
+    typical = 1.4826 * _quantile(owner, n, 0.5, count, a / n)
     top = 9 * typical[owner] ** 2
-    squares = np.bincount(owner, np.where(moving["b"].to_numpy() / np.maximum(n, 1) > top, top * n, moving["b"].to_numpy()), count)
-    among = np.maximum(np.bincount(errors["series"].to_numpy(np.int64), errors["n"].to_numpy(float), count), 1)
-    noise = np.sqrt(squares / among / 1.5)
-    steps = of[STEP]
-    resolution = _quantile(steps, 0.02, count, (steps["a"] / steps["n"]).to_numpy())
-    runs = of[LENGTH]
-    length = np.maximum(_quantile(runs, 0.99, count, runs["bin"].to_numpy(float)), 1.0)
-    sums = of[SUMS]
+    noise = np.sqrt(np.bincount(owner, np.minimum(b, top * n), count) / among / 1.5)
+    owner, _, n, a, _ = held[STEP]
+    resolution = _quantile(owner, n, 0.02, count, a / n)
+    owner, bins, n, _, _ = held[LENGTH]
+    length = np.maximum(_quantile(owner, n, 0.99, count, bins.astype(float)), 1.0)
     # the quadrant correlation of a reading and the one before is the coefficient of a first-order autoregression
-    pairs, agreed = (np.bincount(sums["series"].to_numpy(np.int64), sums[c].to_numpy(float), count) for c in ("n", "a"))
+    owner, _, n, a, _ = held[SUMS]
+    pairs, agreed = np.bincount(owner, n, count), np.bincount(owner, a, count)
     phi = np.clip(np.sin(np.pi / 2 * np.divide(agreed, pairs, out=np.zeros(count), where=pairs > 0)), 0.0, 0.95)
     return Usual(np.maximum(noise, resolution / 2), phi, length)
 
@@ -245,21 +241,25 @@ def level_shifts(values: np.ndarray, clean: np.ndarray, bounds: np.ndarray, nois
     rows = np.flatnonzero(clean)
     if len(rows) < 2 * SIDE:
         return out
-    held, place = values[rows], np.arange(len(rows))
-    before, _ = _sides(values, clean, bounds, rows)
-    following = np.minimum(place[:, None] + np.arange(SIDE), len(rows) - 1)
-    inside = (bounds[0, rows[following]] == bounds[0, rows][:, None]) & (place[:, None] + np.arange(SIDE) < len(rows))
-    after = np.where(inside, held[following], np.nan)
-    old, new = _median(before), _median(after)
-    spread = 1.4826 * np.fmax(_median(np.abs(before - old[:, None])), _median(np.abs(after - new[:, None])))
-    size = np.abs(new - old) / np.maximum(np.fmax(spread, noise[rows]), 1e-12)
-    size[np.isnan(before[:, -1]) | ~inside[:, -1]] = 0
-    turns = np.abs(held - new) < np.abs(held - old)
-    turns[1:] &= np.abs(held[:-1] - old[1:]) < np.abs(held[:-1] - new[1:])
-    turns &= size > SHIFT * limit
-    cost = np.where(turns, np.nansum(np.abs(before - old[:, None]), axis=1) + np.nansum(np.abs(after - new[:, None]), axis=1), np.inf)
-    least = np.lib.stride_tricks.sliding_window_view(np.pad(cost, SIDE, constant_values=np.inf), 2 * SIDE + 1).min(axis=1)
-    out[rows[turns & (cost <= least)]] = True
+    held = values[rows]
+    begin = np.searchsorted(rows, bounds[0, rows])
+    end = np.searchsorted(rows, bounds[1, rows])
+    place = np.arange(len(rows))
+    # a shift is a step too: only there the levels of both sides are looked at
+    far = np.concatenate([[False], np.abs(np.diff(held)) > limit * noise[rows[1:]]])
+    place = place[far & (place - begin >= SIDE) & (end - place >= SIDE)]
+    if not len(place):
+        return out
+    before, after = held[place[:, None] - 1 - np.arange(SIDE)], held[place[:, None] + np.arange(SIDE)]
+    old, new = np.median(before, axis=1), np.median(after, axis=1)
+    spread = 1.4826 * np.maximum(np.median(np.abs(before - old[:, None]), axis=1), np.median(np.abs(after - new[:, None]), axis=1))
+    size = np.abs(new - old) / np.maximum(np.maximum(spread, noise[rows[place]]), 1e-12)
+    turns = (np.abs(held[place] - new) < np.abs(held[place] - old)) & (np.abs(held[place - 1] - old) < np.abs(held[place - 1] - new)) & (size > SHIFT * limit)
+    cost = np.full(len(rows) + 2 * SIDE, np.inf)
+    own = np.abs(before - old[:, None]).sum(axis=1) + np.abs(after - new[:, None]).sum(axis=1)
+    cost[place[turns] + SIDE] = own[turns]
+    near = cost[place[turns][:, None] + np.arange(2 * SIDE + 1)].min(axis=1) if turns.any() else own[turns]
+    out[rows[place[turns][own[turns] <= near]]] = True
     return out
 
 
@@ -278,30 +278,39 @@ def spikes(values: np.ndarray, series: np.ndarray, limit: float, norm: Usual | N
         every = np.ones(n, bool)
         norm = usual(sketch(values, series, every, ~every, every), int(series[-1]) + 1)
     noise, whole = norm.noise[series], _bounds(series)
-    phi, bounds, every = np.zeros(n), whole, np.arange(n)
+    phi, bounds, todo = np.zeros(n), whole, np.arange(n)
     for turn in range(ROUNDS):
-        before, after = _sides(values, ~flagged, bounds, every)
+        before, after = _sides(values, ~flagged, bounds, todo)
         level_b, level_a = _median(before), _median(after)
         # forecasts: the level of that side, and what the autoregression carries over from the nearest reading
-        forward = level_b + phi * (before[:, 0] - level_b)
-        backward = level_a + phi * (after[:, 0] - level_a)
+        forward = level_b + phi[todo] * (before[:, 0] - level_b)
+        backward = level_a + phi[todo] * (after[:, 0] - level_a)
         one_sided = np.isnan(forward) | np.isnan(backward)
         forward, backward = np.where(np.isnan(forward), backward, forward), np.where(np.isnan(backward), forward, backward)
-        d_b, d_a = values - forward, values - backward
+        d_b, d_a = values[todo] - forward, values[todo] - backward
         # additive outlier: departs from both in one direction
         departure = np.where(np.sign(d_b) == np.sign(d_a), np.minimum(np.abs(d_b), np.abs(d_a)), 0.0)
+        hit = departure > np.where(one_sided, EDGE, 1.0) * limit * np.maximum(noise[todo], 1e-12)
         # where the series is noisier than usual its own neighbourhood tells
-        local = np.fmin(_median(np.abs(before - level_b[:, None])), _median(np.abs(after - level_a[:, None]))) * 1.4826
-        slope = np.nan_to_num(np.abs(level_a - level_b)) / (SIDE + 1) * SIDE / 4 * 1.4826
-        scale = np.maximum(np.fmax(noise, np.nan_to_num(local) - slope), 1e-12)
-        hit = departure > np.where(one_sided, EDGE, 1.0) * limit * scale
-        same = bool((hit == flagged).all())
-        flagged = hit
-        if same and turn > 1:
+        some = np.flatnonzero(hit)
+        left, right = before[some], after[some]
+        local = np.fmin(_median(np.abs(left - level_b[some, None])), _median(np.abs(right - level_a[some, None]))) * 1.4826
+        slope = np.nan_to_num(np.abs(level_a[some] - level_b[some])) / (SIDE + 1) * SIDE / 4 * 1.4826
+        hit[some] = departure[some] > np.where(one_sided[some], EDGE, 1.0) * limit * np.maximum(np.nan_to_num(local) - slope, 1e-12)
+        turned = todo[hit != flagged[todo]]
+        flagged[todo] = hit
+        if turn and not len(turned):
             break
-        phi = norm.phi[series]
-        begins = level_shifts(values, ~flagged, whole, noise, limit)
-        bounds = _bounds(np.cumsum(begins | np.concatenate([[True], series[1:] != series[:-1]])) - 1)
+        if turn == 0:
+            phi = norm.phi[series]
+            begins = level_shifts(values, ~flagged, whole, noise, limit)
+            bounds = _bounds(np.cumsum(begins | np.concatenate([[True], series[1:] != series[:-1]])) - 1)
+        else:
+            # only what is near a reading that was cleaned or given back can change
+            reach = np.zeros(n + 1, np.int64)
+            np.add.at(reach, np.maximum(turned - 2 * SIDE, 0), 1)
+            np.add.at(reach, np.minimum(turned + 2 * SIDE + 1, n), -1)
+            todo = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
     return flagged
 
 
@@ -346,7 +355,7 @@ def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: t
     does not lengthen a run. Null and impossible values are passed over. A
     rest is sound, and no reading is held against it but one or two within it.
     given: keys whose readings here are only part of their source's, and what
-    is usual for these (a row of noise, phi and run for each field).
+    is usual for these (keys x noise, phi and run x fields).
     """
     out = []
     count = int(key[-1]) + 1 if len(key) else 0
@@ -354,8 +363,8 @@ def faults(key: np.ndarray, at: np.ndarray, columns: list[np.ndarray], fields: t
         p = _prepared(key, at, x, field)
         norm = usual(sketch(p.values, p.series, np.ones(len(p.values), bool), p.rest, p.single), count)
         if given is not None:
-            for own, table in zip((norm.noise, norm.phi, norm.run), given[1][:, 3 * number : 3 * number + 3].T):
-                own[given[0]] = table
+            for k, own in enumerate((norm.noise, norm.phi, norm.run)):
+                own[given[0]] = given[1][:, k, number]
         held = np.zeros(len(p.values), bool)
         hit = np.zeros(len(p.values), bool)
         if len(p.values):
@@ -455,23 +464,28 @@ def implausible(df: DataFrame, source: str, at: str, row: str, fields: tuple[Fie
     parts = parts.select("__source", "__part", "__home", "__long", "__at", "__row", *names)
     norms = cut(_norms(parts.where("__long").select("__source", "__part", "__home", "__at", "__row", *names), fields))
     kinds = dict(zip(parts.columns, parts.schema))
-    blank = [F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("__home", "__at", "__row", *names)]
-    # what is usual for a long source comes first among the rows of each of its parts
-    told = numbers.join(norms, "__source").select("__source", "__part", *blank, "__norm")
-    every = parts.drop("__long").withColumn("__norm", F.lit(None).cast("array<double>")).unionByName(told)
+    blank = [F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("__at", "__row")]
+    # what is usual for a long source stands among the rows of each of its parts: noise, phi and run, marked by homes below 0
+    told = numbers.join(norms, "__source").select("__source", "__part", F.posexplode("__norm").alias("__k", "__values"), *blank)
+    told = told.select("__source", "__part", (-1 - F.col("__k")).cast("bigint").alias("__home"), "__at", "__row", *(F.col("__values")[i].alias(c) for i, c in enumerate(names)))
+    every = parts.drop("__long").unionByName(told)
     ordered = every.repartition("__source", "__part").sortWithinPartitions("__source", "__part", "__at", "__row")
     schema = T.StructType([T.StructField(row, df.schema[row].dataType), T.StructField("field_name", T.StringType()), T.StructField("kind", T.StringType())])
 
     def test(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
-        marks = np.flatnonzero(table.column("__norm").is_valid().to_numpy())
-        given = (key[marks], np.array(table.column("__norm").take(pa.array(marks)).to_pylist(), float)) if len(marks) else None
-        if given:
-            rest = np.ones(len(key), bool)
-            rest[marks] = False
-            table, key = table.filter(pa.array(rest)), key[rest]
+        home = table.column("__home").to_numpy()
+        given, marks = None, home < 0
+        if marks.any():
+            # three rows for each key that has them, of one column for each field
+            at = np.flatnonzero(marks)
+            keys = np.unique(key[at])
+            told = np.zeros((len(keys), 3, len(names)))
+            told[np.searchsorted(keys, key[at]), -1 - home[at]] = np.stack([table.column(c).take(pa.array(at)).to_numpy() for c in names], axis=1)
+            given = (keys, told)
+            table, key, home = table.filter(pa.array(~marks)), key[~marks], home[~marks]
         columns = [table.column(c).to_numpy().astype(float) for c in names]
         found = faults(key, table.column("__at").to_numpy(), columns, fields, given)
-        home = table.column("__home").to_numpy() == table.column("__part").to_numpy()
+        home = home == table.column("__part").to_numpy()
         ids, which, kinds = [], [], []
         for field, (stuck, spike) in zip(fields, found):
             for kind, mask in (("stuck", stuck), ("spike", spike)):
@@ -515,7 +529,7 @@ def _norms(parts: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     """
     ordered = parts.repartition("__source", "__part").sortWithinPartitions("__source", "__part", "__at", "__row")
     kind = parts.schema["__source"]
-    schema = T.StructType([kind, *T._parse_datatype_string("__part bigint, field int, what int, bin bigint, n bigint, a double, b double").fields])
+    schema = T.StructType([kind, *T._parse_datatype_string("field int, what int, bin bigint, n bigint, a double, b double").fields])
 
     def run(batches):
         for table in _whole(batches):
@@ -525,26 +539,27 @@ def _norms(parts: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
             at = table.column("__at").to_numpy()
             for number, field in enumerate(fields):
                 p = _prepared(key, at, table.column(f"__v{number}").to_numpy().astype(float), field)
-                made = sketch(p.values, p.series, home[p.fresh], p.rest, p.single)
-                rows = pa.array(first[made["series"].to_numpy(np.int64)])
-                numbers = [pa.array(np.full(len(made), number, np.int32)), *(pa.array(made[c].to_numpy(t)) for c, t in (("what", np.int32), ("bin", np.int64), ("n", np.int64), ("a", float), ("b", float)))]
-                yield pa.RecordBatch.from_arrays([*(table.column(c).take(rows).combine_chunks() for c in ("__source", "__part")), *numbers], names=schema.names)
+                for what, (owner, bins, *sums) in enumerate(sketch(p.values, p.series, home[p.fresh], p.rest, p.single)):
+                    rows = pa.array(first[owner])
+                    numbers = [pa.array(np.full(len(owner), x, np.int32)) for x in (number, what)]
+                    sums = [pa.array(x.astype(t)) for x, t in zip((bins, *sums), (np.int64, np.int64, float, float))]
+                    yield pa.RecordBatch.from_arrays([table.column("__source").take(rows).combine_chunks(), *numbers, *sums], names=schema.names)
 
     sketches = ordered.mapInArrow(run, schema)
     keys = ("field", "what", "bin")
     merged = sketches.groupBy("__source", *keys).agg(*(F.sum(c).alias(c) for c in ("n", "a", "b")))
-    merged = merged.groupBy("__source").agg(F.collect_list(F.struct(*keys, "n", "a", "b")).alias("__held"))
-    out = T.StructType([kind, T.StructField("__norm", T.ArrayType(T.DoubleType()))])
+    merged = merged.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct(*keys, "n", "a", "b"))).alias("__held"))
+    out = T.StructType([kind, T.StructField("__norm", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def told(batches):
         for batch in batches:
             lists = batch.column(1)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            held = pd.DataFrame({"series": owner, **{c: flat.field(c).to_numpy() for c in (*keys, "n", "a", "b")}})
-            norms = [usual(held[held["field"] == i], batch.num_rows) for i in range(len(fields))]
-            table = np.stack([x for u in norms for x in (u.noise, u.phi, u.run)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table), pa.list_(pa.float64()))], names=out.names)
+            field, what, *sums = (flat.field(c).to_numpy() for c in (*keys, "n", "a", "b"))
+            norms = [usual([[x[(field == i) & (what == w)] for x in (owner, *sums)] for w in range(4)], batch.num_rows) for i in range(len(fields))]
+            table = np.stack([np.stack([u.noise, u.phi, u.run]) for u in norms], axis=2).transpose(1, 0, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table.tolist(), pa.list_(pa.list_(pa.float64())))], names=out.names)
 
     return merged.mapInArrow(told, out)
 
