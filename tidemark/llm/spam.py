@@ -87,7 +87,7 @@ NO_PROSE_AT_ALL = {"slope": -0.65, "residual": 0.2, "crowd": 0.6}
 FEWEST_LINKS, MOST_LINKS = 0.005, 0.1
 #: A word has a weight of its own if it is on so many extreme pages; weights are at most the log of LIFT, either way.
 SUPPORT, LIFT = 3, 20.0
-#: A lexicon of up to so many words is broadcast; beyond, the same join is shuffled.
+#: A table of up to so many words or pages is broadcast; beyond, the same join is shuffled.
 BROADCAST_WORDS = 100_000
 #: A word of at least so many letters may be made up of others, each of at least two letters.
 LEAST_JOINT = 8
@@ -362,7 +362,8 @@ def weights(pages: DataFrame, found: DataFrame) -> DataFrame:
     topics the extreme pages have, no word is left out for its share of them,
     and none is collected. Function words are left out.
     """
-    lent = pages.join(found.select("page"), "page", "left_semi")
+    found = cut(found.select("page"))
+    lent = pages.select("page", "words", "links", "terms", "counts").join(_hinted(found, found.count()), "page", "left_semi")
     there = _terms(lent).groupBy("word").agg(F.sum("n").alias("there"), F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= SUPPORT).drop("pages")
     there = there.where(~F.col("word").isin(sorted({w for t in TONGUES.values() for w in t.words})))
     there = cut(there)
