@@ -50,12 +50,50 @@ def test_table_on_disk(spark, tmp_path):
 
 
 def test_writers_side_by_side(spark, tmp_path):
+    """Four writers of one package into one part: none fails, each row is there once."""
     schema = "entity_id bigint, timestamp timestamp, created timestamp, job_id bigint, c1 smallint"
     new = spark.createDataFrame([(i, T, i) for i in range(100)], "entity_id bigint, timestamp timestamp, c1 smallint")
-    tables = [store.TrendTable(spark, str(tmp_path / str(i)), schema, parse("1d")) for i in range(4)]
+    tables = [store.TrendTable(spark, str(tmp_path / "one"), schema, parse("1d")) for _ in range(4)]
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda t: t.store(new), tables))
-    assert [t.read().count() for t in tables] == [100] * 4
+    assert [t.read().count() for t in tables] == [100] * 4 and tables[0].snapshot().version == 4
+    tables[0].compact()
+    assert rows(tables[1].read(), "entity_id", "c1") == [(i, i) for i in range(100)] and len(tables[0].manifest()[partition(T)]) == 1
+
+
+def test_writers_of_several_partitions(spark, tmp_path):
+    """Writers into one part, each into its own day, while days are folded: none is lost."""
+    schema = "entity_id bigint, timestamp timestamp, created timestamp, job_id bigint, c1 smallint"
+    table = lambda: store.TrendTable(spark, str(tmp_path / "one"), schema, parse("1d"))
+
+    def work(day):
+        at = T.replace(day=day)
+        for k in (1, 2):
+            table().store(spark.createDataFrame([(i, at, k) for i in range(25)], "entity_id bigint, timestamp timestamp, c1 smallint"), job=k)
+        table().compact([partition(at)])
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, (10, 11, 12, 13)))
+    assert rows(table().read(), "c1", "job_id") == [(2, 2)] * 100 and table().snapshot().version == 12
+
+
+def test_partial_columns_and_nulls(spark, tmp_path):
+    """A column keeps what was stored last by a package that has it, a null too; created is that of the first."""
+    schema = "entity_id bigint, timestamp timestamp, created timestamp, job_id bigint, a int, b string"
+    table = store.TrendTable(spark, str(tmp_path / "t"), schema, parse("1d"))
+    at = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp")
+    table.store(spark.createDataFrame([(1, T, 5, "x"), (2, T, 6, "y")], "entity_id bigint, timestamp timestamp, a int, b string"), job=1, now=at(1))
+    table.store(spark.createDataFrame([(1, T, None)], "entity_id bigint, timestamp timestamp, a int"), job=2, now=at(2))
+    table.store(spark.createDataFrame([(1, T, "z")], "entity_id bigint, timestamp timestamp, b string"), job=3, now=at(3))
+    for _ in range(2):
+        assert rows(table.read(), "entity_id", "a", "b", "job_id", "created") == [(1, None, "z", 3, datetime(2024, 1, 1)), (2, 6, "y", 1, datetime(2024, 1, 1))]
+        table.compact()
+    table.remove([partition(T)], F.col("entity_id") == 1)
+    assert rows(table.read(), "entity_id") == [(2,)]
+
+
+def partition(at):
+    return int((at - datetime(1970, 1, 1)).total_seconds() // 86400)
 
 
 def test_modified_log_folds(spark):

@@ -72,8 +72,43 @@ class Catalog:
         self.entity_types: dict[str, str] = {}
         self.data_sources: dict[str, str] = {}
         self.aliases: dict[str, int] = {}
+        self.disabled: list[str] = []
+        self.virtual: dict[str, str] = {}
         self.jobs: list[dict[str, Any]] = []
 
+    # kept as text
+
+    #: Kinds of definitions with their class, by the name under which they are held.
+    KINDS = {"trend_stores": TrendStore, "attribute_stores": AttributeStore, "notification_stores": NotificationStore, "relations": Relation, "materializations": ViewMaterialization, "triggers": TriggerDefinition}
+    NAMES = ("entity_types", "data_sources", "aliases", "disabled", "virtual")
+
+    def to_text(self) -> str:
+        """All definitions as JSON; jobs are kept apart."""
+        held = {kind: [d.to_dict() for d in getattr(self, kind).values()] for kind in self.KINDS}
+        return json.dumps(held | {n: getattr(self, n) for n in self.NAMES}, indent=1)
+
+    @classmethod
+    def from_text(cls, text: str) -> Catalog:
+        """The catalogue of such a text; an empty one gives an empty catalogue."""
+        catalog = cls()
+        held = json.loads(text) if text else {}
+        for kind, own in cls.KINDS.items():
+            for d in held.get(kind, []):
+                definition = own.from_dict(d)
+                getattr(catalog, kind)[catalog.key(kind, definition)] = definition
+        for n in cls.NAMES:
+            setattr(catalog, n, held.get(n, getattr(catalog, n)))
+        return catalog
+
+    @staticmethod
+    def key(kind: str, definition: Any) -> Any:
+        """The name under which a definition is held."""
+        if kind == "trend_stores":
+            return definition.key()
+        if kind == "attribute_stores":
+            return definition.name()
+        return getattr(definition, {"notification_stores": "data_source", "materializations": "target_trend_store_part"}.get(kind, "name"))
+
     # names
 
     def data_source(self, name: str) -> str:
@@ -208,6 +243,19 @@ class Catalog:
             raise DuplicateDefinition(f"{kind}: {name}")
         held[name] = definition
 
+    def update(self, kind: str, name: str, **values: Any) -> None:
+        """Change fields of a definition."""
+        held = getattr(self, kind)
+        if name not in held:
+            raise ConfigurationError(f"{kind}: no {name}")
+        held[name] = type(held[name]).from_dict(held[name].to_dict() | values)
+
+    def enable(self, trigger: str, on: bool = True) -> None:
+        """Let a trigger run, or not."""
+        if trigger not in self.triggers:
+            raise ConfigurationError(f"no trigger {trigger}")
+        self.disabled = sorted({*self.disabled, trigger} - ({trigger} if on else set()))
+
     def drop(self, kind: str, name: str) -> None:
         if getattr(self, kind).pop(name, None) is None:
             raise ConfigurationError(f"{kind}: no {name}")

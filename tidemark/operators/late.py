@@ -51,10 +51,13 @@ def multisets(df: DataFrame, keys: list[str], event: str, arrival: str, tie: str
     return exploded.groupBy(*keys, "period_end", "value").agg(*(F.sum(F.when(F.col("value").isNotNull(), F.col(f"n_{m}")).otherwise(0)).alias(f"n_{m}") for m in moments))
 
 
-def adjust(state: DataFrame, deltas: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """A state with further adjustments: counts are added, values that no longer count vanish."""
+def adjust(state: DataFrame, deltas: DataFrame | None, keys: list[str], counts: list[str]) -> DataFrame:
+    """A state with further adjustments: counts are added, values that no longer count vanish. None: those in the state itself."""
     groups = [*keys, "period_end", "value"]
-    summed = state.select(*groups, *counts).unionByName(deltas.select(*groups, *counts)).groupBy(*groups).agg(*(F.sum(c).alias(c) for c in counts))
+    rows = state.select(*groups, *counts)
+    if deltas is not None:
+        rows = rows.unionByName(deltas.select(*groups, *counts))
+    summed = rows.groupBy(*groups).agg(*(F.sum(c).alias(c) for c in counts))
     live = F.lit(False)
     for c in counts:
         live = live | (F.col(c) != 0)
@@ -108,12 +111,18 @@ def changed(state: DataFrame, keys: list[str], before: str, after: str) -> DataF
     return t.where(~F.col(f"total_{before}").eqNullSafe(F.col(f"total_{after}")))
 
 
+def newest(records: DataFrame, names: list[str]) -> DataFrame:
+    """The record last by (arrival, tie) of each of `names`."""
+    return records.groupBy(*names).agg(F.max(F.struct("arrival", "tie", "value")).alias("now")).select(*names, "now.*")
+
+
 def fold(latest: DataFrame, batch: DataFrame, keys: list[str], seconds: int) -> tuple[DataFrame, DataFrame]:
     """Take a batch of records into the table of latest records.
 
     Both have keys, event, arrival, tie and value. Returns the new table, one
-    row for each key and event time, and the adjustments it makes to the
-    multisets (column n). The order in which batches come does not matter.
+    row for each key and event time (won: it is the batch's), and the
+    adjustments it makes to the multisets (column n). The order in which
+    batches come does not matter.
     """
     names = [*keys, "event"]
     record = F.struct("arrival", "tie", "value")
@@ -121,7 +130,7 @@ def fold(latest: DataFrame, batch: DataFrame, keys: list[str], seconds: int) ->
     both = one(latest, "old").join(one(batch, "new"), names, "full")
     wins = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") > F.col("old")))
     merged = both.withColumn("now", F.when(wins, F.col("new")).otherwise(F.col("old")))
-    table = merged.select(*names, "now.*")
+    table = merged.select(*names, "now.*", wins.alias("won"))
     moves = F.array(F.struct(F.col("old.value").alias("value"), F.when(F.col("old").isNotNull(), -1).otherwise(0).alias("n")), F.struct(F.col("new.value").alias("value"), F.lit(1).alias("n")))
     deltas = merged.where(wins).select(*keys, period_end(F.col("event"), seconds).alias("period_end"), F.inline(moves))
     counted = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)

@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 
-def get_or_create(entities: DataFrame, names: DataFrame, name: str = "name", created: Column | None = None, entity_type_id: int | None = None) -> DataFrame:
-    """The entities with those added whose names are new.
+def numbered(rows: DataFrame, order: list[str], start: int, out: str = "id") -> DataFrame:
+    """The rows with numbers after `start` in their order, without a gap, however they are partitioned.
 
-    New ids follow the greatest known one in the order of names, so they are
-    the same however the data are partitioned: names are numbered within
-    ranges of names, and a small table of the ranges' sizes gives each its
-    start. Null names are no entities.
+    Rows are numbered within ranges of their order, and a small table of the
+    ranges' sizes gives each its start; no window spans all rows.
     """
-    new = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().join(entities.select("name"), "name", "left_anti")
-    start = entities.agg(F.max("id")).first()[0] or 0
-    # numbers without one window over all: sort by range, count each range, then number within it; written once,
-    # as the ranges drawn might differ if they were drawn twice
-    ranged = new.repartitionByRange("name").withColumn("__range", F.spark_partition_id())
-    within = cut(ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy("name"))))
+    # written once, as the ranges drawn might differ if they were drawn twice
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    within = cut(ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order))))
     sizes = within.groupBy("__range").agg(F.max("__k").alias("__n"))
     ahead = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    numbered = within.join(F.broadcast(ahead), "__range")  # one row for each range
-    added = numbered.select((F.lit(start) + F.col("__ahead") + F.col("__k")).cast("bigint").alias("id"), "name", (created if created is not None else F.current_timestamp()).alias("created"), F.lit(entity_type_id).cast("int").alias("entity_type_id"))
+    placed = within.join(F.broadcast(ahead), "__range")  # one row for each range
+    return placed.withColumn(out, (F.lit(start) + F.col("__ahead") + F.col("__k")).cast("bigint")).drop("__range", "__k", "__ahead")
+
+
+def new_entities(entities: DataFrame, names: DataFrame, name: str = "name", created: Column | None = None, entity_type_id: int | None = None) -> DataFrame:
+    """Entities for the names that are new: id, name, created, entity_type_id.
+
+    Ids follow the greatest known one in the order of names. Null names are no entities.
+    """
+    new = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().join(entities.select("name"), "name", "left_anti")
+    start = entities.agg(F.max("id")).first()[0] or 0
+    made = numbered(new, ["name"], start)
+    return made.select("id", "name", (created if created is not None else F.current_timestamp()).alias("created"), F.lit(entity_type_id).cast("int").alias("entity_type_id"))
+
+
+def get_or_create(entities: DataFrame, names: DataFrame, name: str = "name", created: Column | None = None, entity_type_id: int | None = None) -> DataFrame:
+    """The entities with those added whose names are new."""
+    added = new_entities(entities, names, name, created, entity_type_id)
     kinds = {f.name: f.dataType for f in entities.schema}
     return entities.unionByName(added.select(*(F.col(c).cast(kinds[c]).alias(c) for c in added.columns if c in kinds)), allowMissingColumns=True)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.granularity import Granularity, partition_index
 from tidemark.operators.package import KEYS
-from tidemark.operators.tables_on_disk import PartitionedTable
+from tidemark.operators.tables_on_disk import PartitionedTable, folded
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -107,28 +107,75 @@ def missing_partitions(wanted: DataFrame, present: DataFrame, keys: list[str]) -
 
 
 class TrendTable(PartitionedTable):
-    """A part on disk, partitioned by time. Only partitions that a package touches are read and written."""
+    """A part on disk, partitioned by time.
+
+    A package is stored as rows beside those that are there; which of them
+    count is settled on reading, and for good once a partition has DELTAS of
+    them. So writers do not wait for each other, and what a store writes is
+    the package, however large the partition.
+    """
+
+    #: Packages in a partition before it is folded.
+    DELTAS = 16
+    KEYS = ("entity_id", "timestamp")
 
     def __init__(self, spark: SparkSession, path: str, schema: str, size: Granularity):
         super().__init__(spark, path, schema)
         self.size = size
 
-    def store(self, package: DataFrame, job: int | None = None, order: list[Column] | None = None) -> list[int]:
-        """Upsert a package; returns the partitions that changed."""
+    def read(self, partitions: list[int] | None = None) -> DataFrame:
+        """The rows that count, of all partitions or of some."""
+        now = self.snapshot()
+        wanted = set(now.entries) if partitions is None else set(partitions) & set(now.entries)
+        # a partition of one package has one row for each key already
+        plain = [p for p in wanted if len(now.entries[p]) == 1]
+        rows = self.stored(now, plain).drop("__seq", "__columns")
+        several = sorted(wanted - set(plain))
+        return rows.unionByName(self._folded(self.stored(now, several))) if several else rows
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return folded(rows, list(self.KEYS), ("created",))
+
+    def between(self, begin: Column, end: Column, first: int, last: int) -> DataFrame:
+        """Rows with begin < timestamp <= end; only partitions from first to last are looked into."""
+        own = [p for p in self.snapshot().entries if first <= p <= last]
+        return self.read(own).where((F.col("timestamp") > begin) & (F.col("timestamp") <= end))
+
+    def store(self, package: DataFrame, job: int | None = None, order: list[Column] | None = None, now: Column | None = None) -> list[int]:
+        """Upsert a package; returns the partitions that changed.
+
+        Of several rows of one key the last by `order` counts; without one,
+        the one with the greatest values, so that the outcome is always one.
+        """
+        keys = list(self.KEYS)
         placed = package.where(F.col("entity_id").isNotNull() & F.col("timestamp").isNotNull())
-        index = partition_index(F.col("timestamp"), self.size)
-        touched = sorted(r[0] for r in placed.select(index.alias("p")).distinct().collect())  # partitions, not rows
-        if touched:
-            merged = upsert(self.read(touched), placed, job=job, order=order).withColumn("__index", index)
-            self.replace(merged, "__index", touched, ["entity_id", "timestamp"])
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], self.schema).schema}
+        own = [c for c in package.columns if c in kinds and c not in (*keys, "created", "job_id")]
+        values = [F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in own]
+        rows = latest(placed.select(*keys, *values, *(o.alias(f"__by{i}") for i, o in enumerate(order or []))), keys, [F.col(f"__by{i}") for i in range(len(order or []))] or [F.col(f"`{c}`") for c in own] or [F.lit(0)])
+        stamped = rows.select(*keys, *own, (now if now is not None else F.current_timestamp()).cast("timestamp").alias("created"), F.lit(job).cast("bigint").alias("job_id"))
+        touched = self.append(stamped.withColumn("__index", partition_index(F.col("timestamp"), self.size)), "__index", keys)
+        many = [p for p, own in self.snapshot().entries.items() if len(own) > self.DELTAS]
+        if many:
+            self.compact(many)
         return touched
 
+    def compact(self, partitions: list[int] | None = None) -> None:
+        """Fold the packages of partitions into one folder each."""
+        wanted = sorted(self.snapshot().entries) if partitions is None else partitions
+        index = partition_index(F.col("timestamp"), self.size)
+        self.rewrite(wanted, lambda rows: self._folded(rows).withColumn("__index", index), "__index", list(self.KEYS))
+
+    def remove(self, partitions: list[int], condition: Column) -> None:
+        """Rows of some partitions that meet a condition go."""
+        index = partition_index(F.col("timestamp"), self.size)
+        self.rewrite(partitions, lambda rows: self._folded(rows).where(~F.coalesce(condition, F.lit(False))).withColumn("__index", index), "__index", list(self.KEYS))
+
     def drop_before(self, index: int) -> list[int]:
         """Let partitions below an index go."""
-        folders = self.manifest()
-        gone = sorted(p for p in folders if p < index)
+        gone = sorted(p for p in self.snapshot().entries if p < index)
         if gone:
-            self.point({p: f for p, f in folders.items() if p >= index})
+            self.drop(gone)
         return gone
 
 

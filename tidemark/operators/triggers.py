@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ConfigurationError
+from tidemark.operators.relations import numbered
 
 
 @dataclass(frozen=True)
@@ -60,10 +61,14 @@ def notification_sets(notifications: DataFrame, keys: list[str], at: str = "time
     return notifications.groupBy(*keys).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("notifications"))
 
 
-def append(store: DataFrame, records: DataFrame) -> DataFrame:
-    """The notification store with records added; ids go on from the greatest; maps and structs are kept as JSON text."""
+def flattened(records: DataFrame, kinds: dict) -> DataFrame:
+    """Records in the types of a store's columns; maps, structs and lists as JSON text where the store holds text."""
+    return records.select(*((F.to_json(c) if kinds[c].typeName() == "string" and records.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c)).cast(kinds[c]).alias(c) for c in records.columns if c in kinds and c != "id"))
+
+
+def append(store: DataFrame, records: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The notification store with records added; ids go on from the greatest without a gap, by `order` (entity and time)."""
     kinds = {f.name: f.dataType for f in store.schema}
     start = store.agg(F.max("id")).first()[0] or 0
-    flat = records.select(*((F.to_json(c) if kinds[c].typeName() == "string" and records.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c)).cast(kinds[c]).alias(c) for c in records.columns if c in kinds and c != "id"))
-    numbered = flat.withColumn("id", (F.lit(start + 1) + F.monotonically_increasing_id()).cast(kinds["id"]))
-    return store.unionByName(numbered.select("id", *flat.columns), allowMissingColumns=True)
+    flat = flattened(records, kinds)
+    return store.unionByName(numbered(flat, order or [c for c in ("entity_id", "timestamp") if c in flat.columns] or flat.columns, start).select("id", *flat.columns), allowMissingColumns=True)

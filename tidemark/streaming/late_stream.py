@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import late
-from tidemark.operators.tables_on_disk import PartitionedTable
+from tidemark.operators.tables_on_disk import Entry, PartitionedTable
 
 DAY = 86_400
 
@@ -18,14 +18,18 @@ class LateAggregates:
     State is two tables under `root`, a folder that all executors share, both
     partitioned by the day of the period's end: the latest record of each key
     and event time, and how often each value counts in each period. A batch
-    reads and writes only the days it touches, and both tables change in one
-    step, as one manifest names the folders of both: partition 2 * day holds
-    the latest records, 2 * day + 1 the counts. So a batch that fails changes
-    nothing, and one that is run again does not either, as a record does not
-    win against itself. Records later than `cut_off` seconds after their
-    period's end are left out, whenever they are read.
+    reads the records of the days it touches and writes only what it changes:
+    records that won, and adjustments of counts, which add up on reading. A
+    day with DELTAS of them is folded. Both tables change in one step, as one
+    manifest names the folders of both: partition 2 * day holds the latest
+    records, 2 * day + 1 the counts. So a batch that fails changes nothing,
+    and one that is run again does not either, as a record does not win
+    against itself. One stream writes at a time. Records later than `cut_off`
+    seconds after their period's end are left out, whenever they are read.
     """
 
+    DELTAS = 16
+
     def __init__(self, spark: SparkSession, root: str, keys: dict[str, str], value_type: str, seconds: int, cut_off: int):
         self.spark, self.keys, self.seconds, self.cut_off = spark, list(keys), seconds, cut_off
         named = ", ".join(f"{k} {t}" for k, t in keys.items())
@@ -43,14 +47,25 @@ class LateAggregates:
         if not days:
             return
         table, deltas = late.fold(self.latest.read([2 * d for d in days]), timely, self.keys, self.seconds)
-        adjusted = late.adjust(self.counts.read([2 * d + 1 for d in days]), deltas, self.keys, ["n"])
-        new = self.latest.write(table.withColumn("__day", F.floor(end / DAY) * 2), "__day", [*self.keys, "event"])
-        new |= self.counts.write(adjusted.withColumn("__day", F.floor(F.col("period_end") / DAY) * 2 + 1), "__day", [*self.keys, "period_end"])
-        gone = {n for d in days for n in (2 * d, 2 * d + 1)}
-        self.latest.point({p: f for p, f in self.latest.manifest().items() if p not in gone} | new)
+        won = table.where("won").drop("won").withColumn("__day", F.floor(end / DAY) * 2)
+        changed = deltas.withColumn("__day", F.floor(F.col("period_end") / DAY) * 2 + 1)
+        new = self.latest.write(won, "__day", [*self.keys, "event"]) | self.counts.write(changed, "__day", [*self.keys, "period_end"])
+        if new:
+            self.latest.commit(lambda held, seq: held | {p: [*held.get(p, []), Entry(f, seq)] for p, f in new.items()})
+        self.fold_days([p for p, own in self.latest.snapshot().entries.items() if len(own) > self.DELTAS])
+
+    def fold_days(self, partitions: list[int]) -> None:
+        """Bring partitions back to one folder each."""
+        if even := [p for p in partitions if p % 2 == 0]:
+            last = lambda rows: late.newest(rows.drop("__seq", "__columns"), [*self.keys, "event"])
+            self.latest.rewrite(even, lambda rows: last(rows).withColumn("__day", F.floor(late.period_end(F.col("event"), self.seconds) / DAY) * 2), "__day", [*self.keys, "event"])
+        if odd := [p for p in partitions if p % 2]:
+            summed = lambda rows: late.adjust(rows.drop("__seq", "__columns"), None, self.keys, ["n"])
+            self.counts.rewrite(odd, lambda rows: summed(rows).withColumn("__day", F.floor(F.col("period_end") / DAY) * 2 + 1), "__day", [*self.keys, "period_end"])
 
     def _counts(self) -> DataFrame:
-        return self.counts.read([p for p in self.counts.manifest() if p % 2]).withColumnRenamed("n", "n_now")
+        held = self.counts.read([p for p in self.counts.snapshot().entries if p % 2])
+        return late.adjust(held, None, self.keys, ["n"]).withColumnRenamed("n", "n_now")
 
     def totals(self) -> DataFrame:
         """The total of each period as of now."""
