@@ -136,10 +136,10 @@ class TrendTable(PartitionedTable):
     def _folded(self, rows: DataFrame) -> DataFrame:
         return folded(rows, list(self.KEYS), ("created",))
 
-    def between(self, begin: Column, end: Column, first: int, last: int) -> DataFrame:
-        """Rows with begin < timestamp <= end; only partitions from first to last are looked into."""
-        own = [p for p in self.snapshot().entries if first <= p <= last]
-        return self.read(own).where((F.col("timestamp") > begin) & (F.col("timestamp") <= end))
+    def between(self, begin: Column, end: Column) -> DataFrame:
+        """Rows with begin < timestamp <= end; only the partitions that hold such are read."""
+        first, last = self.spark.range(1).select(partition_index(begin, self.size), partition_index(end, self.size)).first()
+        return self.read([p for p in self.snapshot().entries if first <= p <= last]).where((F.col("timestamp") > begin) & (F.col("timestamp") <= end))
 
     def store(self, package: DataFrame, job: int | None = None, order: list[Column] | None = None, now: Column | None = None) -> list[int]:
         """Upsert a package; returns the partitions that changed.

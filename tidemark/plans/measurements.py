@@ -552,27 +552,30 @@ def csv_roundtrip(spark, d):
     return csv.copy_from(spark, path, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double precision", "o_orderdate": "timestamp", "o_orderpriority": "text"})
 
 
-@query(_agg_sql(_bucket("1 hour")).replace("FROM events", "FROM events WHERE event_type = 'click'"))
+_CORRECTED = "(SELECT ts, event_type, user_id, CASE WHEN ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-05' THEN value + 1 ELSE value END AS value FROM events)"
+
+
+@query(_agg_sql(_bucket("1 hour")).replace("SELECT user_id", "SELECT event_type, user_id").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3").replace("FROM events", f"FROM {_CORRECTED}"))
 def live_monitor_once(spark, d):
-    """The hourly part of clicks, made by the streaming monitor from the log of what was stored."""
+    """The hourly part of all events, made by the streaming monitor in two batches: everything, then what two corrected days change."""
     from tidemark.session import shared_folder
 
     root = shared_folder(spark, "monitor")
-    source = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("timestamp"), F.col("value").cast(MONEY).alias("value"))
-    log = store.modified_log(source.withColumn("timestamp", bucket_end(F.col("timestamp"), "15m")), "click", F.lit("2024-01-01").cast("timestamp"))
-    log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{root}/log")
-    job = incremental.Materialization("hourly", ("click",), parse("1h"), lambda rows: aggregate.time_aggregate(rows, VALUE, "1h"), reprocessing=None)
-
-    def write(_, rows: DataFrame, __) -> None:
-        rows.write.mode("append").parquet(f"{root}/hourly")
-
-    def read(_: str) -> DataFrame:
-        return source.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-
-    incremental.LiveMonitor(spark, f"{root}/log", f"{root}/checkpoint", [job], read, write).start().awaitTermination()
-    return _out(spark.read.parquet(f"{root}/hourly"))
-
-
+    rows = table(spark, d, "events").select("event_type", F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").cast(MONEY).alias("value"))
+    within = (F.col("timestamp") >= F.lit("2024-01-03").cast("timestamp")) & (F.col("timestamp") < F.lit("2024-01-05").cast("timestamp"))
+    corrected = rows.withColumn("value", F.when(within, F.col("value") + 1).otherwise(F.col("value")).cast(MONEY))
+    job = incremental.Materialization("hourly", ("events",), parse("1h"), lambda own: aggregate.time_aggregate(own, VALUE, "1h"), reprocessing=None)
+    made = store.TrendTable(spark, f"{root}/hourly", "entity_id string, timestamp timestamp, created timestamp, job_id bigint, samples bigint, value decimal(28,2)", parse("1d"))
+    held = {}
+    monitor = incremental.LiveMonitor(spark, f"{root}/log", f"{root}/checkpoint", [job], lambda _: held["rows"], lambda m, own, stamps: made.store(own), lambda: datetime(2024, 6, 1))
+    for source, at, changed in ((rows, "2024-03-01", F.lit(True)), (corrected, "2024-03-02", within)):
+        # an entity for each kind of event of a user
+        held["rows"] = source.select(F.concat_ws(":", "event_type", "entity_id").alias("entity_id"), "timestamp", "value")
+        stamped = source.where(changed).withColumn("timestamp", bucket_end(F.col("timestamp"), "15m"))
+        store.modified_log(stamped, "events", F.lit(at).cast("timestamp")).write.mode("append").parquet(f"{root}/log")
+        monitor.start().awaitTermination()
+    entity = F.split("entity_id", ":")
+    return _out(made.read().select(entity[0].alias("event_type"), entity[1].cast("bigint").alias("entity_id"), "timestamp", "samples", "value"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
