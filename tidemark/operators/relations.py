@@ -55,8 +55,8 @@ def resolve_alias(aliases: DataFrame, table: DataFrame, alias_type: str, alias:
 
 def refresh(query: DataFrame) -> DataFrame:
     """A relation from the query that fills it: distinct pairs of ids, none null."""
-    source, target = query.columns[:2]
-    edges = query.select(F.col(source).cast("bigint").alias("source_id"), F.col(target).cast("bigint").alias("target_id"))
+    placed = query.toDF(*(f"__{i}" for i in range(len(query.columns))))
+    edges = placed.select(F.col("__0").cast("bigint").alias("source_id"), F.col("__1").cast("bigint").alias("target_id"))
     return edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).distinct()
 
 

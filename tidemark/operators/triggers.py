@@ -66,9 +66,15 @@ def flattened(records: DataFrame, kinds: dict) -> DataFrame:
     return records.select(*((F.to_json(c) if kinds[c].typeName() == "string" and records.schema[c].dataType.typeName() in ("map", "struct", "array") else F.col(c)).cast(kinds[c]).alias(c) for c in records.columns if c in kinds and c != "id"))
 
 
+def in_order(records: DataFrame) -> list[str]:
+    """The columns by which records are numbered: entity, time, then all others."""
+    first = [c for c in ("entity_id", "timestamp") if c in records.columns]
+    return first + [c for c in records.columns if c not in first]
+
+
 def append(store: DataFrame, records: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The notification store with records added; ids go on from the greatest without a gap, by `order` (entity and time)."""
+    """The notification store with records added; ids go on from the greatest without a gap, by `order` (else entity, time and the rest)."""
     kinds = {f.name: f.dataType for f in store.schema}
     start = store.agg(F.max("id")).first()[0] or 0
     flat = flattened(records, kinds)
-    return store.unionByName(numbered(flat, order or [c for c in ("entity_id", "timestamp") if c in flat.columns] or flat.columns, start).select("id", *flat.columns), allowMissingColumns=True)
+    return store.unionByName(numbered(flat, order or in_order(flat), start).select("id", *flat.columns), allowMissingColumns=True)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
 from tidemark.errors import ConfigurationError
-from tidemark.functions.granularity import parse
+from tidemark.functions.datatypes import promoted, spark_type
+from tidemark.functions.granularity import PARTITION_SIZES, parse
 from tidemark.model import AttributeStore, NotificationStore, Relation, TrendStore, TriggerDefinition, ViewMaterialization
 from tidemark.operators import aggregate, relations, triggers
 
@@ -53,13 +54,17 @@ def view_name(schema: str, name: str) -> str:
 class Instance:
     """The definitions of a folder and the tables they speak of."""
 
-    def __init__(self, root: str | Path):
-        self.root = Path(root)
+    def __init__(self, root: str | Path | None = None, given: dict[str, list] | None = None):
+        """root: the folder; or given: the same by folder, definitions as dictionaries and statements as texts."""
+        self.root = Path(root or ".")
+        self.given = given
         self.catalog = Catalog()
         self.hints: dict[str, str] = {}
 
     def definitions(self, kind: str) -> list:
         """All definitions of a folder, by file name."""
+        if self.given is not None:
+            return [FOLDERS[kind].from_dict(d) for d in self.given.get(kind, [])]
         folder = self.root / kind
         files = sorted(p for p in folder.glob("**/*") if p.suffix in (".yaml", ".yml", ".json")) if folder.exists() else []
         out = []
@@ -73,6 +78,8 @@ class Instance:
     def scripts(self, folder: str) -> list[str]:
         """Statements of a folder's SQL files, by file name."""
         path = self.root / folder
+        if self.given is not None:
+            return [x.strip() for t in self.given.get(folder, []) for x in adapted(t).split(";") if x.strip()]
         texts = [p.read_text(encoding="utf-8") for p in sorted(path.glob("**/*.sql"))] if path.exists() else []
         return [s.strip() for t in texts for s in adapted(t).split(";") if s.strip()]
 
@@ -91,7 +98,7 @@ class Instance:
             c.define("materializations", d.target_trend_store_part, d)
         for d in self.definitions("trigger"):
             c.define("triggers", d.name, d)
-        for path in sorted((self.root / "aggregation").glob("*hints*.yaml")) if (self.root / "aggregation").exists() else []:
+        for path in sorted((self.root / "aggregation").glob("*hints*.yaml")) if self.given is None and (self.root / "aggregation").exists() else []:
             self.hints |= load_file(path) or {}
         return c
 
@@ -146,6 +153,55 @@ class Instance:
         """Whether a step's result is a view (made when read) or stored; views by default, hints decide."""
         return self.hints.get(step.relation or "", "VIEW")
 
+    def generated(self, part: str, df: DataFrame) -> DataFrame:
+        """The rows of a part with its generated trends."""
+        own = self.catalog.part(part)[1].generated_trends
+        return df.withColumns({t.name: F.expr(adapted(t.expression)).cast(spark_type(t.data_type)) for t in own}) if own else df
+
+    def aggregate_definitions(self, step: aggregate.Step) -> tuple[dict, dict]:
+        """The trend store and the materialization that a step stands for, as definitions; generated trends go on with their expressions."""
+        base = self._base(step.source)
+        own, part = self.catalog.part(base)
+        relation = self.catalog.relations.get(step.relation or "")
+        entity_type = relation.target_entity_type if relation else own.entity_type
+        trends = [{"name": "samples", "data_type": "bigint"}]
+        for t in part.trends:
+            kind = t.time_aggregation if step.kind == "time" else t.entity_aggregation
+            trends.append({"name": t.name, "data_type": promoted(kind, t.data_type), "time_aggregation": t.time_aggregation, "entity_aggregation": t.entity_aggregation})
+        generated = [{"name": t.name, "data_type": t.data_type, "expression": t.expression} for t in part.generated_trends]
+        store = {"title": f"Aggregate of {step.source}", "data_source": own.data_source, "entity_type": entity_type, "granularity": step.granularity, "partition_size": PARTITION_SIZES[step.granularity], "parts": [{"name": step.target, "trends": trends} | ({"generated_trends": generated} if generated else {})]}
+        made = {"target_trend_store_part": step.target, "enabled": True, "sources": [{"trend_store_part": step.source, "mapping_function": f"mapping_{step.granularity}"}], "function": {"kind": step.kind, "source": step.source, "granularity": step.granularity} | ({"relation": step.relation} if step.relation else {})}
+        return store, made
+
+    def write_aggregations(self) -> list[str]:
+        """Write the definitions of all standard aggregates into the instance's folders; returns the files. A store that several parts share gets all of them."""
+        stores: dict[tuple, dict] = {}
+        files = []
+        for step in self.aggregations():
+            own, made = self.aggregate_definitions(step)
+            key = (own["data_source"], own["entity_type"], own["granularity"])
+            if key in stores:
+                stores[key]["parts"] += own["parts"]
+            else:
+                stores[key] = own
+            files.append(self._write("materialization", step.target, made))
+        for key, own in stores.items():
+            files.append(self._write("trend", "aggregate_" + "_".join(key), own))
+        return files
+
+    def _write(self, folder: str, name: str, definition: dict) -> str:
+        path = self.root / folder / f"{name}.yaml"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(yaml.safe_dump(definition, sort_keys=False), encoding="utf-8")
+        return str(path)
+
+    def _base(self, part: str) -> str:
+        """The raw part that a part is derived from."""
+        for step in self.aggregations():
+            if step.target == part:
+                return self._base(step.source)
+        return part
+
     def run(self, spark: SparkSession, parts: dict[str, DataFrame], steps: list[aggregate.Step] | None = None) -> dict[str, DataFrame]:
         """All aggregates of the given parts, lazily."""
         made = dict(parts)
@@ -155,7 +211,8 @@ class Instance:
             base = next((p for p in parts if step.source.startswith(re.sub(r"_\d+\w+$", "", p))), step.source)
             measures = self.measures(base) if base in parts else [aggregate.Measure(c) for c in made[step.source].columns if c not in ("entity_id", "timestamp", "samples", "created", "job_id")]
             own = made[step.source]
-            made[step.target] = aggregate.time_aggregate(own, measures, step.granularity) if step.kind == "time" else aggregate.entity_aggregate(own, self.relation(spark, step.relation), measures)
+            out = aggregate.time_aggregate(own, measures, step.granularity) if step.kind == "time" else aggregate.entity_aggregate(own, self.relation(spark, step.relation), measures)
+            made[step.target] = self.generated(base, out) if base in parts else out
         return made
 
 

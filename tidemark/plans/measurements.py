@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import datatypes, names
-from tidemark.functions.granularity import bucket_end, most_recent, parse, partition_index, stamps
+from tidemark.functions.granularity import bucket_end, most_recent, parse, partition_index, partition_size, stamps
 from tidemark.operators import aggregate, attributes, package, relations, store, triggers
 from tidemark.sources import csv
 from tidemark.sources.tables import table
@@ -565,7 +565,7 @@ def live_monitor_once(spark, d):
     within = (F.col("timestamp") >= F.lit("2024-01-03").cast("timestamp")) & (F.col("timestamp") < F.lit("2024-01-05").cast("timestamp"))
     corrected = rows.withColumn("value", F.when(within, F.col("value") + 1).otherwise(F.col("value")).cast(MONEY))
     job = incremental.Materialization("hourly", ("events",), parse("1h"), lambda own: aggregate.time_aggregate(own, VALUE, "1h"), reprocessing=None)
-    made = store.TrendTable(spark, f"{root}/hourly", "entity_id string, timestamp timestamp, created timestamp, job_id bigint, samples bigint, value decimal(28,2)", parse("1d"))
+    made = store.TrendTable(spark, f"{root}/hourly", "entity_id string, timestamp timestamp, created timestamp, job_id bigint, samples bigint, value decimal(28,2)", partition_size("1h"))
     held = {}
     monitor = incremental.LiveMonitor(spark, f"{root}/log", f"{root}/checkpoint", [job], lambda _: held["rows"], lambda m, own, stamps: made.store(own), lambda: datetime(2024, 6, 1))
     for source, at, changed in ((rows, "2024-03-01", F.lit(True)), (corrected, "2024-03-02", within)):

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ class Materialization:
     fingerprint: fold of modifications -> timestamp, max_modified, fingerprint,
     in place of the usual one. processing_delay follows the last change;
     reprocessing bounds how far back changes are still taken in (None: not).
-    stability_delay is kept and used by nothing.
+    stability_delay is kept and used by nothing. by_part: make takes the rows
+    as part -> DataFrame, else those of all sources together.
     """
 
     name: str
@@ -49,6 +51,7 @@ class Materialization:
     enabled: bool = True
     mapping: Callable[[Column], Column] | None = None
     fingerprint: Callable[[DataFrame], DataFrame] | None = None
+    by_part: bool = False
 
 
 def _targets(at: Column, granularity: Granularity | str, mapping: Callable[[Column], Column] | None) -> Column:
@@ -103,10 +106,10 @@ class State:
 
     `modified` holds when each part's timestamp was last modified, whatever
     batch told it; `processed` the fingerprint each target stamp was last made
-    from. Both are stored by day of the timestamp.
+    from. Both are stored by months of 30 days of the timestamp.
     """
 
-    DAY = Granularity(86_400)
+    SPAN = Granularity(30 * 86_400)
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -117,7 +120,7 @@ class State:
     def add(self, log: DataFrame, _: int = 0) -> None:
         """Take log entries in; once more changes nothing."""
         folded = fold_modified(log.where(F.col("timestamp").isNotNull())).select("part", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("last").cast("timestamp").alias("last"))
-        self.modified.append(folded.withColumn("__day", partition_index(F.col("timestamp"), self.DAY)), "__day", ["part", "timestamp"])
+        self.modified.append(folded.withColumn("__day", partition_index(F.col("timestamp"), self.SPAN)), "__day", ["part", "timestamp"])
 
     def take(self, log_path: str, reset: bool = False) -> None:
         """Take in what was added to a log since it was last read; reset: all of it, anew."""
@@ -173,7 +176,7 @@ class State:
         first, last, number = stamps.agg(F.min("timestamp"), F.max("timestamp"), F.count(F.lit(1))).first()
         if not number:
             return 0
-        rows = None
+        parts = {}
         for part in m.sources:
             held = source(m, part)
             if m.mapping is None:
@@ -182,12 +185,12 @@ class State:
                 held = held.between(begin, end) if isinstance(held, PartitionedTable) else held.where((F.col("timestamp") > begin) & (F.col("timestamp") <= end))
             elif isinstance(held, PartitionedTable):
                 held = held.read()
-            own = rows_of_targets(held, stamps, m.granularity, m.mapping)
-            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+            parts[part] = rows_of_targets(held, stamps, m.granularity, m.mapping)
+        rows = parts if m.by_part else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
         job = self.processed.snapshot().version + 1
         write(m, m.make(rows), stamps, first, last, job)
         made = stamps.select("target", "timestamp", F.col("fingerprint").alias("processed"), F.lit(job).cast("bigint").alias("job"))
-        self.processed.append(made.withColumn("__day", partition_index(F.col("timestamp"), self.DAY)), "__day", ["target", "timestamp"])
+        self.processed.append(made.withColumn("__day", partition_index(F.col("timestamp"), self.SPAN)), "__day", ["target", "timestamp"])
         return number
 
 

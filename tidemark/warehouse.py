@@ -303,7 +303,7 @@ class Warehouse:
         return self._notifications(name).read()
 
     def notify(self, name: str, records: DataFrame) -> int:
-        """Append records; ids go on without a gap, by entity and time. Returns how many there are."""
+        """Append records; ids go on without a gap, by entity, time and the rest. Returns how many there are."""
         table = self._notifications(name)
         kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], table.schema).schema}
         rows = written(triggers.flattened(records, kinds), "records")
@@ -316,7 +316,7 @@ class Warehouse:
                 return str(taken[-1] + count)
 
             Versioned(self.spark, f"{self.root}/notification/{name}-number").update(block)
-            made = relations.numbered(rows, ["entity_id", "timestamp"], taken[-1])
+            made = relations.numbered(rows, triggers.in_order(rows), taken[-1])
             table.append(made.withColumn("__day", partition_index(F.col("timestamp"), parse("1d"))), "__day", ["entity_id", "timestamp"])
         return count
 
