@@ -124,3 +124,24 @@ def test_records_of_files(spark, tmp_path):
         by_file.setdefault(r.file_name[-5], []).append(r.raw_line)
     assert by_file == {"a": ["h1,h2", GOOD + "\r", '"two\nlines",x', "", "last"], "c": ["x", '"open\n' + GOOD]}
     assert rows.select("line_id").distinct().count() == 7
+
+
+def test_records_over_several_splits(spark, tmp_path):
+    """Wherever a file is cut, the records are the same."""
+    import random
+
+    r = random.Random(4)
+    records = []
+    for i in range(400):
+        fields = [f"f{i}", *("".join(r.choice(("a", '""', "\n", ",", "é", "\r")) for _ in range(r.randint(0, 30))) for _ in range(2))]
+        records.append(",".join([fields[0], *(f'"{f}"' for f in fields[1:])]))
+    (tmp_path / "big.csv").write_bytes("\n".join(records).encode() + b"\n")
+    (tmp_path / "other.csv").write_bytes(b"x\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = records_of_files(spark, str(tmp_path), "a").orderBy("line_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [x.raw_line for x in rows] == [*records, "x", "y"]
+    assert [x.line_id for x in rows] == list(range(1, 403)) and [x.line_no for x in rows][-3:] == [400, 1, 2]

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import written
+
 QUOTE, CARRIAGE_RETURN, BLANK = ord('"'), ord("\r"), ord(" ")
 
 NODE = r"^[a-z]+-[0-9]+$"
@@ -200,16 +202,20 @@ def split_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, pa.array([["config_name"]] * n, pa.list_(pa.string())), *columns], names=list(types))
                     continue
                 values, faults = parse_lines(raw, form)
-                reasons: list[list[str]] = [[] for _ in range(n)]
-                for fault, at in faults:
-                    for i in at.tolist():
-                        reasons[i].append(fault)
-                valid = np.array([not x for x in reasons], bool)
+                # lists of reasons in order of lines, and of faults within a line
+                hit = np.concatenate([at for _, at in faults])
+                which = np.repeat(np.arange(len(faults)), [len(at) for _, at in faults])
+                order = np.argsort(hit, kind="stable")
+                per_line = np.bincount(hit, minlength=n)
+                bounds = np.concatenate([[0], np.cumsum(per_line)]).astype(np.int32)
+                said = pa.array([f for f, _ in faults], pa.string()).take(pa.array(which[order]))
+                reasons = pa.ListArray.from_arrays(pa.array(bounds), said)
+                valid = per_line == 0
                 place = np.zeros(n, np.int64)
                 place[values["__rows"].to_numpy()] = np.arange(len(values["__rows"]))
                 pick = pa.array(place, mask=~valid)
                 columns = [values[c].take(pick) if c in values else pa.nulls(n, arrow.get(c, pa.float64())) for c in VALUES]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(reasons, pa.list_(pa.string())), *columns], names=list(types))
+                yield pa.RecordBatch.from_arrays([ids, reasons, *columns], names=list(types))
 
     text = F.col("raw_line")
     content = F.when(text.endswith("\r"), F.expr("left(raw_line, length(raw_line) - 1)")).otherwise(text)
@@ -217,36 +223,42 @@ def split_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     return read.mapInArrow(run, SCHEMA)
 
 
-def record_ends(data: np.ndarray) -> np.ndarray:
-    """Places just after each record of a file's bytes: line ends that stand outside quotes, and the end of the file."""
-    odd = (np.cumsum(data == QUOTE) & 1).astype(bool)
-    ends = np.flatnonzero((data == ord("\n")) & ~odd) + 1
-    return ends if not len(data) or (len(ends) and ends[-1] == len(data)) else np.append(ends, len(data))
-
-
 def records_of_files(spark: SparkSession, path: str, config_name: str) -> DataFrame:
-    """The records of whole files as rows for split_lines: line_id, file_name, line_no, config_name, raw_line.
-
-    Fields in quotes may hold line ends. A file is read by one task, as where
-    a quote opens far ahead can change what every later one means; a file
-    with an unclosed quote gives one last record up to its end. line_id is
-    made of the file's hash and the record's number.
+    """The records of files as rows for split_lines: line_id, file_name, line_no, config_name, raw_line.
+
+    Fields in quotes may hold line ends. Files are read in splits: each tells
+    how many quotes it holds, so that the parity with which the next one
+    begins is known, and how many records begin in it; a record over several
+    lines, or splits, is put together, all others stay where they were read.
+    A file with an unclosed quote gives one last record up to its end. line_no
+    counts a file's records, line_id those of all files in order of their
+    names. What is gathered in one task is splits of a file, and a row a file.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.xxhash64("path").alias("hash"))
-
-    def run(batches):
-        for batch in batches:
-            for name, content, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = np.frombuffer(content.as_py(), np.uint8)
-                ends = record_ends(data)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                cut = ends - ((ends > begins) & (data[np.maximum(ends - 1, 0)] == ord("\n"))) if len(ends) else ends
-                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(begins, cut)]
-                n = len(texts)
-                ids = np.arange(n, dtype=np.int64) ^ (np.int64(number) << np.int64(24))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([name] * n, pa.string()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array([config_name] * n, pa.string()), pa.array(texts, pa.string())], names=["line_id", "file_name", "line_no", "config_name", "raw_line"])
-
-    return files.mapInArrow(run, "line_id bigint, file_name string, line_no int, config_name string, raw_line string")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    # written once: the order of a split's lines is that in which they were read
+    lines = written(lines.withColumn("q", quotes), "lines")
+    split = Window.partitionBy("file", "at")
+    upto = split.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = lines.withColumn("upto", F.sum("q").over(upto))
+    ahead = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "at").agg(F.sum("q").alias("held"))
+    parity = splits.select("file", "at", (F.coalesce(F.sum("held").over(ahead), F.lit(0)) % 2).alias("odd"))
+    # a line begins a record if an even number of quotes stands before it in the file
+    placed = counted.join(parity, ["file", "at"]).withColumn("begins", ((F.col("odd") + F.col("upto") - F.col("q")) % 2 == 0).cast("int"))
+    placed = placed.withColumn("ends", (F.col("odd") + F.col("upto")) % 2 == 0).withColumn("number", F.sum("begins").over(upto))
+    begun = placed.groupBy("file", "at").agg(F.sum("begins").alias("n"))
+    begun = begun.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    files = begun.groupBy("file").agg(F.sum("n").alias("records"))
+    every = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = files.select("file", F.coalesce(F.sum("records").over(every), F.lit(0)).alias("start"))
+    numbered = placed.join(begun.select("file", "at", "before"), ["file", "at"]).withColumn("number", F.col("before") + F.col("number"))
+    whole = (F.col("begins") == 1) & F.col("ends")
+    single = numbered.where(whole).select("file", "number", F.col("value").alias("raw_line"))
+    several = numbered.where(~whole).groupBy("file", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "value"))), lambda x: x["value"]), "\n").alias("raw_line"))
+    records = single.unionByName(several).join(starts, "file")
+    return records.select((F.col("start") + F.col("number")).alias("line_id"), F.col("file").alias("file_name"), F.col("number").cast("int").alias("line_no"), F.lit(config_name).alias("config_name"), "raw_line")
 
 
 def samples(parsed: DataFrame) -> DataFrame:

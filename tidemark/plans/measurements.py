@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.catalog import Catalog
 from tidemark.functions import datatypes, names
 from tidemark.functions.granularity import bucket_end, most_recent, parse, partition_index, partition_size, stamps
 from tidemark.operators import aggregate, attributes, package, relations, store, triggers
@@ -109,12 +110,12 @@ def time_agg_cascade_15m_1d_1w(spark, d):
 
 @query("""
 WITH a AS (SELECT user_id AS e, date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY AS t, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS v FROM events GROUP BY 1, 2)
-SELECT e AS entity_id, date_trunc('week', t - INTERVAL 1 MICROSECOND) + INTERVAL 7 DAY AS timestamp, CAST(sum(CAST(round(v, 6) AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS value FROM a GROUP BY 1, 2""")
+SELECT e AS entity_id, date_trunc('week', t - INTERVAL 1 MICROSECOND) + INTERVAL 7 DAY AS timestamp, round(sum(v) / count(*), 6) AS value FROM a GROUP BY 1, 2""")
 def time_agg_cascade_average(spark, d):
-    """An average of averages, each level taken as an exact sum over a count."""
-    day = _events(spark, d).groupBy("entity_id", bucket_end(F.col("timestamp"), "1d").alias("timestamp")).agg((F.sum("value").cast("double") / F.count("value")).alias("v"))
-    level = day.groupBy("entity_id", bucket_end(F.col("timestamp"), "1w").alias("timestamp"))
-    return _out(level.agg((F.sum(F.round("v", 6).cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("value")))
+    """An average of averages."""
+    measures = [aggregate.Measure("value", "double precision", "avg", "avg")]
+    steps = [aggregate.Step("raw", "day", "time", "1d"), aggregate.Step("day", "week", "time", "1w")]
+    return aggregate.run_cascade({"raw": _events(spark, d).withColumn("value", F.col("value").cast("double"))}, steps, {}, measures)["week"].select("entity_id", F.col("timestamp").cast(NTZ).alias("timestamp"), F.round("value", 6).alias("value"))
 
 
 def _orders_by_day(spark, d):
@@ -172,49 +173,66 @@ def promote_bigint_sum(spark, d):
 
 @query("SELECT event_type, count(*) AS samples, min(value) AS least, max(value) AS most, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean FROM events GROUP BY 1")
 def agg_min_max_avg(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("samples"), F.min("value").alias("least"), F.max("value").alias("most"), (F.sum(F.col("value").cast(MONEY)).cast("double") / F.count("value")).alias("mean"))
+    rows = table(spark, d, "events").select("event_type", F.col("value").alias("least"), F.col("value").alias("most"), F.col("value").cast(MONEY).alias("mean"))
+    kinds = (("min", "least", "double precision"), ("max", "most", "double precision"))
+    out = rows.groupBy("event_type").agg(datatypes.aggregate("count", "mean", "numeric").alias("samples"), *(datatypes.aggregate(f, c, k).alias(c) for f, c, k in kinds), datatypes.aggregate("sum", "mean", "numeric").alias("total"))
+    return out.select("event_type", "samples", "least", "most", (F.col("total").cast("double") / F.col("samples")).alias("mean"))
+
+
+def _nodes(spark, d):
+    return table(spark, d, "entity_node").select("id", "name", F.col("created").cast("timestamp").alias("created"), "entity_type_id")
 
 
 @query("""
-WITH v(id, name) AS (VALUES (1, 'small'), (2, 'red'), (3, 'nothing'))
-SELECT DISTINCT p_partkey AS source_id, CAST(v.id AS BIGINT) AS target_id FROM part JOIN v ON v.name = nullif(regexp_extract(p_name, '^([a-z]+) .*', 1), '')""")
+SELECT DISTINCT n.id AS source_id, s.id AS target_id FROM entity_node n JOIN v_site s ON s.name = nullif(regexp_extract(n.name, '^([a-z]+)-.*', 1), '')""")
 def relation_regexp(spark, d):
-    targets = spark.createDataFrame([(1, "small"), (2, "red"), (3, "nothing")], "id bigint, name string")
-    parts = table(spark, d, "part").withColumn("name", names.substring_from(F.col("p_name"), "^([a-z]+) .*"))
-    return relations.refresh(parts.join(targets, "name").select("p_partkey", "id"))
+    sites = table(spark, d, "v_site").select(F.col("id").alias("site"), F.col("name").alias("place"))
+    nodes = _nodes(spark, d).withColumn("place", names.substring_from(F.col("name"), "^([a-z]+)-.*"))
+    return relations.refresh(nodes.join(sites, "place").select("id", "site"))
 
 
 @query("""
-WITH v(name) AS (VALUES ('NATION_3'), ('NATION_9'), ('Atlantis'), ('Utopia'), ('Atlantis'))
-SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation
-UNION ALL SELECT 24 + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT name FROM v WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_name = name))""")
+WITH v AS (SELECT DISTINCT node || '/meter' AS name FROM sample_reading WHERE node IS NOT NULL UNION SELECT name FROM entity_node)
+SELECT id, name FROM entity_node
+UNION ALL SELECT (SELECT max(id) FROM entity_node) + row_number() OVER (ORDER BY name), name FROM v WHERE name NOT IN (SELECT name FROM entity_node)""")
 def virtual_entity_append(spark, d):
-    entities = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
-    view = spark.createDataFrame([("NATION_3",), ("NATION_9",), ("Atlantis",), ("Utopia",), ("Atlantis",)], "name string")
-    return relations.virtual_entities(entities, view).select("id", "name")
+    """A meter for each node that reports, beside the nodes known."""
+    entities = _nodes(spark, d)
+    meters = table(spark, d, "sample_reading").select(F.concat("node", F.lit("/meter")).alias("name"))
+    return relations.virtual_entities(entities, meters.union(entities.select("name"))).select("id", "name")
 
 
-@query("""
-WITH v(name) AS (VALUES ('NATION_3'), ('nation_9'), ('Atlantis'))
-SELECT name, CAST(n_nationkey AS BIGINT) AS entity_id FROM v LEFT JOIN nation ON n_name = name""")
+@query("SELECT row_id, node AS name, e.id AS entity_id FROM sample_text LEFT JOIN entity_node e ON e.name = node")
 def entity_lookup_left(spark, d):
-    entities = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
-    return relations.resolve(spark.createDataFrame([("NATION_3",), ("nation_9",), ("Atlantis",)], "name string"), entities)
+    return relations.resolve(table(spark, d, "sample_text").select("row_id", F.col("node").alias("name")), _nodes(spark, d))
 
 
 @query("""
-WITH a(alias, alias_type, id) AS (SELECT 'N' || n_nationkey, 'short', CAST(n_nationkey AS BIGINT) FROM nation UNION ALL SELECT 'N1', 'other', 99)
-SELECT v.alias, a.id AS entity_id FROM (VALUES ('N1'), ('N7'), ('N99')) v(alias) LEFT JOIN a ON a.alias = v.alias AND a.alias_type = 'short'""")
+WITH a(alias, alias_type, id) AS (SELECT upper(name), 'short', id FROM entity_node UNION ALL SELECT upper(name), 'other', id + 1000000 FROM entity_node)
+SELECT line_id, upper(r.node) AS alias, a.id AS entity_id FROM (SELECT sample_id AS line_id, node FROM sample_reading) r LEFT JOIN a ON a.alias = upper(r.node) AND a.alias_type = 'short'""")
 def alias_lookup(spark, d):
-    own = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("alias"), F.lit("short").alias("alias_type"), F.col("n_nationkey").cast("bigint").alias("entity_id"))
-    known = own.union(spark.createDataFrame([("N1", "other", 99)], "alias string, alias_type string, entity_id bigint"))
-    return relations.resolve_alias(spark.createDataFrame([("N1",), ("N7",), ("N99",)], "alias string"), known, "short")
+    own = _nodes(spark, d).select(F.upper("name").alias("alias"), F.lit("short").alias("alias_type"), F.col("id").alias("entity_id"))
+    known = own.union(own.select("alias", F.lit("other"), F.col("entity_id") + 1000000))
+    rows = table(spark, d, "sample_reading").select(F.col("sample_id").alias("line_id"), F.upper("node").alias("alias"))
+    return relations.resolve_alias(rows, known, "short")
 
 
-@query("SELECT 'source_id' AS side, n_regionkey::BIGINT AS id, count(*) AS count FROM nation GROUP BY 2 HAVING count(*) > 1")
+@query("""
+SELECT 'target_id' AS side, s.id, count(*) AS count FROM entity_node n JOIN v_site s ON s.name = split_part(n.name, '-', 1) GROUP BY 2 HAVING count(*) > 1""")
 def relation_cardinality(spark, d):
-    reverse = relations.refresh(table(spark, d, "nation").select("n_regionkey", "n_nationkey"))
-    return relations.violations(reverse, "one-to-one")
+    """Sites of several nodes, where one each was said."""
+    return relations.violations(relation_regexp(spark, d), "one-to-one")
+
+
+@query("""
+SELECT s.id AS entity_id, time_bucket(INTERVAL 1 HOUR, "timestamp" - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS timestamp, count(*) AS samples, CAST(sum(CAST(power_kwh AS DECIMAL(18,6))) AS DOUBLE) AS power
+FROM sample_reading r JOIN entity_node n ON n.name = r.node JOIN v_site s ON s.name = split_part(n.name, '-', 1) WHERE "timestamp" IS NOT NULL GROUP BY 1, 2""")
+def entity_agg_node_site(spark, d):
+    """Hourly power of each site, from its nodes' readings."""
+    rows = table(spark, d, "sample_reading").select(F.col("node").alias("name"), F.col("timestamp").cast(NTZ).alias("timestamp"), F.col("power_kwh").cast("decimal(18,6)").alias("power"))
+    placed = relations.resolve(rows, _nodes(spark, d)).where("entity_id is not null").drop("name")
+    power = [aggregate.Measure("power", "numeric")]
+    return _out(aggregate.entity_aggregate(aggregate.time_aggregate(placed, power, "1h"), relation_regexp(spark, d), power))
 
 
 @query(f"""
@@ -248,13 +266,14 @@ def filter_rows_and_trends(spark, d):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'x' || o_orderstatus END AS status, o_orderpriority AS priority FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 'x' || o_orderstatus END AS status, o_orderpriority AS priority FROM orders WHERE o_orderstatus <> 'O')
 SELECT coalesce(a.k, b.k) AS entity_id, a.price, CASE WHEN b.k IS NOT NULL THEN b.status ELSE a.status END AS status, b.priority FROM a FULL JOIN b ON a.k = b.k""")
 def merge_packages(spark, d):
     orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "entity_id")
-    a = orders.where("entity_id % 3 <> 0").select("entity_id", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    b = orders.where("entity_id % 2 = 0").select("entity_id", F.when(F.expr("entity_id % 5 <> 0"), F.concat(F.lit("x"), "o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    # what is not finished and what is not open: some are both, each is one
+    a = orders.where("o_orderstatus <> 'F'").select("entity_id", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    b = orders.where("o_orderstatus <> 'O'").select("entity_id", F.when(F.expr("o_orderpriority <> '5-LOW'"), F.concat(F.lit("x"), "o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
     return package.merge([a, b], ["entity_id"])
 
 
@@ -265,32 +284,33 @@ def upsert_latest(spark, d):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS entity_id, o_orderdate AS timestamp, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey AS entity_id, o_orderdate AS timestamp, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice + 1 END AS price FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey AS entity_id, o_orderdate AS timestamp, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'F'),
+b AS (SELECT o_orderkey AS entity_id, o_orderdate AS timestamp, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice + 1 END AS price FROM orders WHERE o_orderstatus <> 'O')
 SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, coalesce(a.timestamp, b.timestamp) AS timestamp, CASE WHEN b.entity_id IS NOT NULL THEN b.price ELSE a.price END AS price, a.status,
 CAST(CASE WHEN b.entity_id IS NOT NULL THEN 11 ELSE 10 END AS BIGINT) AS job_id, CASE WHEN a.entity_id IS NOT NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-02-01' END AS created
 FROM a FULL JOIN b ON a.entity_id = b.entity_id AND a.timestamp = b.timestamp""")
 def upsert_partial_columns(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    base = orders.where("entity_id % 3 <> 0").withColumn("job_id", F.lit(10).cast("bigint")).withColumn("created", F.lit("2024-01-01").cast(NTZ))
-    new = orders.where("entity_id % 2 = 0").select("entity_id", "timestamp", F.when(F.expr("entity_id % 5 <> 0"), F.col("price") + 1).alias("price"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    base = orders.drop("o_orderpriority").where("status <> 'F'").withColumn("job_id", F.lit(10).cast("bigint")).withColumn("created", F.lit("2024-01-01").cast(NTZ))
+    new = orders.where("status <> 'O'").select("entity_id", "timestamp", F.when(F.expr("o_orderpriority <> '5-LOW'"), F.col("price") + 1).alias("price"))
     return store.upsert(base, new, job=11, now=F.lit("2024-02-01").cast(NTZ))
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderstatus <> 'O')
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k = b.k)""")
 def insert_missing(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    return store.insert_missing(orders.where("k % 3 <> 0"), orders.where("k % 2 = 0").withColumn("v", F.col("v") * 2), ["k"])
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
+    open_, done = (orders.where(F.col("o_orderstatus") != x).drop("o_orderstatus") for x in ("F", "O"))
+    return store.insert_missing(open_, done.withColumn("v", F.col("v") * 2), ["k"])
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v, o_orderdate AS modified FROM orders), b AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, TIMESTAMP '1997-01-01' AS modified FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v, o_orderdate AS modified FROM orders), b AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v, TIMESTAMP '1997-01-01' AS modified FROM orders WHERE o_orderstatus = 'F')
 SELECT a.k, coalesce(b.v, a.v) AS v, greatest(a.modified, coalesce(b.modified, a.modified)) AS modified FROM a LEFT JOIN b ON a.k = b.k""")
 def update_existing(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("modified"))
-    new = orders.where("k % 2 = 0").select("k", (F.col("v") * 2).alias("v"), F.lit("1997-01-01").cast(NTZ).alias("modified"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("modified"), "o_orderstatus")
+    orders, new = orders.drop("o_orderstatus"), orders.where("o_orderstatus = 'F'").select("k", (F.col("v") * 2).alias("v"), F.lit("1997-01-01").cast(NTZ).alias("modified"))
     return store.update_existing(orders, new, ["k"], "modified")
 
 
@@ -323,12 +343,12 @@ def attr_validity(spark, d):
 
 
 @query("""
-WITH h AS (SELECT o_orderkey AS e, o_orderdate AS t, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS e, o_orderdate AS t, 'new' AS s FROM orders WHERE o_orderkey % 3 = 0)
+WITH h AS (SELECT o_orderkey AS e, o_orderdate AS t, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F'), n AS (SELECT o_orderkey AS e, o_orderdate AS t, 'new' AS s FROM orders WHERE o_orderstatus <> 'O')
 SELECT coalesce(h.e, n.e) AS entity_id, coalesce(h.t, n.t) AS timestamp, coalesce(n.s, h.s) AS status, CASE WHEN n.e IS NULL THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '2021-01-01' END AS modified FROM h FULL JOIN n ON h.e = n.e AND h.t = n.t""")
 def attr_transfer_staged(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_orderstatus").alias("status"))
-    history = rows.where("entity_id % 2 = 0").withColumn("modified", F.lit("2020-01-01").cast(NTZ))
-    return attributes.transfer(history, rows.where("entity_id % 3 = 0").withColumn("status", F.lit("new")), F.lit("2021-01-01").cast(NTZ))
+    history = rows.where("status <> 'F'").withColumn("modified", F.lit("2020-01-01").cast(NTZ))
+    return attributes.transfer(history, rows.where("status <> 'O'").withColumn("status", F.lit("new")), F.lit("2021-01-01").cast(NTZ))
 
 
 @query("SELECT user_id, event_type, min(ts) AS start, max(ts) AS \"end\", count(*) AS notifications FROM events GROUP BY 1, 2")
@@ -337,7 +357,7 @@ def notification_set(spark, d):
 
 
 @query("""
-SELECT user_id AS entity_id, ts AS timestamp, CAST(7 AS INTEGER) AS rule_id, concat_ws(chr(10), 'high: ' || event_type || ' > 20', 'user ' || user_id) AS details,
+SELECT user_id AS entity_id, ts AS timestamp, ts AS created, CAST(7 AS INTEGER) AS rule_id, concat_ws(chr(10), 'high: ' || event_type || ' > 20', 'user ' || user_id) AS details,
 '{"event":"' || event_type || '","id":' || event_id || '}' AS data, CAST(CASE WHEN value > 30 THEN 500 WHEN value > 60 THEN 800 ELSE 100 END AS INTEGER) AS weight FROM events WHERE value > 20""")
 def trigger_threshold(spark, d):
     rule = triggers.Trigger(
@@ -351,7 +371,7 @@ def trigger_threshold(spark, d):
         rule_id=7,
     )
     rows = table(spark, d, "events").withColumnRenamed("user_id", "entity_id").withColumnRenamed("ts", "timestamp")
-    return rule.notifications(rows).drop("created")
+    return rule.notifications(rows, F.col("timestamp"))
 
 
 def _log(spark, d):
@@ -413,10 +433,16 @@ def view_projection(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", (F.col("c_acctbal") * 1000).alias("mills"), F.col("c_name").alias("label"))
 
 
-@query("""
-SELECT 'integer' AS keys, 'real' AS prices, 'timestamp' AS dates, 'text' AS names, 'smallint' AS lines FROM orders LIMIT 1""")
+_INTEGERS = "CASE WHEN bool_and(regexp_full_match(CAST({0} AS VARCHAR), '-?[1-9][0-9]*') AND TRY_CAST({0} AS SMALLINT) IS NOT NULL) THEN 'smallint' WHEN bool_and(TRY_CAST({0} AS INTEGER) IS NOT NULL) THEN 'integer' WHEN bool_and(TRY_CAST({0} AS BIGINT) IS NOT NULL) THEN 'bigint' END AS {1}"
+
+
+@query(f"""
+SELECT {_INTEGERS.format("o_orderkey", "keys")}, {_INTEGERS.format("o_custkey", "customers")}, {_INTEGERS.format("o_orderkey * 1000000007", "wide")},
+CASE WHEN bool_and(regexp_full_match(CAST(o_totalprice AS VARCHAR), '[0-9]+')) THEN 'integer' WHEN bool_and(TRY_CAST(o_totalprice AS DOUBLE) IS NOT NULL) THEN 'real' END AS prices,
+CASE WHEN bool_and(TRY_CAST(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP) IS NOT NULL) THEN 'timestamp' END AS dates,
+CASE WHEN bool_or(TRY_CAST(o_orderpriority AS DOUBLE) IS NULL) THEN 'text' END AS names FROM orders""")
 def infer_types(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("keys"), F.col("o_totalprice").cast("string").alias("prices"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dates"), F.col("o_orderpriority").alias("names"), (F.col("o_orderkey") % 7 + 1).cast("string").alias("lines"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("keys"), F.col("o_custkey").cast("string").alias("customers"), (F.col("o_orderkey") * 1000000007).cast("string").alias("wide"), F.col("o_totalprice").cast("string").alias("prices"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dates"), F.col("o_orderpriority").alias("names"))
     return datatypes.infer(rows, rows.columns)
 
 
@@ -472,30 +498,30 @@ def json_props(spark, d):
 
 
 @query("""
-SELECT CAST(n_nationkey AS BIGINT) AS attribute_id, CAST(r_regionkey AS BIGINT) AS tag_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0""")
+SELECT p.p_partkey AS attribute_id, t.id AS tag_id FROM part p JOIN (SELECT row_number() OVER (ORDER BY brand) AS id, brand FROM (SELECT DISTINCT p_brand AS brand FROM part)) t ON t.brand = p.p_brand WHERE p_size <= 40""")
 def case_insensitive_join(spark, d):
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    a = nation.select(F.col("n_nationkey").cast("bigint").alias("attribute_id"), F.col("n_name").alias("name"))
-    t = region.select(F.col("r_regionkey").cast("bigint").alias("tag_id"), F.col("r_name").alias("name"))
-    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    wanted = both.select(F.lower("n_name").alias("attribute"), F.initcap("r_name").alias("tag"))
-    known = both.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("bigint").alias("attribute_id"), F.col("r_regionkey").cast("bigint").alias("tag_id"))
-    return attributes.tag_links(a, t, wanted, known)
+    """Parts linked with their brands as tags, written in other letter case; the links of large parts are known already."""
+    part = table(spark, d, "part")
+    tags = relations.numbered(part.select(F.col("p_brand").alias("name")).distinct(), ["name"], 0, "tag_id")
+    wanted = part.select(F.upper("p_name").alias("name"), F.lower("p_brand").alias("tag"), "p_partkey", "p_size")
+    own = part.select(F.col("p_partkey").alias("attribute_id"), F.concat_ws("#", "p_name", "p_partkey").alias("name"))
+    named = wanted.select(F.concat_ws("#", "name", "p_partkey").alias("attribute"), "tag")
+    known = part.where("p_size > 40").join(tags, F.col("name") == F.col("p_brand")).select(F.col("p_partkey").alias("attribute_id"), "tag_id")
+    return attributes.tag_links(own, tags.select("tag_id", "name"), named, known)
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS entities, max(o_orderdate) AS latest FROM orders")
 def report_attribute_stats(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("entities"), F.max("o_orderdate").alias("latest"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
+    return _out(Catalog().report({"orders": rows}, spark).drop("part"))
 
 
 @query("""
-SELECT 'customer' AS type, count(*) AS entities FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier ORDER BY 1""")
+SELECT 'events' AS part, count(*) AS rows, count(DISTINCT user_id) AS entities, max(ts) AS latest FROM events
+UNION ALL SELECT 'lines', count(*), count(DISTINCT l_suppkey), max(l_shipdate) FROM lineitem UNION ALL SELECT 'orders', count(*), count(DISTINCT o_custkey), max(o_orderdate) FROM orders""")
 def report_store_counts(spark, d):
-    counts = None
-    for name in ("customer", "nation", "region", "supplier"):
-        own = table(spark, d, name).agg(F.count("*").alias("entities")).select(F.lit(name).alias("type"), "entities")
-        counts = own if counts is None else counts.union(own)
-    return counts.orderBy("type")
+    kinds = {"events": ("events", "user_id", "ts"), "orders": ("orders", "o_custkey", "o_orderdate"), "lines": ("lineitem", "l_suppkey", "l_shipdate")}
+    return _out(Catalog().report({part: table(spark, d, name).select(F.col(key).alias("entity_id"), F.col(at).cast("timestamp").alias("timestamp")) for part, (name, key, at) in kinds.items()}, spark))
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS orders FROM orders WHERE o_orderstatus IN ('F', 'O') AND (o_totalprice > 1000 OR o_custkey >= 10) GROUP BY 1 ORDER BY 1 LIMIT 3")
@@ -583,9 +609,9 @@ def delete_using(spark, d):
     return store.delete_using(table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"]).select("o_orderkey", "o_totalprice")
 
 
-@query("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big WHERE k % 2 = 0")
+@query("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big")
 def with_query(spark, d):
-    return spark.sql("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big WHERE k % 2 = 0", orders=table(spark, d, "orders"))
+    return spark.sql("WITH big(k, price) AS (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 400000) SELECT k, price * 2 AS doubled FROM big", orders=table(spark, d, "orders"))
 
 
 @query("SELECT DISTINCT l_shipdate AS timestamp FROM lineitem")
@@ -616,17 +642,17 @@ def widened_attributes(spark, d):
 
 
 @query("""
-SELECT o_custkey AS entity_id, TIMESTAMP '2024-01-01' AS timestamp, CAST(count(*) AS BIGINT) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1""")
+SELECT o_custkey AS entity_id, TIMESTAMP '2024-01-01' AS timestamp, TIMESTAMP '2024-01-01' AS modified, CAST(count(*) AS BIGINT) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1""")
 def sampled_view(spark, d):
     view = spark.sql("SELECT o_custkey AS entity_id, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM {orders} GROUP BY 1", orders=table(spark, d, "orders"))
     empty = spark.createDataFrame([], "entity_id bigint, timestamp timestamp_ntz, modified timestamp_ntz, orders bigint, spent double")
-    return attributes.sample_view(empty, view, F.lit("2024-01-01").cast(NTZ)).drop("modified")
+    return attributes.sample_view(empty, view, F.lit("2024-01-01").cast(NTZ))
 
 
-@query("SELECT o_orderkey AS entity_id, o_totalprice AS price, nullif(o_orderpriority, '5-LOW') AS label FROM orders")
+@query("SELECT o_orderkey AS entity_id, o_orderdate AS timestamp, o_totalprice AS price, nullif(o_orderpriority, '5-LOW') AS label FROM orders")
 def json_package(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"), F.col("o_totalprice").alias("price"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("label"))
-    return csv.package_from_json(csv.package_json(rows), "price double, label string").drop("timestamp")
+    return csv.package_from_json(csv.package_json(rows), "price double, label string").withColumn("timestamp", F.col("timestamp").cast(NTZ))
 
 
 @query("""
@@ -655,12 +681,12 @@ def supplier_months(spark, d):
 
 
 @query("""
-SELECT CAST(row_number() OVER (ORDER BY event_id) + 100 AS BIGINT) AS id, user_id AS entity_id, ts AS timestamp, '{"type":"' || event_type || '"}' AS data FROM events WHERE value > 90
-UNION ALL SELECT 100, 1, TIMESTAMP '2020-01-01', NULL""".replace("CAST(row_number() OVER (ORDER BY event_id) + 100 AS BIGINT) AS id, ", "").replace("100, 1, ", "1, "))
+SELECT CAST(row_number() OVER (ORDER BY user_id, ts, '{"type":"' || event_type || '","id":' || event_id || '}') + 100 AS BIGINT) AS id, user_id AS entity_id, ts AS timestamp, '{"type":"' || event_type || '","id":' || event_id || '}' AS data FROM events WHERE value > 90
+UNION ALL SELECT 100, 1, TIMESTAMP '2020-01-01', NULL""")
 def notification_append(spark, d):
     held = spark.createDataFrame([(100, 1, datetime(2020, 1, 1), None)], "id bigint, entity_id bigint, timestamp timestamp_ntz, data string")
-    new = table(spark, d, "events").where("value > 90").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("timestamp"), F.struct(F.col("event_type").alias("type")).alias("data"))
-    return triggers.append(held, new).drop("id")
+    new = table(spark, d, "events").where("value > 90").select(F.col("user_id").alias("entity_id"), F.col("ts").alias("timestamp"), F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")).alias("data"))
+    return triggers.append(held, new)
 
 
 @query("SELECT n_nationkey, n_name, 'nation-' || CAST(n_nationkey AS VARCHAR) AS label FROM nation WHERE n_name IN ('NATION_1', 'NATION_2') OR n_nationkey >= 20")

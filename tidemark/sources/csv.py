@@ -12,7 +12,7 @@ from tidemark.errors import ConfigurationError
 from tidemark.functions.datatypes import Format, parse, write
 
 #: Notations that a flexible timestamp column may have; the first that fits counts.
-PATTERNS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
+PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyy-MM-dd")
 
 
 @dataclass(frozen=True)
