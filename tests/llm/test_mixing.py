@@ -13,26 +13,41 @@ TARGETS = "source string, target_share double, max_repeats int"
 def test_permutations(size):
     for key in (0, 7, 123456):
         assert sorted(mixing.permuted(np.arange(size), size, key)) == list(range(size))
+        assert mixing.permuted(mixing.permuted(np.arange(size), size, key), size, key, back=True).tolist() == list(range(size))
     if size > 9:
         assert mixing.permuted(np.arange(size), size, 1).tolist() != mixing.permuted(np.arange(size), size, 2).tolist()
 
 
 def test_shards_keep_totals():
-    counts = mixing.shard_counts([5000, 300, 0, 17])
-    assert counts.sum(axis=0).tolist() == [5000, 300, 0, 17]
+    slots = [5000, 300, 0, 17]
+    counts = mixing.shard_counts(0, slots)
+    assert counts.sum(axis=0).tolist() == slots and counts.min() >= 0
     assert set(counts.sum(axis=1)[:-1]) == {mixing.SHARD_SLOTS}
-    big = mixing.shard_counts([3_000_000_000, 1_000_000_001])
-    assert big.sum(axis=0).tolist() == [3_000_000_000, 1_000_000_001] and len(big) <= mixing.MOST_SHARDS
+    big = np.array(list(mixing.draws([3_000_000_000, 1_000_000_001], mixing.SHARD_SLOTS * mixing.GROUP, 1)))
+    assert big.sum(axis=0).tolist() == [3_000_000_000, 1_000_000_001]
 
 
 def test_large_totals_are_drawn_at_random():
     slots = [3_000_000_000, 1_000_000_000, 0, 500_000_000]
-    counts = mixing.shard_counts(slots)
-    assert counts.min() >= 0 and counts.sum(axis=0).tolist() == slots
+    counts = np.concatenate([mixing.shard_counts(k, g.tolist()) for k, g in zip(range(32), mixing.draws(slots, mixing.SHARD_SLOTS * mixing.GROUP, 1))])
+    assert counts.min() >= 0 and len(counts) == 2048
     size, share = counts[0].sum(), np.array(slots) / sum(slots)
     for i in (0, 1, 3):
         # the spread of the draws over the first shards is that of binomials
-        assert counts[:2000, i].std() == pytest.approx(np.sqrt(size * share[i] * (1 - share[i])), rel=0.1)
+        assert counts[:, i].std() == pytest.approx(np.sqrt(size * share[i] * (1 - share[i])), rel=0.1)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shares_hold_for_any_seed(spark, monkeypatch, seed):
+    """Shares come out to within a block or the longest document, also where documents are longer than blocks."""
+    monkeypatch.setattr(mixing, "BINS", 4)
+    docs = corpus(spark, {"a": (300, 40), "b": (60, 300), "c": (500, 5)})
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 1), ("c", 0.2, 4)], TARGETS)
+    out = mixing.mix(docs, targets, total=20_000, block=64, seed=seed)
+    shares = {r.source: r for r in out.shares.collect()}
+    for s, longest in (("a", 45), ("b", 310), ("c", 10)):
+        assert abs(shares[s].tokens - shares[s].wanted_tokens) <= 64 + longest and shares[s].most_repeats <= shares[s].max_repeats
+    assert shares["c"].most_repeats > 1 and all(r.repeats <= 4 for r in out.chosen.collect())
 
 
 def corpus(spark, sizes):

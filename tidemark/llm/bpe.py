@@ -26,6 +26,8 @@ import regex
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Distinct pieces that a worker keeps; the table is emptied when full.
 KEPT_PIECES = 500_000
+#: Pairs of tokens whose compatibility a worker keeps; the table is emptied when full.
+KEPT_PAIRS = 2_000_000
 #: Pieces longer than this are encoded when met and not kept.
 LONGEST_KEPT = 256
 
@@ -125,6 +127,8 @@ class Encoder:
         """Whether the two tokens may stand side by side."""
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) > KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 

@@ -2,16 +2,19 @@
 
 Documents of a source are packed, in a pseudorandom order, into blocks of a
 fixed number of tokens: a document belongs to the block in which it starts.
-The output is a row of slots, cut into shards; each shard draws how many of
-its slots each source fills. The j-th slot of a source takes the block at
-place j of a pseudorandom permutation of the source's block numbers (its next
-pass over the source once all are used), and a join by block number brings the
-documents. A source gets no more slots than its blocks times max_repeats.
+The output is a row of slots, cut into shards; how many of its slots each
+source fills is drawn for each shard from a multinomial distribution over what
+is left of each source. The j-th slot of a source takes the block at place j
+of a pseudorandom permutation of the source's block numbers (its next pass over
+the source once all are used), and a join by block number brings the
+documents. A source gets as many slots as come nearest to its share of the
+tokens, and no more than its blocks times max_repeats.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +30,10 @@ from tidemark.session import cut
 BLOCK = 1024
 #: Parts of a source whose running totals are taken apart; bounds the table of offsets.
 PARTS = 1024
-#: Slots of an output shard, at least, and shards, at most.
-SHARD_SLOTS, MOST_SHARDS = 1024, 10_000
+#: Slots of an output shard, and shards that one task draws.
+SHARD_SLOTS, GROUP = 1024, 64
+#: Bins in which the tokens of a source's blocks are summed to find where its share ends.
+BINS = 1024
 SEED = 20_240_601
 
 
@@ -38,8 +43,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
-    """The places of `index` (each below size) under a pseudorandom permutation of range(size).
+def permuted(index: np.ndarray, size: int, key: int, back: bool = False) -> np.ndarray:
+    """The places of `index` (each below size) under a pseudorandom permutation of range(size); back: under its inverse.
 
     A balanced Feistel network over the next even number of bits, walked on
     while it leaves the range; no table of the permutation is ever held.
@@ -50,8 +55,8 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask
-        for k in keys:
-            left, right = right, left ^ (_mixed(right + k) & mask)
+        for k in keys[::-1] if back else keys:
+            left, right = (right ^ (_mixed(left + k) & mask), left) if back else (right, left ^ (_mixed(right + k) & mask))
         return (left << half) | right
 
     out = once(index.astype(np.uint64))
@@ -60,12 +65,16 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _key(seed: int, turn: int, source: str) -> int:
+    return zlib.crc32(f"{seed}/{turn}/{source}".encode())
+
+
 @F.pandas_udf(T.LongType())
 def _permuted(slot: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Series) -> pd.Series:
     out = np.zeros(len(slot), np.int64)
     turn = slot // blocks
     for (name, n, key, k), own in slot.groupby([source, blocks, seed, turn], dropna=False).indices.items():
-        out[own] = permuted((slot.iloc[own] - k * n).to_numpy(np.int64), int(n), zlib.crc32(f"{key}/{k}/{name}".encode()))
+        out[own] = permuted((slot.iloc[own] - k * n).to_numpy(np.int64), int(n), _key(key, k, name))
     return pd.Series(out)
 
 
@@ -73,37 +82,38 @@ def _permuted(slot: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Se
 _block = _permuted.asNondeterministic()
 
 
-def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
-    """How many slots of each shard each source fills (shards x sources).
+@F.pandas_udf(T.LongType())
+def _place(block: pd.Series, blocks: pd.Series, source: pd.Series, seed: pd.Series, turn: pd.Series) -> pd.Series:
+    """The slot within a pass over its source that takes a block."""
+    out = np.zeros(len(block), np.int64)
+    for (name, n, key, k), own in block.groupby([source, blocks, seed, turn], dropna=False).indices.items():
+        out[own] = permuted(block.iloc[own].to_numpy(np.int64), int(n), _key(key, k, name), back=True)
+    return pd.Series(out)
+
 
-    Multinomial draws conditioned on each source's total, so the totals come
-    out exactly while each shard mixes at random.
-    """
-    left = np.array(slots, np.int64)
-    size = max(SHARD_SLOTS, -(-int(left.sum()) // MOST_SHARDS))
-    random, out = np.random.default_rng(seed), []
+def _drawn(random: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` slots each source fills: a multinomial draw over what is left; what a source lacks is drawn again over the others."""
+    out = np.zeros_like(left)
+    while take:
+        rest = left - out
+        new = np.minimum(random.multinomial(take, rest / rest.sum()), rest)
+        out += new
+        take -= int(new.sum())
+    return out
+
+
+def draws(slots: list[int], size: int, seed: int) -> Iterator[np.ndarray]:
+    """How many of each `size` slots, one after the other, each source fills, until all slots of all sources are used up."""
+    left, random = np.array(slots, np.int64), np.random.default_rng(seed)
     while left.sum() > 0:
-        take = int(min(size, left.sum()))
-        drawn = _drawn(random, left, take)
-        out.append(drawn)
+        drawn = _drawn(random, left, int(min(size, left.sum())))
         left = left - drawn
-    return np.array(out, np.int64).reshape(len(out), len(slots))
+        yield drawn
 
 
-def _drawn(random: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
-    """How many of `take` slots, drawn at random from those left, each source fills."""
-    out = np.zeros_like(left)
-    # the method of marginals needs totals below 1e9; beyond, binomials one source after the other draw a thousandth of the slots at a time
-    while take and (total := int((left - out).sum())) >= 10**9:
-        part, rest = min(take, total // 1000), total
-        take -= part
-        for i, own in enumerate((left - out).tolist()):
-            rest -= own
-            drawn = int(random.binomial(part, own / (own + rest))) if own else 0
-            drawn = max(min(drawn, own), part - rest)
-            out[i] += drawn
-            part -= drawn
-    return out + random.multivariate_hypergeometric(left - out, take, method="marginals") if take else out
+def shard_counts(group: int, slots: list[int], seed: int = SEED) -> np.ndarray:
+    """The shards of one group: how many slots of each shard each source fills (shards x sources)."""
+    return np.array(list(draws(slots, SHARD_SLOTS, (seed << 32) + group)), np.int64).reshape(-1, len(slots))
 
 
 @dataclass(frozen=True)
@@ -127,7 +137,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc:
 
     chosen: doc_id, source, tokens (of one copy), repeats. shares: source,
     target_share, actual_share, wanted_tokens, tokens, available_tokens,
-    documents, max_repeats, most_repeats, met (the source had enough).
+    documents, max_repeats, most_repeats, met (it gives what is wanted, but
+    for less than a block).
 
     The documents' token numbers are written once to the checkpoint folder;
     everything else follows from that small table.
@@ -148,12 +159,23 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc:
     total = sum(held.values()) if total is None else int(total)
     names = sorted(wanted)
     blocks = {s: -(-held.get(s, 0) // block) for s in names}
-    slots = [min(round(wanted[s][0] * total / (held[s] / blocks[s])), blocks[s] * wanted[s][1]) if held.get(s) else 0 for s in names]
-    counts = shard_counts(slots, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    rows = [(int(k), s, int(first[k, i]), int(counts[k, i]), blocks[s], seed) for k in range(len(counts)) for i, s in enumerate(names) if counts[k, i]]
-    table = spark.createDataFrame(rows, "shard int, __source string, first bigint, n bigint, blocks bigint, seed bigint")
-    every = table.repartition(max(1, min(len(counts), 200)), "shard").select("shard", "__source", "blocks", "seed", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = _slots(packed, names, wanted, held, blocks, total, seed)
+    # the driver draws for groups of shards, each group's task for its shards
+    drawn_groups = list(draws(slots, SHARD_SLOTS * GROUP, seed))
+    groups = np.array(drawn_groups, np.int64).reshape(len(drawn_groups), len(slots))
+    first = np.cumsum(groups, axis=0) - groups
+    table = spark.createDataFrame([(k, groups[k].tolist(), first[k].tolist()) for k in range(len(groups))], "number bigint, counts array<bigint>, first array<bigint>")
+
+    def expanded(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                counts = shard_counts(row.number, list(row.counts), seed)
+                starts = np.array(row.first, np.int64) + np.cumsum(counts, axis=0) - counts
+                shard, source = np.nonzero(counts)
+                yield pd.DataFrame({"shard": row.number * GROUP + shard, "__source": [names[i] for i in source], "blocks": [blocks[names[i]] for i in source], "first": starts[shard, source], "n": counts[shard, source]})
+
+    shards = table.repartition(max(1, len(groups)), "number").mapInPandas(expanded, "shard bigint, __source string, blocks bigint, first bigint, n bigint")
+    every = shards.select("shard", "__source", "blocks", F.lit(seed).cast("bigint").alias("seed"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     drawn = every.select("shard", "slot", "__source", _block("slot", "blocks", "__source", "seed").alias("__block"))
     # the planner takes the slots for few, as it sees only the table of shards; they grow with the data, so they are not broadcast
     drawn = drawn.hint("merge")
@@ -174,6 +196,45 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc:
         "documents",
         "max_repeats",
         "most_repeats",
-        (F.col("available_tokens") * F.col("max_repeats") >= F.col("wanted_tokens")).alias("met"),
+        (F.col("tokens") + block > F.col("wanted_tokens")).alias("met"),
     )
     return Mix(chosen, shares, placed)
+
+
+def _slots(packed: DataFrame, names: list[str], wanted: dict, held: dict, blocks: dict, total: int, seed: int) -> list[int]:
+    """How many slots of each source come nearest to its share of the tokens.
+
+    Whole passes over a source hold what it has. Where its last pass ends
+    follows from the sums of its blocks' tokens in the order of that pass: by
+    BINS bins of places, then within one of these, until a bin is one place.
+    """
+    passes, rest = {}, {}
+    for s in names:
+        goal = wanted[s][0] * total
+        passes[s] = min(int(goal // held[s]), wanted[s][1]) if held.get(s) else 0
+        if held.get(s) and passes[s] < wanted[s][1]:
+            rest[s] = goal - passes[s] * held[s]
+    turns = packed.sparkSession.createDataFrame([(s, passes[s], blocks[s], seed) for s in rest], "__source string, __turn bigint, __n bigint, __seed bigint")
+    sized = packed.groupBy("__source", "__block").agg(F.sum("tokens").alias("size")).join(F.broadcast(turns), "__source")  # a row for each target source
+    sized = cut(sized.select("__source", _place("__block", "__n", "__source", "__seed", "__turn").alias("place"), "size"))
+    low, width, ends = dict.fromkeys(rest, 0), {s: blocks[s] for s in rest}, {}
+    while low:
+        step = {s: -(-width[s] // BINS) for s in low}
+        within = [F.when((F.col("__source") == s) & (F.col("place") >= low[s]) & (F.col("place") < low[s] + width[s]), F.floor((F.col("place") - low[s]) / step[s])) for s in low]
+        sums = sized.withColumn("bin", F.coalesce(*within)).where("bin is not null").groupBy("__source", "bin").agg(F.sum("size").alias("n")).orderBy("__source", "bin").collect()  # BINS for each target source
+        found = dict.fromkeys(low)
+        for r in sums:
+            s = r["__source"]
+            if found[s] is None:
+                if rest[s] < r["n"]:
+                    found[s] = r["bin"], r["n"]
+                else:
+                    rest[s] -= r["n"]
+        for s, hit in found.items():
+            if hit is None or step[s] == 1:
+                # the place at which the share ends is taken if that comes nearer
+                ends[s] = low[s] + width[s] if hit is None else low[s] + hit[0] + (2 * rest[s] > hit[1])
+            else:
+                low[s], width[s] = low[s] + hit[0] * step[s], min(step[s], low[s] + width[s] - (low[s] + hit[0] * step[s]))
+        low, width = {s: v for s, v in low.items() if s not in ends}, {s: v for s, v in width.items() if s not in ends}
+    return [passes[s] * blocks[s] + ends.get(s, 0) for s in names]
