@@ -50,3 +50,14 @@ def test_found_cells(spark):
     df = spark.createDataFrame(rows(("a", 1, 1.0), ("a", 2701, 1.0)), SCHEMA)
     found = without_reading(regular_series(df, "node", "timestamp", "power", ["sample_id"]))
     assert sorted(r.period_end - int(T0.timestamp()) for r in found.collect()) == [1800, 2700]
+
+
+def test_a_gap_of_years_goes_to_several_tasks(spark):
+    from tidemark.operators import grid
+
+    rows = [(1, "a", datetime(2000, 1, 1, 0, 10), 1.0), (2, "a", datetime(2009, 1, 1, 0, 5), 2.0), (3, "a", datetime(2009, 1, 1, 0, 20), 4.0)]
+    df = spark.createDataFrame(rows, "id bigint, node string, timestamp timestamp, power double")
+    out = grid.regular_series(df, "node", "timestamp", "power", ["id"])
+    cells = int((datetime(2009, 1, 1, 0, 30) - datetime(2000, 1, 1, 0, 15)).total_seconds() // 900) + 1
+    assert out.count() == cells and out.where("state = 'missing'").count() == cells - 3 - 4
+    assert out.select("period_end").distinct().count() == cells and "hashpartitioning(__source" in out._jdf.queryExecution().executedPlan().toString()

@@ -52,8 +52,15 @@ def regular_series(df: DataFrame, source: str, at: str, value: str, newest: list
     following = F.lead("__at").over(Window.partitionBy("__source", "__span").orderBy("__at"))
     steps = readings.withColumn("__next", following).where(F.col("__value").isNotNull())
     until = F.coalesce(F.least("__next", F.col("__at") + hold * SECOND), F.col("__cell") * step)
-    cells = F.sequence(F.col("__cell"), F.coalesce(_cell(F.col("__next"), step), F.col("__cell")))
-    parts = steps.withColumn("__until", until).select("__source", "__at", "__until", "__value", F.col("__cell").alias("__own"), F.explode(cells).alias("__cell"))
+    steps = steps.withColumn("__until", until).withColumn("__last", F.coalesce(_cell(F.col("__next"), step), F.col("__cell")))
+    held = ("__source", "__at", "__until", "__value", F.col("__cell").alias("__own"))
+    stretch = lambda c: F.floor(F.col(c) / span)
+    # an interval within a span is cut into cells where it is; a longer one first into spans, which then go to tasks of their own
+    near = steps.where(stretch("__cell") == stretch("__last")).select(*held, F.explode(F.sequence("__cell", "__last")).alias("__cell"))
+    far = steps.where(stretch("__cell") != stretch("__last")).select(*held, "__last", F.explode(F.sequence(stretch("__cell"), stretch("__last"))).alias("__stretch"))
+    first, last = F.greatest("__own", F.col("__stretch") * span), F.least("__last", (F.col("__stretch") + 1) * span - 1)
+    far = far.repartition("__source", "__stretch").select("__source", "__at", "__until", "__value", "__own", F.explode(F.sequence(first, last)).alias("__cell"))
+    parts = near.unionByName(far)
     overlap = F.greatest(F.lit(0), F.least("__until", F.col("__cell") * step) - F.greatest("__at", (F.col("__cell") - 1) * step))
     grid = (
         parts.withColumn("__w", overlap)

@@ -56,7 +56,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_series(spark: SparkSession, d: str) -> DataFrame:
-    return _power(spark, d)
+    """Means to a millionth, so that they do not hang on the order in which parts are added."""
+    return _power(spark, d).withColumn("mean", F.round("mean", 6))
 
 
 def p4_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +179,18 @@ UNION ALL SELECT line_id, 'timestamp' FROM v WHERE col = 'timestamp' AND NOT (
 UNION ALL SELECT line_id, col FROM v WHERE col IN ('outside_temp', 'inside_temp', 'power_kwh') AND x <> '' AND x <> lit
   AND NOT regexp_full_match(x, replace('[+-]?([0-9]+([D][0-9]*)?|[D][0-9]+)([eE][+-]?[0-9]+)?', 'D', mark))"""
 
+_GRID = """
+WITH r AS (
+  SELECT node, epoch_us("timestamp") AS t, arg_max(power_kwh, (created, sample_id)) AS p FROM sample_reading
+  WHERE node IS NOT NULL AND "timestamp" IS NOT NULL AND power_kwh IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT node, t, (t + 899999999) // 900000000 AS c, lead(t) OVER (PARTITION BY node ORDER BY t) AS n FROM r),
+u AS (SELECT *, coalesce(least(n, t + 3600000000), c * 900000000) AS until FROM i),
+x AS (SELECT *, unnest(generate_series(c, coalesce((n + 899999999) // 900000000, c))) AS cell FROM u),
+g AS (
+  SELECT node, cell, CAST(sum(CASE WHEN cell = c THEN 1 ELSE 0 END) AS BIGINT) AS readings,
+         sum(greatest(0, least(until, cell * 900000000) - greatest(t, (cell - 1) * 900000000))) AS w FROM x GROUP BY 1, 2)
+"""
+
 SQL = {
     "p1_found": _TIMES + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM i a JOIN i b ON a.node = b.node AND a.instant = b.instant AND a.row_id < b.row_id",
     "p1_instants": _TIMES + "SELECT s.row_id, s.node, make_timestamp(i.instant) AS instant, outside_temp, inside_temp, power_kwh FROM sample_text s LEFT JOIN i USING (row_id)",
@@ -214,16 +227,14 @@ SELECT line_id, max(x) FILTER (WHERE col = 'node') AS node,
   max(TRY_CAST(replace(x, mark, '.') AS DOUBLE)) FILTER (WHERE col = 'inside_temp' AND x <> '' AND x <> lit) AS inside_temp,
   max(TRY_CAST(replace(x, mark, '.') AS DOUBLE)) FILTER (WHERE col = 'power_kwh' AND x <> '' AND x <> lit) AS power_kwh
 FROM v WHERE line_id NOT IN (SELECT line_id FROM bad) GROUP BY line_id""",
-    "p4_cells": """
-WITH r AS (
-  SELECT node, epoch_us("timestamp") AS t, arg_max(power_kwh, (created, sample_id)) AS p FROM sample_reading
-  WHERE node IS NOT NULL AND "timestamp" IS NOT NULL AND power_kwh IS NOT NULL GROUP BY 1, 2),
-i AS (SELECT node, t, (t + 899999999) // 900000000 AS c, lead(t) OVER (PARTITION BY node ORDER BY t) AS n FROM r),
-u AS (SELECT *, coalesce(least(n, t + 3600000000), c * 900000000) AS until FROM i),
-x AS (SELECT *, unnest(generate_series(c, coalesce((n + 899999999) // 900000000, c))) AS cell FROM u),
-g AS (
-  SELECT node, cell, CAST(sum(CASE WHEN cell = c THEN 1 ELSE 0 END) AS BIGINT) AS readings,
-         sum(greatest(0, least(until, cell * 900000000) - greatest(t, (cell - 1) * 900000000))) AS w FROM x GROUP BY 1, 2)
+    "p4_cells": _GRID
+    + """
 SELECT node, CAST(cell * 900 AS BIGINT) AS period_end, readings, CAST(w AS DOUBLE) / 900000000 AS coverage,
+  CASE WHEN readings > 0 THEN 'observed' WHEN w > 0 THEN 'filled' ELSE 'missing' END AS state FROM g""",
+    "p4_series": _GRID.replace("AS w FROM x", """AS w,
+         sum(CASE WHEN least(until, cell * 900000000) > greatest(t, (cell - 1) * 900000000) THEN p * (least(until, cell * 900000000) - greatest(t, (cell - 1) * 900000000)) END) AS area,
+         arg_max(p, t) FILTER (WHERE cell = c) AS own FROM x""")
+    + """
+SELECT node, CAST(cell * 900 AS BIGINT) AS period_end, readings, round(CASE WHEN w > 0 THEN area / w ELSE own END, 6) AS mean, CAST(w AS DOUBLE) / 900000000 AS coverage,
   CASE WHEN readings > 0 THEN 'observed' WHEN w > 0 THEN 'filled' ELSE 'missing' END AS state FROM g""",
 }
