@@ -200,6 +200,40 @@ def test_attributes_on_disk(spark, root):
     assert dict(wide.dtypes)["depth"] == "bigint" and [r.colour for r in wide.orderBy("timestamp", "colour").collect()][-1] == "blue"
 
 
+def test_texts_get_types(spark, root):
+    house = Warehouse(spark, str(root / "w"))
+    setup.initialize(house, Instance(root / "i"))
+    texts = spark.createDataFrame([("a", datetime(2023, 1, 1), "12", "0.5", "x"), ("b", datetime(2023, 1, 1), "70000", "", "y")], "entity string, timestamp timestamp, depth string, slope string, anchor string")
+    assert house.store_texts("survey_mooring", texts) == {"depth": "integer", "slope": "real", "anchor": "text"}
+    wider = texts.select("entity", "timestamp", F.concat("depth", F.lit("000000")).alias("depth"))
+    assert house.store_texts("survey_mooring", wider) == {"depth": "bigint"}
+    got = house.attribute_table("survey_mooring").history()
+    assert sorted((r.depth, r.slope, r.anchor) for r in got.collect()) == [(12000000, 0.5, "x"), (70000000000, None, "y")]
+
+
+def test_readers_of_installed_packages(spark, monkeypatch):
+    class Point:
+        name = "ready-made"
+
+        def load(self):
+            return lambda session, path, options: session.range(3)
+
+    monkeypatch.setattr(csv, "entry_points", lambda group: [Point()])
+    assert csv.load(spark, "ready-made", "x").count() == 3 and csv.discover() == []
+    csv.READERS.pop("ready-made")
+
+
+def test_progress(spark, tmp_path):
+    from tidemark.streaming.progress import Progress
+
+    seen = Progress().follow(spark)
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(lambda df, _: df.count()).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen.wait("ended").error is None and seen.wait("batch").rows == 5
+    seen.leave(spark)
+
+
 def test_aggregates_of_an_instance(spark, root):
     instance = Instance(root / "i")
     catalog = instance.load()
@@ -311,5 +345,6 @@ def test_command_line(spark, root, capsys):
     assert said("notification-store", "delete", w, "nothing")[0] == 1
     assert said("trend-store", "delete", w, "buoynet", "mooring", "1h")[0] == 0 and "1h" not in said("trend-store", "list", w)[1]
     assert said("aggregation", "generate", i)[0] == 0
+    assert "first.yaml" in said("quick-start", str(root / "new"))[1] and "first_thing_15m" in said("list", str(root / "new"))[1]
     (root / "i" / "trend" / "y.json").write_text('{"data_source": 1}')
     assert cli.main(["list", i]) == 1

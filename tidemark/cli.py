@@ -61,6 +61,12 @@ def initialize(args) -> None:
     setup.derive(house)
 
 
+def quick_start(args) -> None:
+    from tidemark.plans.instance import skeleton
+
+    print("\n".join(skeleton(args.instance)))
+
+
 def load_data(args) -> None:
     spark = _spark()
     form = _form(args.parser_config)
@@ -261,6 +267,7 @@ VALUE = ("value", {})
 #: Commands by family ("" for those without), each with what runs it and its arguments.
 COMMANDS = {
     "": {
+        "quick-start": (quick_start, [INSTANCE]),
         "initialize": (initialize, [INSTANCE, ROOT]),
         "load-data": (load_data, [INSTANCE, ROOT, ("parser_config", {}), ("data_source", {}), ("files", {"nargs": "+"}), ("--pretend", FLAG)]),
         "sample-data": (sample_data, [ROOT, ("--sources", {"type": int, "default": 10}), ("--start", {"default": "2024-01-01 00:00:00"}), ("--granularity", {"default": "15m"}), ("--intervals", {"type": int, "default": 96}), ("--data-source", {"default": "sample"}), ("--entity-type", {"default": "node"}), ("--out", {})]),

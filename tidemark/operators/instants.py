@@ -292,3 +292,13 @@ def same_instant_pairs(df: DataFrame, row: str, node: str, instant_us: str) -> D
     a = rows.withColumnRenamed("__row", f"{row}_a")
     b = rows.withColumnRenamed("__row", f"{row}_b")
     return a.join(b, ["__node", "__at"]).where(F.col(f"{row}_a") < F.col(f"{row}_b")).select(f"{row}_a", f"{row}_b")
+
+
+def instant_classes(df: DataFrame, row: str, node: str, instant_us: str) -> DataFrame:
+    """Rows of one node and one instant as a class: node, instant, how many rows, and the least row, which stands for it.
+
+    One row for each class however many rows it has, where all pairs would grow
+    with their square. Rows without node or instant are in none.
+    """
+    rows = df.where(F.col(node).isNotNull() & F.col(instant_us).isNotNull())
+    return rows.groupBy(F.col(node).alias(node), F.col(instant_us).alias(instant_us)).agg(F.count(F.lit(1)).alias("rows"), F.min(row).alias("first"))

@@ -19,20 +19,26 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return packed.groupBy(*keys).agg(F.max_by("__row", "__order").alias("__row")).select(*keys, "__row.*").select(df.columns)
 
 
+def one_each(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One row for each key: the last by `order`, without one that of the greatest values, so that the outcome is always one."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return latest(df, keys, order or rest) if order or rest else df.dropDuplicates(keys)
+
+
 def upsert(table: DataFrame, package: DataFrame, keys: list[str] | None = None, job: int | None = None, now: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """The table after a package is stored.
 
     Rows of a known key take the package's values in the columns it has, its
     nulls too; columns it lacks keep theirs; `created` stays that of the first
     storing, `job_id` becomes the new one. Of several rows of one key in the
-    package the last by `order` counts (without one, any: give an order where
-    keys may repeat). Rows with a null in a key are not stored.
+    package the last by `order` counts, without one that of the greatest
+    values. Rows with a null in a key are not stored.
     """
     keys = list(keys or KEYS)
     for k in keys:
         package = package.where(F.col(k).isNotNull())
     own = [c for c in package.columns if c not in keys and c in table.columns and c not in ("created", "job_id")]
-    fresh = latest(package, keys, order) if order else package.dropDuplicates(keys)
+    fresh = one_each(package, keys, order)
     fresh = fresh.select(*keys, F.struct(F.lit(True).alias("is"), *(F.col(f"`{c}`") for c in own)).alias("__new"))
     old = table.withColumn("__old", F.lit(True))
     joined = old.join(fresh, keys, "full")
@@ -53,14 +59,14 @@ def upsert(table: DataFrame, package: DataFrame, keys: list[str] | None = None,
 
 def insert_missing(table: DataFrame, package: DataFrame, keys: list[str]) -> DataFrame:
     """The table with those rows of the package whose key it lacks."""
-    new = package.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    new = one_each(package, keys).join(table.select(*keys), keys, "left_anti")
     return table.unionByName(new.select(*(c for c in table.columns if c in new.columns)), allowMissingColumns=True)
 
 
 def update_existing(table: DataFrame, package: DataFrame, keys: list[str], modified: str | None = None) -> DataFrame:
     """The table with values of the package where it knows the key; `modified` becomes the later of the two."""
     own = [c for c in package.columns if c not in keys]
-    other = package.dropDuplicates(keys).select(*keys, F.struct(F.lit(True).alias("is"), *own).alias("__new"))
+    other = one_each(package, keys).select(*keys, F.struct(F.lit(True).alias("is"), *own).alias("__new"))
     joined = table.join(other, keys, "left")
 
     def column(c: str) -> Column:

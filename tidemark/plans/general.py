@@ -21,6 +21,11 @@ def p1_instants(spark: SparkSession, d: str) -> DataFrame:
     return timed.select("row_id", "node", F.timestamp_micros("instant_us").cast("timestamp_ntz").alias("instant"), "outside_temp", "inside_temp", "power_kwh")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    timed = instants.with_instant(table(spark, d, "sample_text").select("row_id", "node", "timestamp"), table(spark, d, "v_site"))
+    return instants.instant_classes(timed, "row_id", "node", "instant_us")
+
+
 def _hours(spark: SparkSession, d: str) -> DataFrame:
     return late.multisets(table(spark, d, "trend_delivery"), ["entity_id"], "timestamp", "modified", "delivery_id", "power_kwh", HOUR, {"first": PUBLISHED, "cutoff": CUT_OFF})
 
@@ -72,7 +77,7 @@ def p5_limits(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "sample_reading"), "node", "timestamp", "sample_id").where(F.col("kind") == "limit").select("sample_id", "field_name")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p2_found, p2_hours, p3_found, p3_samples, p4_found, p4_series, p4_cells, p5_found, p5_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_classes, p2_found, p2_hours, p3_found, p3_samples, p4_found, p4_series, p4_cells, p5_found, p5_limits)}
 
 _TIMES = r"""
 WITH z(abbreviation, zone, off) AS (VALUES
@@ -194,6 +199,7 @@ g AS (
 SQL = {
     "p1_found": _TIMES + "SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM i a JOIN i b ON a.node = b.node AND a.instant = b.instant AND a.row_id < b.row_id",
     "p1_instants": _TIMES + "SELECT s.row_id, s.node, make_timestamp(i.instant) AS instant, outside_temp, inside_temp, power_kwh FROM sample_text s LEFT JOIN i USING (row_id)",
+    "p1_classes": _TIMES + "SELECT node, instant AS instant_us, count(*) AS rows, min(row_id) AS first FROM i WHERE node IS NOT NULL GROUP BY 1, 2",
     "p2_found": _LATE
     + """SELECT entity_id, CAST(pe AS BIGINT) AS period_end FROM v GROUP BY entity_id, pe
 HAVING sum(a) IS DISTINCT FROM sum(b)""",
@@ -231,7 +237,7 @@ FROM v WHERE line_id NOT IN (SELECT line_id FROM bad) GROUP BY line_id""",
     + """
 SELECT node, CAST(cell * 900 AS BIGINT) AS period_end, readings, CAST(w AS DOUBLE) / 900000000 AS coverage,
   CASE WHEN readings > 0 THEN 'observed' WHEN w > 0 THEN 'filled' ELSE 'missing' END AS state FROM g""",
-    "p4_series": _GRID.replace("AS w FROM x", """AS w,
+    "p4_series": _GRID.replace("(SELECT node, t, (t", "(SELECT node, t, p, (t").replace("AS w FROM x", """AS w,
          sum(CASE WHEN least(until, cell * 900000000) > greatest(t, (cell - 1) * 900000000) THEN p * (least(until, cell * 900000000) - greatest(t, (cell - 1) * 900000000)) END) AS area,
          arg_max(p, t) FILTER (WHERE cell = c) AS own FROM x""")
     + """

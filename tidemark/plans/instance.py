@@ -234,5 +234,21 @@ def sample_readings(spark: SparkSession, sources: int, start: str, granularity:
     return grid.select(F.format_string("node-%07d", "source").alias("node"), at.alias("timestamp"), F.round(10 + 5 * noise(0), 2).alias("outside_temp"), F.round(20 + 2 * noise(1), 2).alias("inside_temp"), F.round(30 * noise(2), 3).alias("power_kwh"))
 
 
+def skeleton(root: str | Path) -> list[str]:
+    """An empty instance: its folders, and a first trend store to change. Returns what was made; what is there stays."""
+    made = []
+    for folder in (*FOLDERS, "virtual-entity", "aggregation", "custom/pre-init", "custom/pre-materialization-init", "custom/post-init"):
+        path = Path(root, folder)
+        if not path.exists():
+            path.mkdir(parents=True)
+            made.append(str(path))
+    first = Path(root, "trend", "first.yaml")
+    if not first.exists():
+        store = {"title": "Raw first measurements", "data_source": "first", "entity_type": "thing", "granularity": "15m", "partition_size": PARTITION_SIZES["15m"], "parts": [{"name": "first_thing_15m", "trends": [{"name": "measured", "data_type": "numeric"}]}]}
+        first.write_text(yaml.safe_dump(store, sort_keys=False), encoding="utf-8")
+        made.append(str(first))
+    return made
+
+
 #: Ways to make a package known by a plugin's name: (session, options) -> rows.
 GENERATORS: dict[str, Callable[..., DataFrame]] = {"readings": sample_readings}

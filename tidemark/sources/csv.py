@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,20 @@ def register(name: str, reader: Callable[[SparkSession, str, dict], DataFrame])
     READERS[name] = reader
 
 
+def discover(group: str = "tidemark.readers") -> list[str]:
+    """Make the readers known that installed packages offer under an entry point; returns their names. Names taken already stay."""
+    found = []
+    for point in entry_points(group=group):
+        if point.name not in READERS:
+            register(point.name, point.load())
+            found.append(point.name)
+    return found
+
+
 def load(spark: SparkSession, name: str, path: str, options: dict | None = None) -> DataFrame:
-    """A package read by a registered reader."""
+    """A package read by a registered reader, or by one that an installed package offers."""
+    if name not in READERS:
+        discover()
     if name not in READERS:
         raise ConfigurationError(f"no such reader: {name}")
     return READERS[name](spark, path, options or {})

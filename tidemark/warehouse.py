@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog, part_schema
 from tidemark.errors import ConfigurationError, NoSuchAttribute, NoSuchTrendStore
+from tidemark.functions import datatypes
 from tidemark.functions.datatypes import spark_type
 from tidemark.functions.granularity import parse, partition_index
+from tidemark.model import Attribute
 from tidemark.operators import attributes, package, relations, store, triggers
 from tidemark.operators.tables_on_disk import Conflict, Entry, PartitionedTable, Versioned, folded
 from tidemark.session import written
@@ -288,6 +290,17 @@ class Warehouse:
         self.end_job(job)
         return job
 
+    def store_texts(self, name: str, df: DataFrame, modified: Column | None = None) -> dict[str, str]:
+        """Store attributes that come as texts: each gets the narrowest type that holds all of them, or a wider one that it has. Returns the types."""
+        keys = ("entity", "entity_id", "timestamp")
+        columns = [c for c in df.columns if c not in keys]
+        own = datatypes.infer(df, columns).first().asDict() if columns else {}  # a row of types
+        self.change(lambda c: c.add_attributes(name, [Attribute(n, t) for n, t in own.items()]))
+        types = {a.name: a.data_type for a in self.catalog.attribute_stores[name].attributes if a.name in own}
+        parsed = df.select(*(c for c in df.columns if c in keys), *(datatypes.parse(F.coalesce(F.col(f"`{c}`"), F.lit("")), datatypes.Format(t, null="")).alias(c) for c, t in types.items()))
+        self.store_attributes(name, parsed, modified)
+        return types
+
     def refresh_current(self) -> dict[str, list[int]]:
         """Make the current rows of all attribute stores with newer history; returns the buckets made by store."""
         return {name: made for name in sorted(self.catalog.attribute_stores) if (made := self.attribute_table(name).refresh())}
