@@ -41,32 +41,33 @@ def regular_series(df: DataFrame, source: str, at: str, value: str, newest: list
     rows = df.select(F.col(source).alias("__source"), F.unix_micros(at).alias("__at"), F.struct(*newest, F.col(value).cast("double").alias("__value")).alias("__row"))
     rows = rows.where(F.col("__source").isNotNull() & F.col("__at").isNotNull() & F.col("__row.__value").isNotNull())
     rows = rows.withColumn("__cell", _cell(F.col("__at"), step)).withColumn("__span", F.floor(F.col("__cell") / span))
-    # where the next span of the source begins, as a row without a value in the span before it
-    firsts = rows.groupBy("__source", "__span").agg(F.min("__at").alias("__at"))
-    previous = F.lag("__span").over(Window.partitionBy("__source").orderBy("__span"))
-    marks = firsts.withColumn("__span", previous).where(F.col("__span").isNotNull())
-    marks = marks.select("__source", "__at", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(None).cast("bigint").alias("__cell"), "__span")
+    # where each span ends and the next one of the source begins; that as a row without a value in the span before it
+    ends = rows.groupBy("__source", "__span").agg(F.min("__at").alias("__at"), F.max("__at").alias("__end"))
+    ends = ends.withColumn("__next", F.lead("__at").over(Window.partitionBy("__source").orderBy("__span"))).where(F.col("__next").isNotNull())
+    marks = ends.select("__source", F.col("__next").alias("__at"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(None).cast("bigint").alias("__cell"), "__span")
     # one exchange brings readings and marks of a span together; what follows needs no other until the cells
     times = rows.unionByName(marks).repartition("__source", "__span").groupBy("__source", "__span", "__at", "__cell").agg(F.max("__row").alias("__row"))
     readings = times.select("__source", "__span", "__at", "__cell", F.col("__row.__value").alias("__value"))
     following = F.lead("__at").over(Window.partitionBy("__source", "__span").orderBy("__at"))
     steps = readings.withColumn("__next", following).where(F.col("__value").isNotNull())
     until = F.coalesce(F.least("__next", F.col("__at") + hold * SECOND), F.col("__cell") * step)
-    steps = steps.withColumn("__until", until).withColumn("__last", F.coalesce(_cell(F.col("__next"), step), F.col("__cell")))
-    held = ("__source", "__at", "__until", "__value", F.col("__cell").alias("__own"))
-    stretch = lambda c: F.floor(F.col(c) / span)
-    # an interval within a span is cut into cells where it is; a longer one first into spans, which then go to tasks of their own
-    near = steps.where(stretch("__cell") == stretch("__last")).select(*held, F.explode(F.sequence("__cell", "__last")).alias("__cell"))
-    far = steps.where(stretch("__cell") != stretch("__last")).select(*held, "__last", F.explode(F.sequence(stretch("__cell"), stretch("__last"))).alias("__stretch"))
-    first, last = F.greatest("__own", F.col("__stretch") * span), F.least("__last", (F.col("__stretch") + 1) * span - 1)
-    far = far.repartition("__source", "__stretch").select("__source", "__at", "__until", "__value", "__own", F.explode(F.sequence(first, last)).alias("__cell"))
-    parts = near.unionByName(far)
-    overlap = F.greatest(F.lit(0), F.least("__until", F.col("__cell") * step) - F.greatest("__at", (F.col("__cell") - 1) * step))
+    # cells up to the next reading, beyond the span only as far as this one holds
+    last = F.coalesce(_cell(F.col("__next"), step), F.col("__cell"))
+    reach = F.when(F.floor(last / span) == F.col("__span"), last).otherwise(F.least(last, F.greatest(F.col("__cell"), _cell(F.col("__at") + hold * SECOND, step))))
+    parts = steps.select("__source", "__at", F.col("__cell").alias("__own"), "__value", until.alias("__until"), F.explode(F.sequence(F.col("__cell"), reach)).alias("__cell"))
+    # what is left of gaps between spans is empty, and however long cut by span in tasks of their own
+    begin, end = F.greatest(_cell(F.col("__end"), step), _cell(F.col("__end") + hold * SECOND, step)) + 1, _cell(F.col("__next"), step) - 1
+    gaps = ends.select("__source", F.col("__end").alias("__at"), begin.alias("__begin"), end.alias("__last")).where("__begin <= __last")
+    gaps = gaps.withColumn("__stretch", F.explode(F.sequence(F.floor(F.col("__begin") / span), F.floor(F.col("__last") / span)))).repartition("__source", "__stretch")
+    cells = F.sequence(F.greatest("__begin", F.col("__stretch") * span), F.least("__last", (F.col("__stretch") + 1) * span - 1))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("__own", "bigint"), ("__value", "double"), ("__until", "bigint"))]
+    parts = parts.unionByName(gaps.select("__source", "__at", *none, F.explode(cells).alias("__cell")))
+    overlap = F.when(F.col("__until").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("__until", F.col("__cell") * step) - F.greatest("__at", (F.col("__cell") - 1) * step)))
     grid = (
         parts.withColumn("__w", overlap)
         .groupBy("__source", "__cell")
         .agg(
-            F.sum((F.col("__own") == F.col("__cell")).cast("bigint")).alias("readings"),
+            F.sum(F.coalesce((F.col("__own") == F.col("__cell")).cast("bigint"), F.lit(0))).alias("readings"),
             F.sum("__w").alias("__w"),
             F.sum(F.when(F.col("__w") > 0, F.col("__value") * F.col("__w"))).alias("__area"),
             F.max_by(F.when(F.col("__own") == F.col("__cell"), F.col("__value")), F.when(F.col("__own") == F.col("__cell"), F.col("__at"))).alias("__last"),
