@@ -216,3 +216,27 @@ def test_monitor_equals_full_computation(spark, tmp_path):
         monitor.start().awaitTermination()
     full = aggregate.time_aggregate(source, measures, "1h")
     assert rows(held["h"], "entity_id", "timestamp", "samples", "v") == rows(full, "entity_id", "timestamp", "samples", "v")
+
+
+def test_own_mapping_and_fingerprint(spark, tmp_path):
+    """A source stamp may count for several target stamps; a fingerprint of one's own decides what is due."""
+    source = spark.createDataFrame([(1, datetime(2020, 1, 1, h), float(h)) for h in (1, 2, 3)], "entity_id bigint, timestamp timestamp, v double")
+    both = lambda at: F.array(at, at + F.expr("INTERVAL 1 HOUR"))
+    made = {}
+
+    def make(rows):
+        return rows.groupBy("entity_id", F.col("target_timestamp").alias("timestamp")).agg(F.sum("v").alias("v"))
+
+    def fingerprint(modified):
+        return modified.groupBy("timestamp").agg(F.max("last").alias("max_modified"), F.lit("same").alias("fingerprint"))
+
+    moving = incremental.Materialization("moving", ("p",), parse("1h"), make, mapping=both)
+    fixed = incremental.Materialization("fixed", ("p",), parse("1h"), lambda rows: rows, fingerprint=fingerprint)
+    state = incremental.State(spark, str(tmp_path / "s"))
+    state.add(store.modified_log(source, "p", F.lit(datetime(2020, 1, 2))))
+    write = lambda m, rows_, *_: made.__setitem__(m.name, rows(rows_, "timestamp", "v"))
+    run = lambda: state.run([moving, fixed], lambda *_: source, write, datetime(2021, 1, 1))
+    assert run() == {"moving": 4, "fixed": 3}
+    assert [v for _, v in made["moving"]] == [1.0, 3.0, 5.0, 3.0] and len(made["fixed"]) == 3
+    state.add(store.modified_log(source.where("v = 2"), "p", F.lit(datetime(2020, 1, 3))))
+    assert run() == {"moving": 2, "fixed": 0}
