@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 SECOND = 1_000_000
 
 
@@ -44,6 +46,7 @@ def regular_series(df: DataFrame, source: str, at: str, value: str, newest: list
     # where each span ends and the next one of the source begins; that as a row without a value in the span before it
     ends = rows.groupBy("__source", "__span").agg(F.min("__at").alias("__at"), F.max("__at").alias("__end"))
     ends = ends.withColumn("__next", F.lead("__at").over(Window.partitionBy("__source").orderBy("__span"))).where(F.col("__next").isNotNull())
+    ends = cut(ends)  # a row for each span; written once, as it is needed twice
     marks = ends.select("__source", F.col("__next").alias("__at"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(None).cast("bigint").alias("__cell"), "__span")
     # one exchange brings readings and marks of a span together; what follows needs no other until the cells
     times = rows.unionByName(marks).repartition("__source", "__span").groupBy("__source", "__span", "__at", "__cell").agg(F.max("__row").alias("__row"))
